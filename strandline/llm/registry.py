@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, quality, secrets, simhash
+from . import decontaminate, pieces, quality, secrets, simhash, substrings
 from .textkit import table
 
 
@@ -18,6 +18,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -32,9 +36,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_sentencepiece, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_secret_scan]
+    found = [op2_quality_rules, op3_sentencepiece, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op6_substring_dedup": substrings.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
