@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pieces, quality, secrets, simhash, substrings
+from . import decontaminate, langid, pieces, pii, quality, secrets, simhash, substrings
 from .textkit import table
 
 
@@ -18,6 +18,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_sentencepiece, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_secret_scan]
+    found = [op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
