@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pieces, pii, quality, secrets, simhash, substrings
+from . import decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, substrings
 from .textkit import table
 
 
@@ -39,12 +39,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_secret_scan]
+    found = [op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_license_scan, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
