@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, substrings
+from . import decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, substrings, suffixes
 from .textkit import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.verdicts(table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_license_scan, op10_secret_scan]
+    found = [op1_suffix_array_dedup, op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_license_scan, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 

@@ -80,8 +80,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield key[np.concatenate([[True], place[1:] != place[:-1]])]  # a place once, though several windows share it
 
 
-def sketch(texts: DataFrame, bits: int = CELL_BITS) -> list[np.ndarray]:
-    """One bit array a sketch row: the cells whose merged count is two or more."""
+def sketch(texts: DataFrame, bits: int = CELL_BITS, keys_of=_anchors) -> list[np.ndarray]:
+    """One bit array a sketch row: the cells whose merged count of the keys (those of keys_of) is two or more."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def sketch(texts: DataFrame, bits: int = CELL_BITS) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["block", "once", "more"])
 
         held, n = [], 0
-        for keys in _anchors(batches):
+        for keys in keys_of(batches):
             held.append(keys)
             n += len(keys)
             if n >= FLUSH:
