@@ -103,18 +103,29 @@ def newest(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("started_at"), F.desc("run_id")).limit(k)
 
 
-def pacing(runs: DataFrame) -> DataFrame:
+def pacing(runs: DataFrame, chunk: int = 86400, start: float = 0.25) -> DataFrame:
     """Delay of each host after all its answers: x0.9 down to 0.1 s on success, else doubled, 5 s at least, 300 s at most.
 
-    An ordered fold over one host's answers; hosts are independent.
+    Every answer is a clamped multiplication, and those compose to one of their kind: d -> clamp(a * d, low, high). Each
+    stretch of `chunk` seconds is folded to one such function in parallel; a host then only applies its stretches.
     """
-    answers = runs.groupBy(F.col("source_id").alias("host")).agg(F.array_sort(F.collect_list(F.struct("started_at", "run_id", (F.col("status") == "failed").alias("slow")))).alias("log"))
-    step = lambda d, x: F.when(x["slow"], F.least(F.lit(300.0), F.greatest(d * 2, F.lit(5.0)))).otherwise(F.greatest(F.lit(0.1), d * 0.9))
-    return answers.select("host", F.round(F.aggregate("log", F.lit(0.25), step), 6).alias("delay"))
+    slow = F.col("status") == "failed"
+    log = runs.groupBy(F.col("source_id").alias("host"), F.floor(F.col("started_at") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("started_at", "run_id", slow.alias("slow")))).alias("log"))
+
+    def after(x: Column, is_slow: Column) -> Column:
+        return F.when(is_slow, F.least(F.lit(300.0), F.greatest(x * 2, F.lit(5.0)))).otherwise(F.greatest(F.lit(0.1), x * 0.9))
+
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"))
+    folded = log.select("host", "chunk", F.aggregate("log", same, lambda f, x: F.struct((f["a"] * F.when(x["slow"], 2.0).otherwise(0.9)).alias("a"), after(f["low"], x["slow"]).alias("low"), after(f["high"], x["slow"]).alias("high"))).alias("f"))
+    stretches = folded.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("fs"))
+    return stretches.select("host", F.round(F.aggregate("fs", F.lit(start), lambda d, s: F.least(s["f"]["high"], F.greatest(s["f"]["low"], s["f"]["a"] * d))), 6).alias("delay"))
 
 
 def rate_limit(runs: DataFrame, allowed: int = 3, seconds: int = 86400) -> DataFrame:
-    """Accepted requests of each client under a sliding window in which refused ones do not count: an ordered fold."""
+    """Accepted requests of each client under a sliding window in which refused ones do not count.
+
+    Whether a request counts depends on all before it, so this is an ordered fold over one client's log, in one task.
+    """
     log = runs.groupBy(F.col("source_id").alias("client")).agg(F.array_sort(F.collect_list(F.struct(F.col("started_at").alias("t"), "run_id"))).alias("log"))
     start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.lit(0).alias("accepted"), F.lit(0).alias("refused"))
 

@@ -81,12 +81,9 @@ def append_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 def classified(answers: DataFrame) -> DataFrame:
     """Enrichment answers by class, in row order; rows after the first that ran out of credit are not tried."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(F.col("status") == 200, "matched").when(F.col("status") == 404, "no_match").when(F.col("status") == 402, "out_of_credits").otherwise("error")
-    stopped = F.coalesce(F.max((F.col("status") == 402).cast("int")).over(w), F.lit(0)) == 1
-    return answers.withColumn("outcome", F.when(stopped, "not_tried").otherwise(kind))
+    end = answers.filter("status = 402").agg(F.min("row").alias("__end"))  # one row
+    return answers.join(F.broadcast(end)).withColumn("outcome", F.when(F.col("row") > F.col("__end"), "not_tried").otherwise(kind)).drop("__end")
 
 
 def person_text(json: Column) -> Column:
