@@ -32,6 +32,8 @@ LENGTH, CONTEXT = 400, 160
 HOT = 20_000
 #: Rows that are merged at once, at least; all rows of an anchor stay together.
 SHARD = 2048
+#: Bytes of text taken at once; the arrays over them take about a hundred times as much.
+SLICE = 1 << 19
 _TABLE, _SECOND = byte_table(5), byte_table(6)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -61,7 +63,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for _, data, offs in slices(batches):
+    for _, data, offs in slices(batches, limit=SLICE):
         key = anchors(data, offs)[-1]
         if len(key):
             yield key
@@ -145,7 +147,7 @@ def _regions(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
     """Anchors estimated repeated; unless narrow with the bytes from their first string's begin to their last one's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches):
+        for rows, data, offs in slices(batches, limit=SLICE):
             text, place, first, last, key = anchors(data, offs)
             keep = substrings._estimated_repeated(shared.value, key, bits) if len(key) else np.zeros(0, bool)
             if not keep.any():
@@ -225,7 +227,7 @@ def repeated_spans(docs: DataFrame, bits: int = substrings.CELL_BITS) -> DataFra
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     shared = spark.sparkContext.broadcast(substrings.sketch(texts, bits, _keys))
     hot = _regions(texts, shared, bits, narrow=True).groupBy("key").count().filter(F.col("count") > HOT).select("key")
-    keys = [r["key"] for r in hot.toLocalIterator()]  # at most one in HOT anchors
+    keys = [r["key"] for r in hot.collect()]  # at most one in HOT anchors
     regions = _regions(texts, shared, bits, narrow=False)
     few = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))
     cold = regions.join(few, "key", "left_anti") if keys else regions
