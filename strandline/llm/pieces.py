@@ -15,6 +15,7 @@ one path: the matrix needs only the pieces around the boundaries, and inside, wo
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer documents are cut.
 CHUNK = 1 << 16
 SPACE = "▁"
-_CACHE, _PAIRS = 200_000, 1_000_000
+_CACHE, _PAIRS = 300_000, 1_000_000
 NEVER = float("-inf")
 
 
@@ -43,12 +44,24 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
             self.clear()
-        out = self.codec.ids_of(*self.codec.trace(SPACE + word, 0, None, len(word) + 1))
+        parts = self.codec.independent(SPACE + word)
+        if len(parts) == 1:
+            out = self.codec.word(parts[0])
+        else:  # as a word its first part is another word; the others are kept under a name no word can have
+            out = self[parts[0][1:]] + b"".join([self.inner(x) for x in parts[1:]])
         if len(word) < 64:
             self[word] = out
         return out
 
 
+    def inner(self, part: str) -> bytes:
+        key = SPACE + part
+        out = self.get(key)
+        if out is None:
+            out = self[key] = self.codec.word(part)
+        return out
+
+
 class Codec:
     def __init__(self, model: bytes):
         import sentencepiece
@@ -62,9 +75,19 @@ class Codec:
         self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte)}
         self.longest = max(map(len, self.ids))
+        self.size = [len(p) for p in self.surface]
+        self.count = size
+        #: Neighbouring characters that some piece has inside; merges never cross any others.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # Every beginning of a piece: its id, or -1 if it is only the beginning of longer ones.
+        self.begun: dict[str, int] = {}
+        for piece in self.ids:
+            for k in range(1, len(piece)):
+                self.begun.setdefault(piece[:k], -1)
+        self.begun.update(self.ids)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes on beyond the beginning of a space; words would not be independent")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.words = Words(self)
         # Decoding tables: a piece's text, and None for bytes.
@@ -94,11 +117,11 @@ class Codec:
     def compatible(self, a: int, b: int) -> bool:
         if a < 0 or b < 0:
             return self.stands(a) and self.stands(b)
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a * self.count + b)
         if known is None:
             if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merges(self.surface[a] + self.surface[b]) == [self.surface[a], self.surface[b]]
+            known = self.pairs[a * self.count + b] = self.merges(self.surface[a] + self.surface[b]) == [self.surface[a], self.surface[b]]
         return known
 
     def weight(self, piece: int) -> float:
@@ -106,29 +129,59 @@ class Codec:
 
     def reach(self, text: str, start: int, piece: int | None, end: int) -> list[int | None]:
         """For positions start..end, the piece of the one path from (start, piece) that ends there; piece None begins a word."""
-        get, longest, pairs = self.ids.get, self.longest, self.pairs
+        get, pairs, count = self.begun.get, self.pairs, self.count
         out: list[int | None] = [None] * (end - start + 1)
-        for q in range(start + 1, end + 1):
-            for j in range(max(start, q - longest), q):
-                if j > start and out[j - start] is None:
+        before = piece
+        for j in range(start, end):
+            if j > start:
+                before = out[j - start]
+                if before is None:
                     continue
+            # Longer pieces that end at the same place begin earlier, so they have been tried before.
+            for q in range(j + 1, end + 1):
                 u = get(text[j:q])
                 if u is None:
                     if q - j > 1:
-                        continue
+                        break
                     u = -1 - ord(text[j])
-                before = piece if j == start else out[j - start]
-                if before is None:
-                    fits = self.stands(u)
-                else:
-                    fits = pairs.get((before, u))
-                    if fits is None:
-                        fits = self.compatible(before, u)
-                if fits:
-                    out[q - start] = u
+                elif u < 0:
+                    continue
+                at = q - start
+                if out[at] is None:
+                    if before is None:
+                        fits = self.stands(u)
+                    elif before < 0 or u < 0:
+                        fits = self.stands(before) and self.stands(u)
+                    else:
+                        fits = pairs.get(before * count + u)
+                        if fits is None:
+                            fits = self.compatible(before, u)
+                    if fits:
+                        out[at] = u
+                if u < 0:
                     break
         return out
 
+    def independent(self, text: str) -> list[str]:
+        """text cut wherever no piece can reach across."""
+        joined, out, at = self.joined, [], 0
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in joined:
+                out.append(text[at:k])
+                at = k
+        out.append(text[at:])
+        return out
+
+    def word(self, text: str) -> bytes:
+        """Ids of one whole word."""
+        reached, at, path, size = self.reach(text, 0, None, len(text)), len(text), [], self.size
+        while at:
+            u = reached[at]
+            path.append(u)
+            at -= size[u] if u >= 0 else 1
+        path.reverse()
+        return self.ids_of(path) if min(path) < 0 else array("i", path).tobytes()
+
     def length(self, piece: int) -> int:
         return 1 if piece < 0 else len(self.surface[piece])
 
