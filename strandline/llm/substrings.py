@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_table, cut, mix, prefix_sums, range_hash, row_key, shuffle_width, slices, word_spans
+from .textkit import byte_table, mix, prefix_sums, range_hash, row_key, shuffle_width, slices, word_spans
 
 WIDTH, ANCHOR = 13, 7
 CELL_BITS, SKETCH_ROWS, BLOCK_BITS = 27, 2, 16
@@ -145,9 +145,8 @@ _CANDIDATE = "row long, doc_id long, word int, key long, hashes array<long>"
 _LOSS = "row long, word int, mask int"
 
 
-def _candidates(texts: DataFrame, bits: int) -> DataFrame:
-    """A row for each anchor estimated repeated: its document, its first window and the hashes of its windows, which are consecutive."""
-    shared = texts.sparkSession.sparkContext.broadcast(sketch(texts, bits))
+def _candidates(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
+    """A row for each anchor estimated repeated: its document, its first window and the hashes of its windows, which are consecutive; narrow: its key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
@@ -161,12 +160,15 @@ def _candidates(texts: DataFrame, bits: int) -> DataFrame:
             chosen = first[keep]
             if not len(chosen):
                 continue
+            if narrow:
+                yield pa.RecordBatch.from_arrays([pa.array(key[chosen].view(np.int64))], names=["key"])
+                continue
             flat = digest[np.repeat(keep, np.diff(np.concatenate([first, [len(key)]])))]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view(np.int64)))
             take = pa.array(text[chosen])
             yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(word[chosen].astype(np.int32)), pa.array(key[chosen].view(np.int64)), lists], names=["row", "doc_id", "word", "key", "hashes"])
 
-    return texts.mapInArrow(run, _CANDIDATE)
+    return texts.mapInArrow(run, "key long" if narrow else _CANDIDATE)
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +206,17 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def losses(docs: DataFrame, bits: int = CELL_BITS) -> DataFrame:
     """(row, word, mask): bit b of mask tells that the window of 13 words at word + b of that row has stood in a document of smaller doc_id."""
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
-    found = cut(_candidates(texts, bits))
-    hot = found.groupBy("key").count().filter(F.col("count") > HOT).select("key")
-    few = F.broadcast(hot)  # at most one key in HOT rows
-    width = shuffle_width(docs.sparkSession)
-    cold = found.join(few, "key", "left_anti").select("row", "doc_id", "word", "key", "hashes").repartition(width, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(sketch(texts, bits))
+    # The keys are counted in a pass of their own: keeping the candidates for both uses would take more disk than that takes time.
+    hot = _candidates(texts, shared, bits, narrow=True).groupBy("key").count().filter(F.col("count") > HOT).select("key")
+    keys = [r["key"] for r in hot.collect()]  # at most one key in HOT rows
+    found = _candidates(texts, shared, bits, narrow=False)
+    few = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))
+    width = shuffle_width(spark)
+    cold = (found.join(few, "key", "left_anti") if keys else found).select("row", "doc_id", "word", "key", "hashes").repartition(width, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
+    if not keys:
+        return cold
     warm = found.join(few, "key", "left_semi").select("row", "doc_id", "word", "key", F.posexplode("hashes").alias("bit", "hash"))
     firsts = warm.groupBy("key", "hash").agg(F.min("doc_id").alias("first"))
     late = warm.join(firsts, ["key", "hash"]).filter("doc_id > first").groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"))
