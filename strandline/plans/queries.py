@@ -171,7 +171,7 @@ def claim_predicates(rows):
 SELECT c.claim_id, concat_ws(' ', nullif(trim(replace(s.name, '_', ' ')), ''), nullif(trim(replace(predicate, '_', ' ')), ''), nullif(trim(replace(coalesce(o.name, object_value), '_', ' ')), '')) AS statement, coalesce(evidence_rows, 0) AS evidence_rows
 FROM claims c JOIN entities s ON s.entity_id = subject_id LEFT JOIN entities o ON o.entity_id = object_id LEFT JOIN e ON e.claim_id = c.claim_id WHERE c.claim_id % 50 < 5""")
 def claim_detail(rows, entities, evidence):
-    named = claims.with_endpoints(rows.filter("claim_id % 50 < 5"), entities).withColumn("target", F.coalesce("object_name", "object_value"))
+    named = claims.with_endpoints(rows, entities).withColumn("target", F.coalesce("object_name", "object_value"))
     backing = evidence.select("claim_id", "source_id", "raw_id", "document_id").distinct().groupBy("claim_id").agg(F.count("*").alias("evidence_rows"))
     return named.join(backing, "claim_id", "left").select("claim_id", claims.statement("subject_name", "predicate", "target").alias("statement"), F.coalesce("evidence_rows", F.lit(0)).alias("evidence_rows"))
 
