@@ -183,7 +183,7 @@ def graph_star_labels(entities):
 @query("conversations", "SELECT conv_id, string_agg(concat(role, ': ', left(text, 40)), ' | ' ORDER BY turn, role, text) AS context FROM conversations GROUP BY conv_id")
 def answer_context(turns):
     parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), F.left(x["text"], F.lit(40)))), " | ").alias("context"))
+    return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), " | ").alias("context"))
 
 
 @query("runs", "SELECT run_id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS n FROM runs WHERE kind <> 'parse' AND status = 'complete') x WHERE n <= 50")

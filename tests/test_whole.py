@@ -20,3 +20,12 @@ def test_claim_detail_answers_for_every_claim(spark):
             want[c.claim_id, " ".join(p.replace("_", " ").strip() for p in parts if p), len(backing.get(c.claim_id, ()))] += 1
     got = Counter(tuple(r) for r in e.queries()["claim_detail"](spark, SF).collect())
     assert got == want and got.total() == len(claims)
+
+
+def test_answer_context_has_whole_turns(spark):
+    turns = {}
+    for r in logical(spark, SF, "conversations").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    want = {k: " | ".join(f"{role}: {text}" for _, role, text in sorted(v)) for k, v in turns.items()}
+    assert max(len(text) for v in turns.values() for *_, text in v) > 40
+    assert {r.conv_id: r.context for r in e.queries()["answer_context"](spark, SF).collect()} == want
