@@ -328,7 +328,7 @@ def due_recrawl(sources):
 
 @query("sources runs fetches links", f"WITH w AS (SELECT source_id, count(*) AS n FROM ({PENDING}) x GROUP BY source_id) SELECT s.source_id, CASE WHEN s.source_id IN (SELECT source_id FROM runs WHERE status IN ('queued', 'running') AND run_id % 77 = 0) THEN 'active' WHEN w.n > 0 THEN 'pending' WHEN {_DUE} THEN 'due' WHEN last_full_recrawl_at IS NOT NULL THEN 'up-to-date' ELSE 'idle' END AS state FROM sources s LEFT JOIN w ON w.source_id = s.source_id")
 def source_state(sources, rows, fetches, links):
-    return runs.source_state(sources, runs.active(rows.filter("run_id % 77 = 0")), coverage.pending_counts(fetches, links), NOW)
+    return runs.source_state(sources, runs.active(rows), coverage.pending_counts(fetches, links), NOW)
 
 
 @query("runs", "SELECT before, after, count(*) AS steps, concat(before, '>', after) IN ('queued>running', 'running>complete', 'running>failed', 'running>stopped', 'stopped>queued') AS allowed FROM (SELECT status AS after, lag(status) OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS before FROM runs) x WHERE before IS NOT NULL GROUP BY before, after")

@@ -29,3 +29,13 @@ def test_answer_context_has_whole_turns(spark):
     want = {k: " | ".join(f"{role}: {text}" for _, role, text in sorted(v)) for k, v in turns.items()}
     assert max(len(text) for v in turns.values() for *_, text in v) > 40
     assert {r.conv_id: r.context for r in e.queries()["answer_context"](spark, SF).collect()} == want
+
+
+def test_source_state_sees_every_run(spark, tmp_path):
+    """Runs 7, 11 and 22 are active by the bridge, 5 and 13 are not; src9 has none."""
+    docs = [(i, f"body {i}", "en", f"src{i}", 6) for i in (5, 7, 9, 11, 13)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = [(7, 7, "click"), (11, 11, "view"), (22, 11, "click"), (5, 5, "click"), (13, 13, "view")]
+    spark.createDataFrame([(*r, 1.0, "{}") for r in runs], "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.source_id: r.state for r in e.queries()["source_state"](spark, str(tmp_path)).collect()}
+    assert {k for k, v in got.items() if v == "active"} == {"src7", "src11"} and set(got) == {f"src{i}" for i in (5, 7, 9, 11, 13)}
