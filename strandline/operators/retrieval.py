@@ -44,8 +44,8 @@ def citations(rows: DataFrame, cap: int = 8) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n").orderBy("url").limit(cap)
 
 
-def history(turns: DataFrame, keep: int = 6, longest: int = 4000) -> DataFrame:
-    """The last turns of each conversation that say something, clipped."""
+def history(turns: DataFrame, keep: int = 6, longest: int = 4000, longest_answer: int = 12000) -> DataFrame:
+    """The last turns of each conversation that say something, clipped; answers keep more."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")
     rows = turns.filter(F.trim("text") != "").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep)
-    return rows.select("conv_id", "turn", "role", F.left("text", F.lit(longest)).alias("text"))
+    return rows.select("conv_id", "turn", "role", F.left("text", F.when(F.col("role") == "assistant", longest_answer).otherwise(longest)).alias("text"))
