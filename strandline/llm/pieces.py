@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut, row_key, shuffle_width, slices
+from .textkit import cut, row_hash, shuffle_width, slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer documents are cut.
@@ -370,7 +370,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
     no rows. Documents of more than `chunk` code points are cut and scanned, all others are a chunk of their own.
     """
     name = _shipped(docs, model)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short = picked.filter(F.length("text") < chunk).withColumn("text", F.col("text").cast("binary"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

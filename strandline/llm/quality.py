@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import IS_WORD, byte_table, cut, mix, prefix_sums, range_hash, row_key, slices, word_hashes, word_spans
+from .textkit import IS_WORD, ROW, cut, mix, place_table, row_key, slices, span_hashes, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 MIN_CELL, SUBSET, STEPS = 60, 0.75, 3
@@ -37,7 +37,7 @@ _LETTER = _CAPITAL.copy()
 _LETTER[97:123] = 1
 _MARK = np.zeros(256, np.int64)
 _MARK[list(b"!?=~^@_{}[]\\/")] = 1
-_LINE_TABLE = byte_table(2)
+_TABLE = place_table(2)
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_marks")
 
 
@@ -86,11 +86,11 @@ def count_texts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_end = np.sort(np.concatenate([breaks, offs[1:]]), kind="stable")
     line_owner = np.repeat(np.arange(n), np.diff(np.searchsorted(breaks, offs)) + 1)
     has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
-    hashes = range_hash(prefix_sums(_LINE_TABLE[data]), line_start, line_end)
+    (hashes,) = span_hashes(data, line_start, line_end, _TABLE)
     out["n_lines"] = np.bincount(line_owner[has_word], minlength=n)
     out["n_dup_lines"] = _duplicates(line_owner[has_word], hashes[has_word], n)
     # Windows of words within one text.
-    words = word_hashes(data, start, end)
+    (words,) = span_hashes(data, start, end, _TABLE)
     owner = np.repeat(np.arange(n), n_words)
     covered = np.zeros(len(words) + 1, np.int64)
     if len(words) >= WINDOW:
@@ -114,7 +114,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], *[pa.array(counts[c].astype(np.int64)) for c in _COUNTS]], names=["doc_id", "row", "lang", "source", *_COUNTS])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text", "lang", "source").alias("row"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], F.col("text").cast("binary").alias("text"))
-    return picked.mapInArrow(run, f"doc_id long, row long, lang string, source string, {', '.join(c + ' long' for c in _COUNTS)}")
+    return picked.mapInArrow(run, f"doc_id long, row {ROW}, lang string, source string, {', '.join(c + ' long' for c in _COUNTS)}")
 
 
 def _share(part: str, whole: str) -> Column:

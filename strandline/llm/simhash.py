@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .textkit import cut, row_key, shuffle_width, slices
+from .textkit import ROW, cut, row_key, shuffle_width, slices
 
 BITS = 64
 #: Widths of the bit blocks, low bits first.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             found = np.array([fingerprint(whole[a:b], shingle) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, row long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id long, row {ROW}, fp long")
 
 
 def _bucket_keys() -> Column:

@@ -5,15 +5,20 @@ and an anchor occurs at least as often as any of its windows. Pass one adds the
 by partition; their cells are merged by saturating sums and only one bit a cell survives: seen twice or more. The
 estimate never falls short, so pass two loses nothing when it keeps just the windows estimated repeated. These are dealt
 by anchor and grouped exactly, in order of doc_id, so the first document of each window is known and later ones drop
-it. Anchors with more than HOT rows are not grouped in one task: their windows go through a partial aggregation instead.
+it. A window is known by two independent hashes of its words together, 128 bits: its anchor's and its own.
 
-The sketch has two rows of 2**CELL_BITS cells, 32 MB as bits whatever the input; that is all that is broadcast. On
-inputs of far more windows than cells it lets more through, which costs shuffle, never rows.
+Anchors with more than HOT rows are not grouped in one task. Their windows are reduced slice by slice to their least and
+largest doc_id, so copies meet as partial results, and only windows of two or more documents stay. Up to HOT_TABLE of
+them are broadcast and looked up where the texts are read in the end; beyond that they are joined to the windows.
+
+The sketch has two rows of 2**bits cells; bits follow the size of the text up to MOST_BITS. Beyond about 13 GB of text a
+cell is no longer mostly empty and the sketch lets more through, which costs shuffle, never rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_table, mix, prefix_sums, range_hash, row_key, shuffle_width, slices, word_spans
+from .textkit import ROW, cut, lookup, mix, place_table, row_key, shuffle_width, slices, span_hashes, word_spans
 
 WIDTH, ANCHOR = 13, 7
-CELL_BITS, SKETCH_ROWS, BLOCK_BITS = 27, 2, 16
+SKETCH_ROWS, BLOCK_BITS, MOST_BITS = 2, 16, 29
+#: Bytes of text for each anchor, about: what the sketch's size is derived from.
+ANCHOR_BYTES = 25
 #: Anchors a partition sketch takes before it is handed on.
 FLUSH = 1 << 20
-HOT = 20_000
-_TABLES = byte_table(3), byte_table(4)
+#: Rows of an anchor beyond which it is not grouped in one task, and repeated windows of such anchors that are broadcast.
+HOT, HOT_TABLE = 5_000, 1 << 20
+_TABLES = place_table(3), place_table(4)
 
 
 def _combined(words: np.ndarray, width: int) -> np.ndarray:
@@ -57,7 +65,7 @@ def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if len(start) < WIDTH:
         return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
-    names = [range_hash(prefix_sums(t[data]), start, end) for t in _TABLES]
+    names = span_hashes(data, start, end, *_TABLES)
     at = np.flatnonzero(owner[: len(owner) - WIDTH + 1] == owner[WIDTH - 1 :])
     short = _combined(names[0], ANCHOR)
     least, place = short[at], at.copy()
@@ -80,7 +88,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield key[np.concatenate([[True], place[1:] != place[:-1]])]  # a place once, though several windows share it
 
 
-def sketch(texts: DataFrame, bits: int = CELL_BITS, keys_of=_anchors) -> list[np.ndarray]:
+def cell_bits(texts: DataFrame, per_anchor: int) -> int:
+    """Bits for about four cells an anchor, within the limits."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(BLOCK_BITS, round(math.log2(max(1, 4 * size / per_anchor)))))
+
+
+def sketch(texts: DataFrame, bits: int, keys_of=_anchors) -> list[np.ndarray]:
     """One bit array a sketch row: the cells whose merged count of the keys (those of keys_of) is two or more."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +148,15 @@ def sketch(texts: DataFrame, bits: int = CELL_BITS, keys_of=_anchors) -> list[np
     return out
 
 
-def _estimated_repeated(rows: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
+def estimated_repeated(rows: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
     flags = np.ones(len(keys), bool)
     for row, cells in zip(rows, cells_of(keys, bits), strict=True):
         flags &= (row[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0
     return flags
 
 
-_CANDIDATE = "row long, doc_id long, word int, key long, hashes array<long>"
-_LOSS = "row long, word int, mask int"
+_CANDIDATE = f"row {ROW}, doc_id long, word int, key long, hashes array<long>"
+_LOSS = f"row {ROW}, word int, mask int"
 
 
 def _candidates(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
@@ -155,7 +169,7 @@ def _candidates(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
                 continue
             new = np.concatenate([[True], place[1:] != place[:-1]])
             first = np.flatnonzero(new)
-            keep = _estimated_repeated(shared.value, key[first], bits)
+            keep = estimated_repeated(shared.value, key[first], bits)
             sizes = np.diff(np.concatenate([first, [len(key)]]))[keep]
             chosen = first[keep]
             if not len(chosen):
@@ -178,7 +192,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        row, doc, word, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        doc, word, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
         lists = batch.column(4)
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy()
@@ -198,80 +212,132 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.bincount(owner, weights=lost * (1 << bit), minlength=n).astype(np.int32)
         hit = np.flatnonzero(mask)
         if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(word[hit]), pa.array(mask[hit])], names=["row", "word", "mask"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(word[hit]), pa.array(mask[hit])], names=["row", "word", "mask"])
         heads = np.flatnonzero(new & (k == key[-1]))
         carried = {"key": k[heads], "hash": h[heads], "doc": docs[order][heads]}
 
 
-def losses(docs: DataFrame, bits: int = CELL_BITS) -> DataFrame:
-    """(row, word, mask): bit b of mask tells that the window of 13 words at word + b of that row has stood in a document of smaller doc_id."""
+def hot_keys(narrow: DataFrame, hot: int) -> np.ndarray:
+    """Sorted keys with more than `hot` rows: at most one in `hot` of all rows."""
+    rows = narrow.groupBy("key").count().filter(F.col("count") > hot).select("key").toLocalIterator()
+    return np.sort(np.fromiter((r["key"] for r in rows), np.int64))
+
+
+def _pair(key: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + digest.view(np.uint64))
+
+
+def _hot_windows(texts: DataFrame, keys) -> DataFrame:
+    """(key, hash, first): windows of hot anchors that stand in two or more documents, with their least doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches):
+            text, _, digest, _, key = windows(data, offs)
+            hit = np.flatnonzero(lookup(key.view(np.int64), keys.value) >= 0)
+            if not len(hit):
+                continue
+            doc, k, h = rows.column(1).to_numpy()[text[hit]], key[hit].view(np.int64), digest[hit].view(np.int64)
+            order = np.lexsort((h, k))
+            doc, k, h = doc[order], k[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(h[new]), pa.array(np.minimum.reduceat(doc, new)), pa.array(np.maximum.reduceat(doc, new))], names=["key", "hash", "low", "high"])
+
+    met = texts.mapInArrow(run, "key long, hash long, low long, high long")
+    return met.groupBy("key", "hash").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("key", "hash", "first")
+
+
+def losses(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, tuple[np.ndarray, ...] | None]:
+    """(lost, hot). lost: (row, word, mask), where bit b of mask tells that the window of 13 words at word + b of that
+    row has stood in a document of smaller doc_id. hot: arrays for `_hot_starts`, which finds the losses of hot anchors."""
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
     spark = docs.sparkSession
+    bits = bits or cell_bits(texts, ANCHOR_BYTES)
     shared = spark.sparkContext.broadcast(sketch(texts, bits))
     # The keys are counted in a pass of their own: keeping the candidates for both uses would take more disk than that takes time.
-    hot = _candidates(texts, shared, bits, narrow=True).groupBy("key").count().filter(F.col("count") > HOT).select("key")
-    keys = [r["key"] for r in hot.collect()]  # at most one key in HOT rows
+    keys = hot_keys(_candidates(texts, shared, bits, narrow=True), HOT)
     found = _candidates(texts, shared, bits, narrow=False)
-    few = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))
+    few = F.broadcast(spark.createDataFrame([(int(k),) for k in keys], "key long"))
     width = shuffle_width(spark)
-    cold = (found.join(few, "key", "left_anti") if keys else found).select("row", "doc_id", "word", "key", "hashes").repartition(width, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
-    if not keys:
-        return cold
+    cold = (found.join(few, "key", "left_anti") if len(keys) else found).select("row", "doc_id", "word", "key", "hashes").repartition(width, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
+    if not len(keys):
+        return cold, None
+    firsts = cut(_hot_windows(texts, spark.sparkContext.broadcast(keys)))
+    if firsts.count() <= HOT_TABLE:
+        rows = firsts.toArrow()
+        key, digest, first = (rows.column(c).to_numpy() for c in ("key", "hash", "first"))
+        order = np.argsort(_pair(key, digest))
+        return cold, (_pair(key, digest)[order], key[order], digest[order], first[order])
     warm = found.join(few, "key", "left_semi").select("row", "doc_id", "word", "key", F.posexplode("hashes").alias("bit", "hash"))
-    firsts = warm.groupBy("key", "hash").agg(F.min("doc_id").alias("first"))
     late = warm.join(firsts, ["key", "hash"]).filter("doc_id > first").groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"))
-    return cold.unionByName(late)
-
-
-def _strip(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        lists = batch.column(2)
-        for text, lost in zip(batch.column(1), lists, strict=True):
-            words = (text.as_py() or b"").split()
-            kept = words
+    return cold.unionByName(late), None
+
+
+def _hot_starts(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, hot) -> dict[int, np.ndarray]:
+    """First words of the windows of each text of a slice that a smaller doc_id has had, as far as their anchors are hot."""
+    text, word, digest, _, key = windows(data, offs)
+    pairs, keys, digests, firsts = hot
+    at = lookup(_pair(key, digest), pairs)
+    hit = np.flatnonzero(at >= 0)
+    at, doc = at[hit], rows.column(0).to_pandas().to_numpy()
+    same = (keys[at] == key[hit].view(np.int64)) & (digests[at] == digest[hit].view(np.int64))
+    hit, at = hit[same], at[same]
+    owner = doc[text[hit]].astype(float)  # a text without doc_id neither loses nor takes
+    late = hit[~np.isnan(owner)]
+    late = late[doc[text[late]].astype(np.int64) > firsts[at[~np.isnan(owner)]]]
+    edges = np.flatnonzero(np.concatenate([[True], text[late][1:] != text[late][:-1]])) if len(late) else []
+    return {int(text[late[a]]): part for a, part in zip(edges, np.split(word[late], edges[1:]), strict=True)} if len(late) else {}
+
+
+def _strip(batches: Iterator[pa.RecordBatch], emit, hot) -> Iterator[pa.RecordBatch]:
+    """batches: doc_id, text, lost. Emits the number of words and the kept ones of each text."""
+    for rows, data, offs in slices(batches):
+        out, raw = [], data.tobytes()
+        more = _hot_starts(rows, data, offs, hot.value) if hot is not None else {}
+        for i, (a, b, lost) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), rows.column(2), strict=True)):
+            words = raw[a:b].split()
+            kept, begins = words, [more[i]] if i in more else []
             if lost.is_valid:
-                gone = np.zeros(len(words) + WIDTH, np.int64)
-                for x in lost.values.to_pylist():
-                    at, mask = x["word"], x["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        gone[at + low] += 1
-                        gone[at + low + WIDTH] -= 1
-                        mask &= mask - 1
-                flags = np.cumsum(gone)[: len(words)] == 0
-                kept = [w for w, f in zip(words, flags.tolist(), strict=True) if f]
+                at, mask = (lost.values.field(k).to_numpy() for k in (0, 1))
+                begins += [at[mask >> k & 1 > 0] + k for k in range(WIDTH - ANCHOR + 1)]
+            if begins:
+                gone = np.bincount(np.unique(np.concatenate(begins)), minlength=len(words))
+                covered = np.cumsum(gone)
+                covered[WIDTH:] -= np.cumsum(gone)[:-WIDTH]
+                kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
             out.append((len(words), kept))
-        yield emit(batch, out)
+        yield emit(rows, out)
 
 
-def _with_losses(docs: DataFrame, bits: int) -> DataFrame:
-    lost = losses(docs, bits).groupBy("row").agg(F.collect_list(F.struct("word", "mask")).alias("lost"))  # within one document
+def _stripped(docs: DataFrame, bits: int | None, emit, schema: str) -> DataFrame:
+    found, hot = losses(docs, bits)
+    lost = found.groupBy("row").agg(F.collect_list(F.struct("word", "mask")).alias("lost"))  # within one document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), row_key("doc_id", "text").alias("row"))
-    return texts.join(lost.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "lost")
+    shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
+    return texts.join(lost.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "lost").mapInArrow(lambda batches: _strip(batches, emit, shared), schema)
 
 
-def dedup_windows(docs: DataFrame, bits: int = CELL_BITS) -> DataFrame:
+def dedup_windows(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) a row of docs; kept_text joins the kept words by one space.
 
     A word goes if a window of 13 words over it also starts in a document of smaller doc_id. Only doc_id and text are
     read. Null texts have no words; rows without doc_id have no order, so they neither lose nor take words; rows that
-    repeat a doc_id do not count against each other. An empty table gives no rows.
+    repeat a doc_id do not count against each other. An empty table gives no rows. Texts are taken a few MB at a time; a
+    longer one is taken whole, with about 60 bytes of memory a byte.
     """
 
     def emit(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([n - len(k) for n, k in out], pa.int64()), pa.array([b" ".join(k) for _, k in out], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return _with_losses(docs, bits).mapInArrow(lambda batches: _strip(batches, emit), "doc_id long, n_words long, n_removed long, kept_text string")
+    return _stripped(docs, bits, emit, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
-def digest(docs: DataFrame, bits: int = CELL_BITS) -> DataFrame:
+def digest(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256): as dedup_windows, hashed where the words are."""
 
     def emit(batch: pa.RecordBatch, out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([n - len(k) for n, k in out], pa.int64()), pa.array([hashlib.sha256(b" ".join(k)).hexdigest() for _, k in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_losses(docs, bits).mapInArrow(lambda batches: _strip(batches, emit), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _stripped(docs, bits, emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""

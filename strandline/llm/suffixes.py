@@ -12,7 +12,9 @@ bytes of the blocks that are still open and stably splits them, so settled block
 which two neighbours part gives their common prefix. Strings that begin d bytes before the anchor are repeated exactly
 if two rows share an interval of common prefix 400 - d forwards and one of d backwards.
 
-Anchors with more than HOT rows are not compared in one task: the digests of their strings are aggregated instead.
+Anchors with more than HOT rows are not compared in one task. The digests (128 bits) of their strings are counted
+slice by slice instead, so copies meet as partial results; up to HOT_TABLE repeated ones are broadcast and looked up
+where the texts are read in the end, and beyond that they are joined to the strings.
 """
 
 from __future__ import annotations
@@ -26,15 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import substrings
-from .textkit import byte_table, prefix_sums, range_hash, row_key, shuffle_width, slices
+from .textkit import ROW, byte_table, cut, lookup, prefix_sums, range_hash, row_key, shuffle_width, slices
 
 LENGTH, CONTEXT = 400, 160
-HOT = 20_000
+#: Rows of an anchor beyond which it is not compared in one task, and repeated strings of such anchors that are broadcast.
+HOT, HOT_TABLE = 5_000, 1 << 20
+#: Bytes of text for each anchor, about: what the sketch's size is derived from.
+ANCHOR_BYTES = 121
 #: Rows that are merged at once, at least; all rows of an anchor stay together.
 SHARD = 2048
 #: Bytes of text taken at once; the arrays over them take about a hundred times as much.
 SLICE = 1 << 19
-_TABLE, _SECOND = byte_table(5), byte_table(6)
+_TABLE = byte_table(5)
+_SEEDS = byte_table(6), byte_table(7)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -139,8 +145,8 @@ def _begins(block: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], b[1:] != b[:-1]])
 
 
-_REGION = "row long, key long, first int, last int, place int, bytes binary"
-_SPAN = "row long, start int, end int"
+_REGION = f"row {ROW}, key long, first int, last int, place int, bytes binary"
+_SPAN = f"row {ROW}, start int, end int"
 
 
 def _regions(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
@@ -149,7 +155,7 @@ def _regions(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches, limit=SLICE):
             text, place, first, last, key = anchors(data, offs)
-            keep = substrings._estimated_repeated(shared.value, key, bits) if len(key) else np.zeros(0, bool)
+            keep = substrings.estimated_repeated(shared.value, key, bits) if len(key) else np.zeros(0, bool)
             if not keep.any():
                 continue
             text, place, first, last, key = (x[keep] for x in (text, place, first, last, key))
@@ -169,14 +175,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = LENGTH - CONTEXT
 
     def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, row, first, last, place = (part.column(c).to_numpy() for c in ("key", "row", "first", "last", "place"))
+        key, first, last, place = (part.column(c).to_numpy() for c in ("key", "first", "last", "place"))
         edge = np.concatenate([[True], key[1:] != key[:-1]])
         block = np.cumsum(edge) - 1
         shared = np.bincount(block)[block] > 1  # an anchor met once after all has nothing to be compared with
         if not shared.any():
             return
         at = np.flatnonzero(shared)
-        block, row, first, last, place = (x[at] for x in (block, row, first, last, place))
+        block, first, last, place = (x[at] for x in (block, first, last, place))
         before, after = np.zeros((len(at), reach), np.uint8), np.zeros((len(at), LENGTH), np.uint8)
         column = part.column("bytes").take(pa.array(at)).to_pylist()
         for i, raw in enumerate(column):
@@ -187,7 +193,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, largest = repeated_ranges(block, before, after, place - last, place - first)
         hit = np.flatnonzero(largest >= 0)
         if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array((place - largest)[hit].astype(np.int32)), pa.array((place - least + LENGTH)[hit].astype(np.int32))], names=["row", "start", "end"])
+            row = part.column("row").take(pa.array(at[hit])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([row, pa.array((place - largest)[hit].astype(np.int32)), pa.array((place - least + LENGTH)[hit].astype(np.int32))], names=["row", "start", "end"])
 
     held, n = [], 0
     for batch in batches:
@@ -210,67 +217,127 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(pa.Table.from_batches(held))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the regions as two independent hashes, with its place."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-            at = np.arange(len(own) - LENGTH + 1)
-            h = [range_hash(prefix_sums(t[own]), at, at + LENGTH).view(np.int64) for t in (_TABLE, _SECOND)]
-            start = (at + batch.column(1)[i].as_py()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64)), pa.array(start), pa.array(h[0]), pa.array(h[1])], names=["row", "start", "h", "g"])
+def _hot_strings(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(begins, digests) of the strings of a slice whose anchors are hot: places within the slice, and two hashes each."""
+    _, _, first, last, key = anchors(data, offs)
+    hit = np.flatnonzero(lookup(key.view(np.int64), keys) >= 0)
+    if not len(hit):
+        return np.zeros(0, np.int64), []
+    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)])
+    return at, [substrings._combined(t[data], LENGTH)[at].view(np.int64) for t in _SEEDS]
+
+
+def _hot_counts(texts: DataFrame, keys) -> DataFrame:
+    """(h, g): digests of the strings under hot anchors that occur twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs in slices(batches, limit=SLICE):
+            at, digests = _hot_strings(data, offs, keys.value)
+            if len(at):
+                h, g = digests
+                order = np.lexsort((g, h))
+                h, g = h[order], g[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(g[new]), pa.array(np.diff(np.append(new, len(h))))], names=["h", "g", "n"])
+
+    return texts.mapInArrow(run, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g")
+
 
+def _hot_rows(texts: DataFrame, keys) -> DataFrame:
+    """Every string under a hot anchor with its row, place and digests."""
 
-def repeated_spans(docs: DataFrame, bits: int = substrings.CELL_BITS) -> DataFrame:
-    """(row, start, end): byte ranges of strings of 400 bytes that also start elsewhere; ranges may overlap and recur."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in slices(batches, limit=SLICE):
+            at, digests = _hot_strings(data, offs, keys.value)
+            if len(at):
+                text = np.searchsorted(offs, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array((at - offs[text]).astype(np.int32)), *map(pa.array, digests)], names=["row", "start", "h", "g"])
+
+    return texts.mapInArrow(run, f"row {ROW}, start int, h long, g long")
+
+
+def repeated_spans(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, tuple[np.ndarray, ...] | None]:
+    """(spans, hot). spans: (row, start, end), byte ranges of strings of 400 bytes that also start elsewhere; ranges may
+    overlap and recur. hot: arrays for `_hot_spans`, which finds those under hot anchors."""
     spark = docs.sparkSession
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).filter("text is not null")
+    bits = bits or substrings.cell_bits(texts, ANCHOR_BYTES)
     shared = spark.sparkContext.broadcast(substrings.sketch(texts, bits, _keys))
-    hot = _regions(texts, shared, bits, narrow=True).groupBy("key").count().filter(F.col("count") > HOT).select("key")
-    keys = [r["key"] for r in hot.collect()]  # at most one in HOT anchors
+    keys = substrings.hot_keys(_regions(texts, shared, bits, narrow=True), HOT)
     regions = _regions(texts, shared, bits, narrow=False)
-    few = F.broadcast(spark.createDataFrame([(k,) for k in keys], "key long"))
-    cold = regions.join(few, "key", "left_anti") if keys else regions
+    few = F.broadcast(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    cold = regions.join(few, "key", "left_anti") if len(keys) else regions
     dealt = cold.select("row", "key", "first", "last", "place", "bytes").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_compare, _SPAN)
-    if keys:
-        strings = regions.join(few, "key", "left_semi").select("row", "first", "bytes").mapInArrow(_digests, "row long, start int, h long, g long")
-        twice = strings.groupBy("h", "g").count().filter("count > 1").select("h", "g")
-        found = found.unionByName(strings.join(twice, ["h", "g"]).select("row", "start", (F.col("start") + LENGTH).alias("end")))
-    return found
-
-
-def dedup_bytes(docs: DataFrame, bits: int = substrings.CELL_BITS) -> DataFrame:
+    if not len(keys):
+        return found, None
+    shared_keys = spark.sparkContext.broadcast(keys)
+    twice = cut(_hot_counts(texts, shared_keys))
+    if twice.count() <= HOT_TABLE:
+        rows = twice.toArrow()
+        h, g = rows.column("h").to_numpy(), rows.column("g").to_numpy()
+        order = np.argsort(h)
+        return found, (keys, h[order], g[order])
+    strings = _hot_rows(texts, shared_keys)
+    return found.unionByName(strings.join(twice, ["h", "g"]).select("row", "start", (F.col("start") + LENGTH).alias("end"))), None
+
+
+def _hot_spans(data: np.ndarray, offs: np.ndarray, hot) -> dict[int, list[tuple[int, int]]]:
+    """Repeated ranges of each text of a slice, as far as their anchors are hot."""
+    keys, hs, gs = hot
+    at, digests = _hot_strings(data, offs, keys)
+    if not len(at):
+        return {}
+    place = lookup(digests[0], hs)
+    at = np.sort(at[(place >= 0) & (gs[place] == digests[1])])
+    if not len(at):
+        return {}
+    text = np.searchsorted(offs, at, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > at[:-1] + LENGTH)]))
+    ends = np.append(new[1:], len(at)) - 1
+    out: dict[int, list[tuple[int, int]]] = {}
+    for t, a, b in zip(text[new].tolist(), (at[new] - offs[text[new]]).tolist(), (at[ends] - offs[text[new]] + LENGTH).tolist(), strict=True):
+        out.setdefault(t, []).append((a, b))
+    return out
+
+
+def dedup_bytes(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) a row of docs; kept are the remaining bytes.
 
     A byte goes if a 400-byte string over it also starts anywhere else, in its own document too; what a removal leaves
     may no longer be UTF-8. Only doc_id and text are read. Null texts are empty; repeated rows are copies of each other
-    and lose what they share; an empty table gives no rows.
+    and lose what they share; an empty table gives no rows. Texts are taken half a MB at a time; a longer one is taken
+    whole, with about a hundred bytes of memory a byte.
     """
     return _stripped(docs, bits, digest=False)
 
 
-def digest(docs: DataFrame, bits: int = substrings.CELL_BITS) -> DataFrame:
+def digest(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): as dedup_bytes, hashed where the bytes are."""
     return _stripped(docs, bits, digest=True)
 
 
-def _stripped(docs: DataFrame, bits: int, digest: bool) -> DataFrame:
-    spans = repeated_spans(docs, bits).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # within one document
+def _stripped(docs: DataFrame, bits: int | None, digest: bool) -> DataFrame:
+    found, hot = repeated_spans(docs, bits)
+    shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None else None
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # within one document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), row_key("doc_id", "text").alias("row"))
     joined = texts.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
     last = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, data, offs in slices(batches, limit=SLICE):
             sizes, removed, runs, kept = [], [], [], []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text.as_py() or b""
+            whole, more = data.tobytes(), _hot_spans(data, offs, shared.value) if shared is not None else {}
+            for i, (begin_at, end_at, found) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column(2), strict=True)):
+                raw = whole[begin_at:end_at]
                 parts, at, gone, n = [], 0, 0, 0
+                ranges = more.get(i, [])
                 if found.is_valid:
+                    ranges = ranges + list(zip(found.values.field(0).to_pylist(), found.values.field(1).to_pylist(), strict=True))
+                if ranges:
                     upto = -1  # end of the maximal removed run
-                    pairs = found.values
-                    for a, b in sorted(zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist(), strict=True)):
+                    for a, b in sorted(ranges):
                         if a > upto:
                             n += 1
                         if b > upto:

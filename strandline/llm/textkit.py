@@ -6,7 +6,6 @@ memory does not depend on the size of a record batch; one text is never split, s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,23 +21,41 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; a folder of our own is set only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+    """Materialise df in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below the shared checkpoint folder and read again."""
+    """df written as Parquet below the shared checkpoint folder and read again; `discard` removes it."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/strandline-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/strandline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that `stored` has written, through Spark's own file system."""
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/strandline-" in f:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session may do without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"/tmp/strandline-{uuid.uuid4().hex}"
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -47,11 +64,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of one row's values; equal rows share it and then also share their results."""
+#: What row_key makes, as a column type.
+ROW = "struct<doc_id:bigint,hash:bigint>"
+
+
+def row_hash(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
 
 
+def row_key(*columns: str) -> Column:
+    """A row's doc_id and a 64-bit hash of its values: equal rows share it and then also share their results, and rows
+    of different documents never do. Structs compare by their fields, nulls included."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(*columns).alias("hash"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(31))
@@ -140,8 +166,41 @@ def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD
     return start, end, np.searchsorted(start, offs)
 
 
-WORD_TABLE = byte_table(1)
+_PLACES = 64
+
+
+def place_table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each byte at each of the first places of a span."""
+    return mix((np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, *tables: np.ndarray) -> list[np.ndarray]:
+    """Hashes of data[start:end], one array a table: the sum of a random value for each (byte, place within the span).
+
+    Unlike a polynomial modulo 2**64, no two contents collide under every table: each table is a hash of its own.
+    """
+    length = end - start
+    first = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length, out=first[1:])
+    local = np.arange(first[-1]) - np.repeat(first[:-1], length)
+    byte = data[local + np.repeat(start, length)]
+    code = (local & (_PLACES - 1)).astype(np.uint16) << 8 | byte
+    far = np.flatnonzero(local >= _PLACES)
+    beyond = (local[far] // _PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out = []
+    for table in tables:
+        value = table[code]
+        if len(far):
+            value[far] = mix(value[far] + beyond)
+        sums = np.zeros(first[-1] + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        out.append(mix(sums[first[1:]] - sums[first[:-1]]))
+    return out
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_sums(WORD_TABLE[data]), start, end)
+def lookup(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For each key its place in a sorted table, -1 where it is not there."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)

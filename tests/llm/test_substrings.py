@@ -40,9 +40,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
-def test_matches_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "table"), [(20_000, 1000), (5, 100_000), (5, 0)])
+def test_matches_brute_force(spark, monkeypatch, hot, table):
     monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "HOT_TABLE", table)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, word int")
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in s.digest(docs, BITS).collect())
@@ -60,3 +61,26 @@ def test_kept_text_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m"), (2, "x a b c d e f g h i j k l m\ty")], "doc_id long, text string")
     assert {r.doc_id: r.kept_text for r in s.dedup_windows(docs, BITS).collect()} == {1: "a b c d e f g h i j k l m", 2: "x y"}
     assert s.dedup_windows(docs.limit(0), BITS).count() == 0
+
+
+def thue_morse(n):
+    """Words that every polynomial hash modulo 2**64 with an odd base confuses with their complement."""
+    flags = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[f] for f in flags), "".join("ba"[f] for f in flags)
+
+
+def test_words_are_told_apart(spark):
+    one, other = thue_morse(1024)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, f"{common} {one}"), (2, f"{common} {other}"), (3, f"{common} {one}")]
+    got = {r.doc_id: r.n_removed for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string"), BITS).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(5)
+    part = " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))
+    long = " ".join(f"u{i}" for i in range(600_000))  # over one slice
+    rows = [(1, part), (2, f"{long} {part} {long[:2000]}x")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string"), None).collect())
+    assert got == brute(rows)

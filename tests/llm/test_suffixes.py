@@ -47,9 +47,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(20_000, 2048), (20_000, 16), (3, 2048)])
-def test_matches_brute_force(spark, monkeypatch, hot, shard):
+@pytest.mark.parametrize(("hot", "shard", "table"), [(20_000, 2048, 0), (20_000, 16, 0), (3, 2048, 100_000), (3, 2048, 0)])
+def test_matches_brute_force(spark, monkeypatch, hot, shard, table):
     monkeypatch.setattr(s, "HOT", hot)
+    monkeypatch.setattr(s, "HOT_TABLE", table)
     monkeypatch.setattr(s, "SHARD", shard)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, key string, start int")
@@ -62,3 +63,12 @@ def test_kept_bytes_and_empty(spark):
     docs = spark.createDataFrame([(1, "<" + one + ">"), (2, one + "!"), (3, "other")], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in s.dedup_bytes(docs, BITS).collect()} == {1: b"<>", 2: b"!", 3: b"other"}
     assert s.dedup_bytes(docs.limit(0), BITS).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = make(600)
+    rows = [(1, make(50) + shared), (2, make(1_200_000) + shared + make(400))]  # over two slices
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
