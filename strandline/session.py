@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +23,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df materialised in the shared checkpoint folder, its lineage cut; a folder is made only where the session names none."""
+    """df materialised in the shared checkpoint folder, its lineage cut. Only a local session may name no folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"/tmp/strandline-{uuid.uuid4().hex}"
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
