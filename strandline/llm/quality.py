@@ -1,12 +1,14 @@
 """Quality rules by robust multivariate outlyingness.
 
 Statistics of every whole text are counted over Arrow buffers, a few MB at a time. Their transformed vectors are then
-compared with what is usual for their language and source: a minimum-covariance-determinant estimate a cell, found by
-concentration steps from a median/MAD start, each step an aggregation over all rows. Nothing is sampled. A cell is
+compared with what is usual for their language and source: a minimum-covariance-determinant estimate a cell. Three
+starts a cell (median and MAD, spatial signs, plain moments) are concentrated, each step an aggregation over all rows,
+until no determinant falls any more; of the three the one of least determinant stands. Nothing is sampled. A cell is
 (lang, source), or the language where a source has too few rows of it, or everything where the language has too few.
 Vectors whose squared Mahalanobis distance, scaled to be chi-square at its median, exceeds CUT are rejected.
 
-The model has one row a cell. It is broadcast behind a count of cells; above BROADCAST_CELLS the join shuffles.
+Cell names and models have one row a cell. They are broadcast behind a count of cells; above BROADCAST_CELLS the joins
+shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from .textkit import IS_WORD, ROW, cut, mix, place_table, row_key, slices, span_hashes, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-MIN_CELL, SUBSET, STEPS = 60, 0.75, 3
+MIN_CELL, SUBSET = 60, 0.75
+#: Concentration ends when no log-determinant falls by more than this, or after so many steps.
+SETTLED, MOST_STEPS = 1e-3, 8
 BROADCAST_CELLS = 20_000
 #: The vector's features with the least standard deviation each is credited with; constant features would else decide alone.
 FEATURES = {"word_length": 0.5, "symbols": 0.10, "dup_lines": 0.10, "repeats": 0.12, "capitals": 0.06, "marks": 0.10}
@@ -136,11 +140,11 @@ def _vector() -> dict[str, Column]:
 
 def _with_cells(stats: DataFrame) -> DataFrame:
     """stats with `cell`: the finest grouping that has MIN_CELL rows."""
-    pairs = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    pairs = cut(stats.groupBy("lang", "source").agg(F.count("*").alias("n")))
     rest = F.when(F.col("n") < MIN_CELL, F.col("n")).otherwise(0)
     langs = pairs.groupBy("lang").agg(F.sum(rest).alias("left"))
     named = pairs.join(langs, "lang").select("lang", "source", F.when(F.col("n") >= MIN_CELL, F.concat_ws("\u0001", F.lit("p"), "lang", "source")).when(F.col("left") >= MIN_CELL, F.concat_ws("\u0001", F.lit("l"), "lang")).otherwise(F.lit("*")).alias("cell"))
-    return stats.join(named, ["lang", "source"])
+    return stats.join(F.broadcast(named) if pairs.count() <= BROADCAST_CELLS else named, ["lang", "source"])
 
 
 def _distance(mean: str = "mean", precision: str = "precision") -> Column:
@@ -154,47 +158,67 @@ def _distance(mean: str = "mean", precision: str = "precision") -> Column:
 
 
 def _inverted(estimates: DataFrame) -> DataFrame:
-    """(cell, mean, precision) of (cell, mean, cov); cov gains the least variances on its diagonal."""
-    floor = np.diag(np.square(list(FEATURES.values())))
+    """(cell, start, mean, precision, logdet); cov gains the least variances on its diagonal first."""
+    floor, size = np.diag(np.square(list(FEATURES.values()))), len(FEATURES)
 
-    def run(batches):
-        for frame in batches:
-            size = len(FEATURES)
-            frame["precision"] = [np.linalg.inv(np.array(c, float).reshape(size, size) + floor).ravel().tolist() for c in frame["cov"]]
-            yield frame[["cell", "mean", "precision"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            covs = [np.array(c, float).reshape(size, size) + floor for c in b.column(3).to_pylist()]
+            precision = pa.array([np.linalg.inv(c).ravel().tolist() for c in covs], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], precision, pa.array([float(np.linalg.slogdet(c)[1]) for c in covs], pa.float64())], names=["cell", "start", "mean", "precision", "logdet"])
 
-    return estimates.mapInPandas(run, "cell string, mean array<double>, precision array<double>")
+    return estimates.select("cell", "start", "mean", "cov").mapInArrow(run, "cell string, start int, mean array<double>, precision array<double>, logdet double")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     names = list(FEATURES)
     cov = [F.covar_pop(a, b) for a in names for b in names]
-    return rows.groupBy("cell").agg(F.array(*[F.avg(f) for f in names]).alias("mean"), F.transform(F.array(*cov), lambda x: F.coalesce(x, F.lit(0.0))).alias("cov"))
+    return rows.groupBy(*keys).agg(F.array(*[F.avg(f) for f in names]).alias("mean"), F.transform(F.array(*cov), lambda x: F.coalesce(x, F.lit(0.0))).alias("cov"))
 
 
-def _joined(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(model) if few else model, "cell")
+def _joined(rows: DataFrame, model: DataFrame, few: bool, *keys: str) -> DataFrame:
+    return rows.join(F.broadcast(model) if few else model, list(keys))
 
 
-def fit(vectors: DataFrame) -> DataFrame:
-    """(cell, mean, precision, scale): the MCD estimate of each cell of `vectors` (cell and the features)."""
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
+    """(cell, start, mean, cov) of the three starts of every cell."""
     names = list(FEATURES)
-    few = vectors.select("cell").distinct().count() <= BROADCAST_CELLS
+    size = len(names)
     centre = cut(vectors.groupBy("cell").agg(F.array(*[F.percentile(f, F.lit(0.5)) for f in names]).alias("mean")))
-    spread = _joined(vectors, centre, few).groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*[F.percentile(F.round(F.abs(F.col(f) - F.col("mean")[i]), 3), F.lit(0.5)) * 1.4826 for i, f in enumerate(names)]).alias("mad"))
+    spread = cut(_joined(vectors, centre, few, "cell").groupBy("cell").agg(F.first("mean").alias("mean"), F.array(*[F.percentile(F.round(F.abs(F.col(f) - F.col("mean")[i]), 3), F.lit(0.5)) * 1.4826 for i, f in enumerate(names)]).alias("mad")))
     zero = F.lit(0.0)
-    diagonal = F.array(*[F.col("mad")[i] * F.col("mad")[i] if i == j else zero for i in range(len(names)) for j in range(len(names))])
-    model = cut(_inverted(spread.select("cell", "mean", diagonal.alias("cov"))))
+    diagonal = F.array(*[F.col("mad")[i] * F.col("mad")[i] if i == j else zero for i in range(size) for j in range(size)])
+    # Spatial signs: every vector counts by its direction alone, in units of the features' own spread.
+    unit = [F.sqrt(F.col("mad")[i] * F.col("mad")[i] + floor * floor) for i, floor in enumerate(FEATURES.values())]
+    away = _joined(vectors, spread, few, "cell").select("cell", "mean", F.array(*unit).alias("unit"), *[((F.col(f) - F.col("mean")[i]) / unit[i]).alias(f) for i, f in enumerate(names)])
+    norm = F.greatest(F.sqrt(sum((F.col(f) * F.col(f) for f in names), zero)), F.lit(1e-9))
+    signs = away.select("cell", "mean", "unit", *[(F.col(f) / norm).alias(f) for f in names])
+    directions = signs.groupBy("cell").agg(F.first("mean").alias("mean"), F.first("unit").alias("unit"), F.array(*[F.avg(F.col(a) * F.col(b)) for a in names for b in names]).alias("s"))
+    signed = F.array(*[F.col("s")[i * size + j] * F.col("unit")[i] * F.col("unit")[j] * size for i in range(size) for j in range(size)])
+    starts = [spread.select("cell", F.lit(0).alias("start"), "mean", diagonal.alias("cov")), directions.select("cell", F.lit(1).alias("start"), "mean", signed.alias("cov")), _moments(vectors, "cell").select("cell", F.lit(2).alias("start"), "mean", "cov")]
+    return starts[0].unionByName(starts[1]).unionByName(starts[2])
+
+
+def fit(vectors: DataFrame) -> DataFrame:
+    """(cell, mean, precision, scale): the MCD estimate of each cell of `vectors` (cell and the features)."""
+    names = list(FEATURES)
+    few = 3 * vectors.select("cell").distinct().count() <= BROADCAST_CELLS
+    model = cut(_inverted(_starts(vectors, few)))
     # A distance is ranked by its logarithm in steps of a hundredth: the exact quantile then needs few distinct values.
     ranked = lambda: F.round(F.log1p(_distance()), 2)
-    for _ in range(STEPS):
-        far = _joined(vectors, model, few).select("cell", *names, ranked().alias("far"))
-        bound = far.groupBy("cell").agg(F.percentile("far", F.lit(SUBSET)).alias("bound"))
-        inner = _joined(far, bound, few).filter("far <= bound + 0.005")
-        model = cut(_inverted(_moments(inner)))
-    middle = _joined(vectors, model, few).groupBy("cell").agg(F.percentile(ranked(), F.lit(0.5)).alias("m"))
+    for step in range(MOST_STEPS):
+        far = _joined(vectors, model, few, "cell").select("cell", "start", *names, ranked().alias("far"))
+        bound = far.groupBy("cell", "start").agg(F.percentile("far", F.lit(SUBSET)).alias("bound"))
+        inner = _joined(far, bound, few, "cell", "start").filter("far <= bound + 0.005")
+        after = cut(_inverted(_moments(inner, "cell", "start")))
+        fallen = after.join(model.select("cell", "start", F.col("logdet").alias("before")), ["cell", "start"]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        model = after
+        if step and (fallen is None or fallen <= SETTLED):  # the starts' own determinants are of no subset
+            break
+    best = cut(model.groupBy("cell").agg(F.min(F.struct("logdet", "start", "mean", "precision")).alias("m")).select("cell", "m.mean", "m.precision"))
+    middle = _joined(vectors, best, few, "cell").groupBy("cell").agg(F.percentile(ranked(), F.lit(0.5)).alias("m"))
     scaled = middle.select("cell", F.greatest(F.expr("expm1(m)") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return cut(model.join(scaled, "cell"))
+    return cut(best.join(scaled, "cell"))
 
 
 def base_failed() -> Column:
