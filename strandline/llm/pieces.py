@@ -7,13 +7,15 @@ its neighbours are compatible, so from a given start at most one path reaches ea
 
 A giant document is cut into chunks at fixed places. A chunk's boundary states are the nodes whose piece ends on or
 first beyond a boundary; its transfer matrix holds the best score from each entry state to each exit state. Matrices are
-combined associatively in the (max, +) semiring, which tells every chunk its entry and exit state; chunks are then
-traced back independently. No piece spans the beginning of a run of spaces, so between such places all entries share
+combined associatively in the (max, +) semiring: blocks of chunks in parallel, then the blocks' products, then each block
+from its own entry and exit state again in parallel, which tells every chunk its states; chunks are then traced back
+independently. No piece spans the beginning of a run of spaces, so between such places all entries share
 one path: the matrix needs only the pieces around the boundaries, and inside, words are encoded through a cache.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -31,7 +33,10 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer documents are cut.
 CHUNK = 1 << 16
 SPACE = "▁"
-_CACHE, _PAIRS = 300_000, 1_000_000
+#: Words and pairs of pieces that a worker remembers; about 80 MB at most.
+_CACHE, _PAIRS = 150_000, 300_000
+#: Chunks whose matrices are multiplied in one task; a document's blocks are multiplied in parallel.
+BLOCK = 64
 NEVER = float("-inf")
 
 
@@ -228,6 +233,11 @@ class Codec:
         return np.frombuffer(self.encode_words(normalised(text)), np.int32)
 
     def decode(self, ids: Iterable[int]) -> str:
+        try:
+            whole = "".join(map(self.shown.__getitem__, ids))
+            return whole[1:] if whole.startswith(" ") else whole
+        except TypeError:  # bytes among them
+            pass
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -329,24 +339,80 @@ def combine(a: dict, b: dict) -> dict:
     return out
 
 
-def states(matrices: list[dict]) -> list[tuple[tuple, tuple]]:
-    """(entry, exit) of every chunk on the best path, from prefix products of the matrices."""
-    prefix = [matrices[0]]
+def product(matrices: list[dict]) -> dict:
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = combine(out, m)
+    return out
+
+
+def states(matrices: list[dict], entry: tuple | None = None, leave: tuple | None = None) -> list[tuple[tuple, tuple]]:
+    """(entry, exit) of every matrix on the best path between two states; by default from the only one to the best."""
+    start = entry or next(iter(matrices[0]))
+    prefix = [{start: matrices[0][start]}]
     for m in matrices[1:]:
         prefix.append(combine(prefix[-1], m))
-    start = next(iter(matrices[0]))
-    leave = max(prefix[-1][start], key=prefix[-1][start].get)
+    leave = leave or max(prefix[-1][start], key=prefix[-1][start].get)
     out = []
     for k in range(len(matrices) - 1, -1, -1):
         if k == 0:
-            entry = start
+            begin = start
         else:
-            entry = max((e for e, row in matrices[k].items() if leave in row and e in prefix[k - 1][start]), key=lambda e: prefix[k - 1][start][e] + matrices[k][e][leave])
-        out.append((entry, leave))
-        leave = entry
+            begin = max((e for e, row in matrices[k].items() if leave in row and e in prefix[k - 1][start]), key=lambda e: prefix[k - 1][start][e] + matrices[k][e][leave])
+        out.append((begin, leave))
+        leave = begin
     return out[::-1]
 
 
+def _piece(x) -> int | None:
+    import pandas as pd
+
+    return None if pd.isna(x) else int(x)
+
+
+def _matrices(frame, key: str) -> tuple[list[int], list[dict]]:
+    """The matrices of a frame's rows in order of key."""
+    by: dict[int, dict] = {}
+    for k, p, u, q, v, score in zip(frame[key], frame["p"], frame["u"], frame["q"], frame["v"], frame["score"], strict=True):
+        by.setdefault(int(k), {}).setdefault((int(p), _piece(u)), {})[int(q), _piece(v)] = score
+    return sorted(by), [by[k] for k in sorted(by)]
+
+
+def chunk_states(steps: DataFrame) -> DataFrame:
+    """(row, k, p, u, q): entry state and end of each chunk on the best path, from the transfer matrices of all chunks.
+
+    A parallel scan of three passes: products of BLOCK chunks, the path over a document's products, the paths in blocks.
+    """
+    blocked = steps.withColumn("b", F.floor(F.col("k") / BLOCK))
+
+    def multiply(key, frame):
+        import pandas as pd
+
+        _, found = _matrices(frame, "k")
+        rows = [(*key, p, u, q, v, score) for (p, u), row in product(found).items() for (q, v), score in row.items()]
+        return pd.DataFrame(rows, columns=["row", "b", "p", "u", "q", "v", "score"]).astype({"u": "Int64", "v": "Int64"})
+
+    def over(key, frame):
+        import pandas as pd
+
+        names, found = _matrices(frame, "b")
+        path = states(found)
+        return pd.DataFrame([(key[0], b, *e, *x) for b, (e, x) in zip(names, path, strict=True)], columns=["row", "b", "p", "u", "q", "v"]).astype({"u": "Int64", "v": "Int64"})
+
+    def within(key, frame, ends):
+        import pandas as pd
+
+        names, found = _matrices(frame, "k")
+        end = ends.iloc[0]
+        path = states(found, (int(end["p"]), _piece(end["u"])), (int(end["q"]), _piece(end["v"])))
+        return pd.DataFrame([(key[0], k, *e, x[0]) for k, (e, x) in zip(names, path, strict=True)], columns=["row", "k", "p", "u", "q"]).astype({"u": "Int64"})
+
+    state = "p long, u long, q long, v long"
+    products = blocked.groupBy("row", "b").applyInPandas(multiply, f"row long, b long, {state}, score double")
+    ends = products.groupBy("row").applyInPandas(over, f"row long, b long, {state}")
+    return blocked.groupBy("row", "b").cogroup(ends.groupBy("row", "b")).applyInPandas(within, "row long, k long, p long, u long, q long")
+
+
 @lru_cache(maxsize=2)
 def _codec(name: str) -> Codec:
     with open(SparkFiles.get(name), "rb") as f:
@@ -363,12 +429,8 @@ def _list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, row, ids): the piece ids of every row's whole text, equal to the library's own encoding.
-
-    Null and empty texts have no ids. Repeated rows each get a row. Only doc_id and text are read; an empty table gives
-    no rows. Documents of more than `chunk` code points are cut and scanned, all others are a chunk of their own.
-    """
+def _encoded(docs: DataFrame, model: str, chunk: int, schema: str, emit) -> DataFrame:
+    """Ids of every row's whole text, made into the rows that emit(codec, rows, ids) builds where the codec is at hand."""
     name = _shipped(docs, model)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short = picked.filter(F.length("text") < chunk).withColumn("text", F.col("text").cast("binary"))
@@ -377,11 +439,26 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> D
         codec = _codec(name)
         for rows, data, offs in slices(batches):
             raw = data.tobytes()
-            parts = [codec.encode_words(normalised(raw[a:b].decode())) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _list_array(parts)], names=["doc_id", "row", "ids"])
+            yield emit(codec, rows, [codec.encode_words(normalised(raw[a:b].decode())) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(name)
+        for rows in batches:
+            for k in range(rows.num_rows):  # giants one at a time
+                yield emit(codec, rows.slice(k, 1), [rows.column(2)[k].values.to_numpy().astype(np.int32).tobytes()])
+
+    giants = _scanned(picked.filter(F.length("text") >= chunk).distinct(), picked, name, chunk)
+    return short.mapInArrow(whole, schema).unionByName(giants.mapInArrow(gathered, schema))
 
-    done = short.mapInArrow(whole, "doc_id long, row long, ids array<int>")
-    return done.unionByName(_scanned(picked.filter(F.length("text") >= chunk).distinct(), picked, name, chunk))
+
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, row, ids): the piece ids of every row's whole text, equal to the library's own encoding.
+
+    Null and empty texts have no ids. Repeated rows each get a row. Only doc_id and text are read; an empty table gives
+    no rows. Documents of more than `chunk` code points are cut and scanned, all others are a chunk of their own.
+    """
+    emit = lambda codec, rows, parts: pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _list_array(parts)], names=["doc_id", "row", "ids"])
+    return _encoded(docs, model, chunk, "doc_id long, row long, ids array<int>", emit)
 
 
 def _scanned(giant: DataFrame, picked: DataFrame, name: str, chunk: int) -> DataFrame:
@@ -416,20 +493,7 @@ def _scanned(giant: DataFrame, picked: DataFrame, name: str, chunk: int) -> Data
 
     steps = chunks.mapInArrow(matrices, "row long, k long, p long, u long, q long, v long, score double")
 
-    def scan(frame):
-        """One document's matrices, a few rows a chunk: the states of its chunks."""
-        import pandas as pd
-
-        def piece(x):
-            return None if pd.isna(x) else int(x)
-
-        by: dict[int, dict] = {}
-        for k, p, u, q, v, score in zip(frame["k"], frame["p"], frame["u"], frame["q"], frame["v"], frame["score"], strict=True):
-            by.setdefault(int(k), {}).setdefault((int(p), piece(u)), {})[int(q), piece(v)] = score
-        path = states([by[k] for k in sorted(by)])
-        return pd.DataFrame([(frame["row"].iloc[0], k, e[0], e[1], x[0]) for k, (e, x) in enumerate(path)], columns=["row", "k", "p", "u", "q"]).astype({"u": "Int64"})
-
-    known = steps.groupBy("row").applyInPandas(scan, "row long, k long, p long, u long, q long")
+    known = chunk_states(cut(steps))
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
@@ -457,6 +521,13 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_pieces, ids, decoded_sha256) of every row: its ids, and the SHA-256 of the text decoded from them."""
-    found = decode(encode(docs, model, chunk), model)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_pieces, ids, decoded_sha256) of every row: its ids, and the SHA-256 of the text decoded from them.
+
+    As encode; both ways are taken in one pass, so a worker holds one codec.
+    """
+
+    def emit(codec: Codec, rows: pa.RecordBatch, parts: list[bytes]) -> pa.RecordBatch:
+        shown = [hashlib.sha256(codec.decode(np.frombuffer(p, np.int32).tolist()).encode()).hexdigest() for p in parts]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(p) // 4 for p in parts], pa.int64()), _list_array(parts), pa.array(shown, pa.string())], names=["doc_id", "n_pieces", "ids", "decoded_sha256"])
+
+    return _encoded(docs, model, chunk, "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string", emit)
