@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, pieces, quality, secrets, simhash
-from strandline.llm.textkit import stored, table
+from strandline.llm.textkit import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = stored(stage(spark, docs, sf_dir))
+        if k:
+            discard(docs)  # the next table is written; this one is read no more
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
