@@ -6,9 +6,11 @@ calibrated on held-out candidates select the additions. Base rules decide emails
 themselves; what they decide is never taken back.
 
 The trees are grown here, each round from one table of candidate counts by feature vector: all features are small
-numbers, so that table is bounded by their number of values, not by the corpus. Labels come from the base rules, whose
-decisive parts (the Luhn sum, the leading plus, the 255 of an address part) are hidden from the features, and from
-spans written by rule into bounded samples. Candidates are collected from SAMPLE_DOCS documents (those of least hash).
+numbers, so that table is bounded by their number of values, not by the corpus. Labels of corpus candidates come from
+the base rules: a proposal that overlaps a base phone or email is personal data, with what decides there (the leading
+plus and the country's digits before the proposal) hidden from the features; every other proposal counts as ordinary.
+Forms that the base rules do not know are written by rule. Both samples are bounded: SAMPLE_DOCS distinct documents
+with a proposal (those of least hash) and MADE spans a form.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .textkit import least_hash_sample
 
 SAMPLE_DOCS, MADE = 400, 3000
 ROUNDS, DEPTH, RATE = 12, 2, 0.5
@@ -40,6 +43,8 @@ _IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 NUMBER = r"(?<![A-Za-z0-9+])[(]?[0-9](?:[\x20().-]{0,2}[0-9]){8,18}+(?![A-Za-z0-9])"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?[\[({](?:at|AT)[\])}]\x20?|\x20@\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({](?:dot|DOT)[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z0-9-]{1,63}){1,4}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: What a base phone has in front of the part that is proposed.
+_HIDDEN = r"\+[0-9\x20().-]*$"
 _CUE = r"(?i)(?:phone|tel|call|mobile|cell|fax|mail|contact|ssn|social|iban|account|konto|telefon|t[eé]l[eé]phone|tel[eé]fono|correo|e-mail)[^A-Za-z0-9]{0,4}$"
 #: Cheap necessary conditions, so that most texts meet no span expression at all.
 _ANY_BASE = r"@|[0-9][\x20-]?[0-9]|[0-9]\.[0-9]|\+[0-9]"
@@ -92,25 +97,29 @@ def features(kind: Column, value: Column, before: Column) -> list[Column]:
         F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(4)),
         before.rlike(_CUE).cast("int"),
         value.rlike(r"[\[({](?:at|AT|dot|DOT)[\])}]| @|(?i: dot )").cast("int"),
+        # Context: what kind of character stands before, and how long the word before is.
+        F.when(before.rlike(r"[A-Za-z][^A-Za-z0-9]*$"), 1).when(before.rlike(r"[0-9][^A-Za-z0-9]*$"), 2).when(before.rlike(r"[^A-Za-z0-9\s]\s*$"), 3).otherwise(0),
+        F.least(F.length(F.regexp_extract(before, r"([A-Za-z]*)[^A-Za-z]*$", 1)), F.lit(6)),
         value.rlike(r"(?i)[. ](?:com|org|net|edu|io|de|fr|es|co|uk|info)$|\)?(?:com|org|net)$").cast("int"),
     ]
 
 
-N_FEATURES = 9
+N_FEATURES = 11
 
 
-def _context(text: Column, span: Column) -> Column:
-    start = F.greatest(span["start"] - 16, F.lit(0))
-    return F.substring(text, start + 1, span["start"] - start)
+def _context(span: Column) -> Column:
+    return F.regexp_replace(span["before"], _HIDDEN, "")
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """(f, label, part): feature vectors of proposals, 1 for personal data; part 0..9 tells training from calibration."""
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = text.filter(F.col("text").rlike(_ANY_MORE)).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
-    seen = some.select("text", F.explode(proposals(F.col("text"))).alias("s"))
-    # What the corpus proposes counts as ordinary unless a phone of the base rules ends with the same digits.
-    corpus = seen.select(*[f.alias(f"f{i}") for i, f in enumerate(features(F.col("s.kind"), F.col("s.value"), _context(F.col("text"), F.col("s"))))], F.lit(0).alias("label"), F.xxhash64("text", "s.start").alias("h")).filter("f6 = 0 and f0 <> 1 and f3 = 0 and f7 = 0")
+    some = least_hash_sample(text.filter(F.col("text").rlike(_ANY_MORE)), "text", SAMPLE_DOCS)
+    based = some.select(F.xxhash64("text").alias("t"), base_spans(F.col("text")).alias("base"), proposals(F.col("text")).alias("more"))
+    told = F.struct(*[spans.of_kind(F.col("base"), k).alias(k) for k in ("email", "phone", "ip", "card")])
+    marked = based.select("t", F.explode(F.get(F.transform(F.array(told), lambda b: F.transform(F.col("more"), lambda s: F.struct(s.alias("s"), spans.touches(s, b["email"], b["phone"]).alias("hit"), spans.touches(s, b["ip"], b["card"]).alias("other")))), F.lit(0))).alias("x"))
+    # Addresses and cards are no kind that is proposed; the rules decide them, and no proposal is judged by them.
+    corpus = marked.filter("not x.other").select(*[f.alias(f"f{i}") for i, f in enumerate(features(F.col("x.s.kind"), F.col("x.s.value"), _context(F.col("x.s"))))], F.col("x.hit").cast("int").alias("label"), F.xxhash64("t", "x.s.start").alias("h"))
     n = F.col("id")
     d = lambda salt, size: F.lpad(F.pmod(F.xxhash64(F.lit(salt), n), F.lit(10**size)).cast("string"), size, "0")
     word = lambda salt: F.translate(F.substring(F.sha2(F.concat(F.lit(salt), n.cast("string")), 256), 1, 7), "0123456789", "ghijklmnop")
@@ -225,7 +234,7 @@ def added_spans(text: Column, model: tuple[list[Tree], float]) -> Column:
     trees, threshold = model
 
     def score(s: Column) -> Column:
-        f = features(s["kind"], s["value"], _context(text, s))
+        f = features(s["kind"], s["value"], _context(s))
         keyed = F.struct(*[x.alias(f"f{i}") for i, x in enumerate(f)])
         # One struct of features a span, so that each is computed once and not in every tree.
         return F.aggregate(F.array(keyed), F.lit(0.0), lambda total, x: total + sum((t.column([x[f"f{i}"] for i in range(N_FEATURES)]) for t in trees), F.lit(0.0)))
@@ -235,21 +244,28 @@ def added_spans(text: Column, model: tuple[list[Tree], float]) -> Column:
 
 def _outermost(chosen: Column) -> Column:
     """Of accepted spans within a longer accepted one, the longer stands for both."""
-    inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"])
-    return F.filter(chosen, lambda a: ~F.exists(chosen, lambda b: inside(a, b)))
+    # The spans of one generator are sorted and free of overlaps.
+    lists = F.struct(F.filter(chosen, lambda s: s["kind"].isin("phone2", "ssn")).alias("a"), spans.of_kind(chosen, "email2").alias("b"), spans.of_kind(chosen, "iban").alias("c"))
+
+    def inside(s: Column, more: Column) -> Column:
+        over = spans.last_before(more, s["start"] + 1)
+        return F.coalesce((over["end"] >= s["end"]) & (over["end"] - over["start"] > s["end"] - s["start"]), F.lit(False))
+
+    return F.get(F.transform(F.array(lists), lambda x: F.filter(chosen, lambda s: ~(inside(s, x["a"]) | inside(s, x["b"]) | inside(s, x["c"])))), F.lit(0))
 
 
 def personal_spans(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
-    """docs with `base` and `added`, arrays of (kind, start, end, value, part) in code points, end exclusive.
+    """docs with `base` and `added`, arrays of (kind, start, end, value, part, before) in code points, end exclusive.
 
     Base spans may overlap across kinds; added spans overlap no base span. Null and empty texts have none; every row
     stays, repeated ones too; an empty table trains on the made samples alone. Columns of these two names are replaced.
+    Very long texts are taken whole; the work is about linear in their matches.
     """
     model = model or train(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.withColumn("base", F.when(text.rlike(_ANY_BASE), base_spans(text)).otherwise(spans.none()))
     out = out.withColumn("added", F.when(text.rlike(_ANY_MORE), added_spans(text, model)).otherwise(spans.none()))
-    return out.withColumn("added", spans.without_overlap(_outermost(F.col("added")), F.col("base")))
+    return out.withColumn("added", spans.without_overlap(_outermost(F.col("added")), F.col("base"), tuple(KINDS)[:4]))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -258,4 +274,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(spans.text_of(F.col("base"), KINDS, by_kind=True), 256).alias("base_sha256"),
         spans.text_of(F.concat("base", "added"), KINDS, by_kind=True).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
+from .textkit import least_hash_sample
 
 #: The documents whose words the identifier model is trained on, and the random strings made for the other model.
 SAMPLE_DOCS, SAMPLE_STRINGS = 100, 2000
@@ -39,11 +40,8 @@ _STATES = len(_ALPHABET) + 1  # state 0 stands for the start and for any other c
 def steps(token: Column) -> Column:
     """The chain's steps as numbers from 1: previous state * states + state + 1."""
 
-    def step(i: Column) -> Column:
-        before = F.when(i > 1, _state(F.substring(token, i - 1, F.lit(1)))).otherwise(F.lit(0))
-        return before * _STATES + _state(F.substring(token, i, F.lit(1))) + 1
-
-    return F.transform(F.sequence(F.lit(1), F.length(token)), step)
+    states = F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), _state)
+    return F.get(F.transform(F.array(states), lambda s: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(s, F.lit(1), F.size(s) - 1)), s, lambda a, b: a * _STATES + b + 1)), F.lit(0))
 
 
 def _state(char: Column) -> Column:
@@ -64,10 +62,11 @@ def _samples(docs: DataFrame) -> DataFrame:
     ]
     random = made.select(F.explode(F.array(*kinds)).alias("token")).select(F.lit(1).alias("label"), "token")
     text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
-    some = text.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    some = least_hash_sample(text, "text", SAMPLE_DOCS)
     words = some.select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w")).filter("size(w) > 3")
-    each = words.select(F.posexplode("w").alias("i", "a"), "w")
-    b = F.get("w", (F.col("i") * 7 + 3) % F.size("w"))
+    pairs = words.select(F.posexplode(F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", (i * 7 + 3) % F.size("w")).alias("b")))).alias("i", "p"))
+    each = pairs.select("i", "p.a", "p.b")
+    b = F.col("b")
     forms = [F.col("a"), F.concat_ws("_", "a", b), F.concat("a", F.initcap(b)), F.concat_ws("-", F.lower("a"), F.lower(b), F.col("i").cast("string")), F.concat_ws("/", F.lower("a"), b, F.concat(F.lit("v"), F.col("i") % 10)), F.concat(F.upper("a"), F.lit("_"), F.upper(b), F.lit("_"), F.col("i") % 100)]
     plain = each.select(F.explode(F.array(*forms)).alias("token")).select(F.lit(0).alias("label"), "token").filter("length(token) <= 80").distinct()
     return random.union(plain).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(10)))
@@ -113,32 +112,23 @@ def random_spans(text: Column, model: tuple[list[float], float]) -> Column:
 
 
 def secret_spans(docs: DataFrame, model: tuple[list[float], float] | None = None) -> DataFrame:
-    """docs with `base` and `added`, arrays of (kind, start, end, value, part) spans in code points, end exclusive.
+    """docs with `base` and `added`, arrays of (kind, start, end, value, part, before) spans in code points, end exclusive.
 
     Base spans may overlap across kinds; added spans overlap no base span. Null and empty texts have no spans; every row
     keeps its place, repeated ones too. An empty table trains on the made strings alone and gives no rows. Columns of
-    these two names are replaced.
+    these two names are replaced. Very long texts are taken whole; the work is about linear in their matches.
     """
     model = model or train(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worth = text.rlike(_ANY)
     base = docs.withColumn("base", F.when(worth, base_spans(text)).otherwise(spans.none()))
-    return base.withColumn("added", F.when(worth, spans.without_overlap(random_spans(text, model), F.col("base"))).otherwise(spans.none()))
+    return base.withColumn("added", F.when(worth, spans.without_overlap(random_spans(text, model), F.col("base"), tuple(KINDS)[:3])).otherwise(spans.none()))
 
 
 def redacted(docs: DataFrame, model: tuple[list[float], float] | None = None) -> DataFrame:
     """docs with every secret span of the text replaced by [SECRET]; all rows and columns stay."""
     found = secret_spans(docs.select(F.col("text"), F.struct(*docs.columns).alias("__row")), model)
-    spanned = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        keep = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        more = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(keep, F.lit("[SECRET]")))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
-
-    clean = F.aggregate(spanned, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = found.withColumn("__text", F.when(F.size(spanned) > 0, clean).otherwise(F.col("text")))
+    out = found.withColumn("__text", spans.replaced(F.col("text"), F.concat("base", "added"), "[SECRET]"))
     return out.select(*[F.col("__text").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
@@ -148,4 +138,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(spans.text_of(F.col("base"), KINDS, by_kind=False), 256).alias("base_sha256"),
         spans.text_of(F.concat("base", "added"), KINDS, by_kind=False).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

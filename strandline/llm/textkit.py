@@ -78,6 +78,13 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(*columns).alias("hash"))
 
 
+def least_hash_sample(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """Rows of the k distinct values of `column` with the least hash, one each. Only hashes are sorted, no whole values."""
+    keyed = rows.withColumn("__h", F.xxhash64(column))
+    least = keyed.select("__h").distinct().orderBy("__h").limit(k)
+    return keyed.join(F.broadcast(least), "__h", "left_semi").dropDuplicates(["__h"]).drop("__h")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(31))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,12 @@ def test_boosted_candidates_add_only_personal_data(found):
 
 def test_empty_table(spark):
     assert pii.personal_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    docs = spark.createDataFrame([(1, "1.2.3.4 é ab 555-123-4567 x " * 100_000)], "doc_id long, text string")
+    model = pii.train(docs.limit(0))
+    began = time.time()
+    got = pii.digest(pii.personal_spans(docs, model)).first()
+    assert got.n_ip == 100_000 and got.n_phone == 0
+    assert time.time() - began < 90

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -71,3 +72,15 @@ def test_redaction_keeps_rows_and_columns(spark, found):
 
 def test_empty_table(spark):
     assert secrets.secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_hundred_thousand_matches_in_one_text(spark):
+    part = "password=abcdefgh12 é "
+    docs = spark.createDataFrame([(1, part * 100_000)], "doc_id long, text string")
+    model = secrets.train(docs.limit(0))
+    began = time.time()
+    got = secrets.digest(secrets.secret_spans(docs, model)).first()
+    clean = secrets.redacted(docs, model).first().text
+    assert got.n_assign == 100_000 and got.n_spans == 100_000
+    assert clean == "[SECRET] é " * 100_000
+    assert time.time() - began < 60
