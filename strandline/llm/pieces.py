@@ -33,8 +33,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer documents are cut.
 CHUNK = 1 << 16
 SPACE = "▁"
-#: Words and pairs of pieces that a worker remembers; about 80 MB at most.
-_CACHE, _PAIRS = 150_000, 300_000
+#: Words and pairs of pieces that a worker remembers; about 200 MB at most.
+_CACHE, _PAIRS = 300_000, 1_000_000
 #: Chunks whose matrices are multiplied in one task; a document's blocks are multiplied in parallel.
 BLOCK = 64
 NEVER = float("-inf")
