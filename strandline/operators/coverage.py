@@ -41,14 +41,24 @@ def entities_per_source(evidence: DataFrame, claims: DataFrame) -> DataFrame:
     return evidence.select("source_id", "claim_id").join(ends, "claim_id").groupBy("source_id").agg(F.countDistinct("entity_id").alias("entities"))
 
 
-def pending(fetches: DataFrame, links: DataFrame, snapshot: int | None = None) -> DataFrame:
-    """Fetches that wait for parsing: successful, with a body, changed, not skipped, not linked, seen at the snapshot."""
+def pending(fetches: DataFrame, links: DataFrame, snapshot: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Fetches that wait for parsing: successful, with a body, changed, not skipped, not linked, seen at the snapshot.
+
+    ids: only these. `in_order` sorts them; counts need no order.
+    """
     rows = fetches.filter(succeeded() & F.col("body").isNotNull() & F.col("body_unchanged_since").isNull() & F.col("parse_skip_reason").isNull())
     if snapshot is not None:
         rows = rows.filter(F.col("fetched_at") <= snapshot)
+    if ids is not None:
+        rows = rows.join(ids.select("fetch_id"), "fetch_id", "left_semi")
     return rows.join(links, "fetch_id", "left_anti")
 
 
+def in_order(fetches: DataFrame) -> DataFrame:
+    """Oldest first, ties by id: the order in which pending fetches are parsed."""
+    return fetches.orderBy("fetched_at", "fetch_id")
+
+
 def pending_counts(fetches: DataFrame, links: DataFrame, cap: int = PENDING_CAP) -> DataFrame:
     return pending(fetches, links).groupBy("source_id").agg(F.least(F.count("*"), F.lit(cap)).alias("pending"))
 
@@ -79,9 +89,9 @@ def totals(covered: DataFrame, sources: DataFrame) -> DataFrame:
     return live.agg(F.count("*").alias("sources"), *[F.sum(c).cast("long").alias(f"{c}_sum") for c in covered.columns if c != "source_id"])
 
 
-def counter_drift(sources: DataFrame, covered: DataFrame) -> DataFrame:
-    """Stored counters against the canonical ones; here the stored ones are the identifier's length."""
-    return sources.join(covered, "source_id").select("source_id", (F.length("identifier").cast("long") - F.col("pages_fetched")).alias("pages_drift"), (F.length("identifier").cast("long") - F.col("urls_known")).alias("urls_drift"))
+def counter_drift(stored: DataFrame, covered: DataFrame) -> DataFrame:
+    """Stored counters (source_id, pages, urls) less the canonical ones."""
+    return stored.join(covered, "source_id").select("source_id", (F.col("pages") - F.col("pages_fetched")).alias("pages_drift"), (F.col("urls") - F.col("urls_known")).alias("urls_drift"))
 
 
 def document_fetch_order(fetches: DataFrame, source_id: str, ids: DataFrame | None = None, snapshot: int | None = None) -> DataFrame:

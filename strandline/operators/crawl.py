@@ -15,8 +15,11 @@ from ..functions.scalars import canonical_url
 from ..session import checkpointed
 
 #: File endings that are no pages, and those that are documents all the same.
-SKIPPED = ("css", "gif", "ico", "jpeg", "jpg", "js", "mp3", "mp4", "png", "svg", "webp", "woff", "woff2", "zip")
-DOCUMENTS = ("csv", "doc", "docx", "json", "pdf", "txt", "xlsx", "xml")
+SKIPPED = (
+    "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "bmp", "tiff", "zip", "tar", "gz", "tgz", "rar", "7z", "mp4", "mp3", "mov", "avi", "wmv", "webm",
+    "ogg", "wav", "flac", "css", "js", "mjs", "map", "woff", "woff2", "ttf", "otf", "eot", "json", "xml", "rss", "atom", "dmg", "exe", "pkg", "deb", "rpm", "msi",
+)
+DOCUMENTS = ("pdf", "doc", "docx", "csv", "txt", "json", "xml", "rss", "atom")
 _JSON_KEYS = ("url", "@id", "mainEntityOfPage", "sameAs")
 
 
@@ -96,7 +99,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def is_page(url) -> object:
     """Whether a URL may lead to text; endings of documents win over skipped ones."""
-    ending = F.lower(F.regexp_extract(url, r"://[^/]*[^?#]*\.([A-Za-z0-9]+)(?:[?#]|$)", 1))
+    ending = F.lower(F.regexp_extract(url, r"://[^/?#]*/(?:[^?#]*)\.([A-Za-z0-9]+)(?:[?#]|$)", 1))
     return ending.isin(*DOCUMENTS) | ~ending.isin(*SKIPPED)
 
 
@@ -112,3 +115,37 @@ def frontier(pages: DataFrame, depth: int, cap: int) -> DataFrame:
         fresh = here.join(edges, "page_id").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti").orderBy("url").limit(cap)
         seen = checkpointed(seen.union(fresh.withColumn("level", F.lit(level))))
     return seen
+
+
+def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """(url, allowed): what each origin's rules say. No rules, or an answer of 400 and up, allow; other schemes are denied.
+
+    robots: origin, status, body, one row an origin. Urls meet their origin's rules by a join, so every task parses each
+    origin's file once for a run of its urls.
+    """
+    from functools import lru_cache
+    from urllib.robotparser import RobotFileParser
+
+    web = F.col("url").rlike("(?i)^https?://[^/?#]")
+    origin = F.when(web, F.lower(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1)))
+    rules = robots.filter("status < 400").select("origin", "body")
+    rows = urls.select("url", origin.alias("origin")).join(rules, "origin", "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(maxsize=256)
+        def parsed(body: str) -> RobotFileParser:
+            p = RobotFileParser()
+            p.parse(body.splitlines())
+            return p
+
+        for f in frames:
+            yield pd.DataFrame({"url": f["url"], "allowed": [parsed(b).can_fetch(agent, u) for u, b in zip(f["url"], f["body"], strict=True)]})
+
+    ruled = rows.filter("body is not null").select("url", "body").mapInPandas(run, "url string, allowed boolean")
+    return ruled.unionByName(rows.filter("body is null").select("url", F.col("origin").isNotNull().alias("allowed")))
+
+
+def retrieved(answers: DataFrame) -> DataFrame:
+    """Answers (url, chain, status, content_type, body) as they are kept: final URL, chain of redirects, whether it is HTML."""
+    html = F.lower(F.coalesce("content_type", F.lit(""))).contains("html")
+    return answers.withColumn("final_url", F.coalesce(F.element_at("chain", -1), "url")).withColumn("redirect_chain", F.when(F.size("chain") > 1, F.col("chain"))).withColumn("is_html", html)

@@ -58,14 +58,14 @@ def trigrams(name: Column) -> Column:
 
 
 def trigram_matches(entities: DataFrame, aliases: DataFrame, query: str, threshold: float = 0.3) -> DataFrame:
-    """Entities whose name or an alias resembles the query; the best score of each, the name's on ties."""
-    wanted = trigrams(F.lit(query))
-
-    def scored(names: DataFrame, rank: int) -> DataFrame:
-        own = trigrams(F.col("label"))
-        same = F.size(F.array_intersect(own, wanted))
-        return names.withColumn("score", same / (F.size(own) + F.size(wanted) - same)).withColumn("rank", F.lit(rank))
+    """Entities whose name or an alias resembles the query; the best score of each, the name's on ties.
 
-    both = scored(entities.select("entity_id", F.col("name").alias("label")), 0).unionByName(scored(aliases.select("entity_id", F.col("alias").alias("label")), 1))
-    best = both.filter(F.col("score") > threshold).groupBy("entity_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), "label")).alias("b"))
+    A name that shares no trigram scores 0, so names are first kept by a test of any shared one.
+    """
+    wanted = trigrams(F.lit(query))
+    labels = entities.select("entity_id", F.col("name").alias("label"), F.lit(0).alias("rank")).unionByName(aliases.select("entity_id", F.col("alias").alias("label"), F.lit(1).alias("rank")))
+    near = labels.withColumn("own", trigrams(F.col("label"))).filter(F.arrays_overlap("own", wanted))
+    same = F.size(F.array_intersect("own", wanted))
+    scored = near.withColumn("score", same / (F.size("own") + F.size(wanted) - same))
+    best = scored.filter(F.col("score") > threshold).groupBy("entity_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), "label")).alias("b"))
     return best.select("entity_id", F.col("b.label").alias("label"), F.round("b.score", 6).alias("score"))

@@ -20,17 +20,25 @@ def lexical_rank(docs: DataFrame, question: str, k: int = 8) -> DataFrame:
     return lexical(docs, question).select("doc_id", "hits").orderBy(F.desc("hits"), "doc_id").limit(k)
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int = 8) -> DataFrame:
-    """The k vectors of largest cosine; the query is one row."""
-    scored = vectors.join(F.broadcast(query.limit(1).select(F.col("embedding").alias("wanted")))).select("vec_id", F.round(cosine(F.col("embedding"), F.col("wanted")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(k)
+def _scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every vector with its largest cosine to any of the queries, a few variants of one question."""
+    wanted = queries.agg(F.collect_list("embedding").alias("wanted"))  # one row
+    best = F.coalesce(F.array_max(F.transform("wanted", lambda q: cosine(F.col("embedding"), q))), F.lit(0.0))
+    return vectors.join(F.broadcast(wanted)).select("vec_id", F.round(best, 6).alias("score"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: DataFrame, question: str, k: int = 8) -> DataFrame:
-    """Lexical candidates ranked by hits, then by cosine of their vectors."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """The k vectors of largest cosine."""
+    return _scored(vectors, queries).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, question: str, k: int = 8, fallback: int = 1000) -> DataFrame:
+    """Lexical candidates ranked by hits, then by cosine of their vectors; without one, the first documents by cosine alone."""
     cand = lexical(docs, question).select("doc_id", "hits")
-    scored = vectors.join(F.broadcast(query.limit(1).select(F.col("embedding").alias("wanted")))).select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("wanted")), 6).alias("score"))
-    return cand.join(scored, "doc_id", "left").fillna(0.0, ["score"]).orderBy(F.desc("hits"), F.desc("score"), "doc_id").limit(k)
+    found = cand.agg(F.count("*").alias("found"))  # one row
+    others = docs.select("doc_id").orderBy("doc_id").limit(fallback).join(F.broadcast(found)).filter("found = 0").select("doc_id", F.lit(0).alias("hits"))
+    scored = _scored(vectors, queries).withColumnRenamed("vec_id", "doc_id")
+    return cand.unionByName(others).join(scored, "doc_id", "left").fillna(0.0, ["score"]).orderBy(F.desc("hits"), F.desc("score"), "doc_id").limit(k)
 
 
 def latest_fetch(links: DataFrame, fetches: DataFrame) -> DataFrame:

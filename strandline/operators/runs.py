@@ -24,6 +24,24 @@ def active(runs: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
+def newest_active(runs: DataFrame, kind: str | None = None) -> DataFrame:
+    """The newest queued or running run of each source, optionally of one kind."""
+    rows = runs.filter(F.col("status").isin("queued", "running"))
+    if kind is not None:
+        rows = rows.filter(F.col("kind") == kind)
+    return rows.groupBy("source_id").agg(F.max(F.struct("started_at", "run_id", "kind")).alias("r")).select("source_id", "r.run_id", "r.kind")
+
+
+def is_running(runs: DataFrame, run_id: int) -> DataFrame:
+    return runs.filter((F.col("run_id") == run_id) & (F.col("status") == "running"))
+
+
+def until_stopped(runs: DataFrame) -> DataFrame:
+    """Work that a cooperative stop lets through: rows of each source before its first stopped one."""
+    first = runs.filter("status = 'stopped'").groupBy("source_id").agg(F.min(F.struct("started_at", "run_id")).alias("stop"))
+    return runs.join(first, "source_id", "left").filter(F.col("stop").isNull() | (F.struct("started_at", "run_id") < F.col("stop"))).drop("stop")
+
+
 def stopped(runs: DataFrame) -> DataFrame:
     """The newest stopped run of each source and action."""
     w = Window.partitionBy("source_id", "action").orderBy(F.desc("started_at"), F.desc("run_id"))

@@ -53,6 +53,25 @@ SQL = {
     "aliases": """SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS entity_id, concat(s_name, ' Jr') AS alias FROM supplier WHERE s_suppkey % 3 = 0
         UNION ALL SELECT concat('p', CAST(p_partkey AS VARCHAR(20))), concat('The ', p_name) FROM part WHERE p_partkey % 2 = 0""",
 }
+#: Names of every shape that the name check tells apart, by supplier; `fine` is what must come out.
+SQL["people"] = """SELECT CAST(s_suppkey AS BIGINT) AS person_id, concat('s', CAST(s_suppkey AS VARCHAR(20))) AS entity_id,
+        CASE s_suppkey % 12 WHEN 0 THEN 'Ida Lindqvist' WHEN 1 THEN 'Meet Ida Lindqvist' WHEN 2 THEN 'Lindqvist' WHEN 3 THEN 'Ida Lindqvist LLC' WHEN 4 THEN 'ida Lindqvist'
+        WHEN 5 THEN 'Market Rally Monday' WHEN 6 THEN 'They Lindqvist' WHEN 7 THEN 'Ida Lindqvist,' WHEN 8 THEN 'Ida 4x9 Lindqvist' WHEN 9 THEN 'Ida Bo Cy Di Ed Lindqvist' WHEN 10 THEN 'Ida. Bo Lindqvist' ELSE 'Anne-Marie d''Arc' END AS name,
+        s_suppkey % 12 IN (0, 1) AS fine, s_suppkey % 12 = 1 AS led FROM supplier"""
+SQL["fetch_runs"] = "SELECT DISTINCT concat('run-', source) AS run_id, source AS source_id FROM documents WHERE source IS NOT NULL"
+SQL["quotes"] = """SELECT o_orderkey AS raw_id, o_orderkey % 997 AS document_id, 1600000000 + o_orderkey * 60 AS added_at, concat('order ', o_orderstatus, ' of customer ', CAST(o_custkey AS VARCHAR(20))) AS quote FROM orders"""
+SQL["stored_counters"] = """SELECT source AS source_id, CAST(count(*) % 9 AS BIGINT) AS pages, CAST(7 AS BIGINT) AS urls FROM documents WHERE source IS NOT NULL GROUP BY source"""
+SQL["summaries"] = "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS entity_id, 'employed_by' AS predicate, concat('seed ', CAST(s_nationkey AS VARCHAR(9))) AS first_value FROM supplier WHERE s_suppkey % 2 = 0"
+SQL["flagged"] = "SELECT entity_id, kind, name, group_id % 3 = 0 AS needs_review FROM entities"
+SQL["mentions"] = """SELECT claim_id * 2 AS mention_id, min(raw_id) AS raw_id, 'subject' AS place, min(subject_id) AS entity_id FROM claims GROUP BY claim_id
+        UNION ALL SELECT claim_id * 2 + 1, min(raw_id), 'object', min(object_id) FROM claims WHERE object_id IS NOT NULL GROUP BY claim_id"""
+SQL["candidates"] = """SELECT claim_id AS candidate_id, CASE WHEN claim_id % 3 <> 0 THEN claim_id * 2 END AS mention_id, min(subject_id) AS candidate_entity_id,
+        CASE WHEN claim_id % 4 <> 0 THEN CAST(claim_id % 89 AS DOUBLE) / 100 END AS score, min(first_seen_at) AS created_at,
+        CASE WHEN claim_id % 5 = 0 THEN 'merge' WHEN claim_id % 7 = 0 THEN 'split' END AS review_decision FROM claims GROUP BY claim_id"""
+SQL["run_events"] = """SELECT run_id % 500 AS run_id, run_id AS seq, status, CASE WHEN status = 'failed' THEN concat('error ', CAST(run_id AS VARCHAR(20))) END AS error, CASE WHEN run_id % 3 = 0 THEN props END AS stats FROM runs"""
+SQL["extracted"] = """SELECT person_id AS raw_id, name AS subject_text, CASE WHEN person_id % 13 = 0 THEN 'thing' ELSE 'person' END AS subject_type,
+        CASE WHEN person_id % 17 = 0 THEN 'likes' ELSE 'founded' END AS predicate, CASE WHEN person_id % 19 = 0 THEN 'Works,' ELSE 'Harbor Works' END AS object_text, 'org' AS object_type,
+        CASE WHEN person_id % 23 = 0 THEN ' ' ELSE 'a quote' END AS raw_quote, fine, led FROM people"""
 #: Tables that are built on other logical ones.
 SQL["document_rows"] = """SELECT sha256_of AS content_hash, min(fetch_id) AS document_id, min(fetched_at) AS valid_from
         FROM (SELECT fetch_id, fetched_at, {sha256}(text) AS sha256_of FROM fetches WHERE text IS NOT NULL) t GROUP BY sha256_of"""
@@ -61,7 +80,7 @@ SQL["links"] = """SELECT d.document_id, f.fetch_id FROM (SELECT fetch_id, {sha25
         UNION ALL SELECT doc_id + 100000000, doc_id FROM documents WHERE doc_id % 101 = 0"""
 SQL["conflicts"] = """SELECT a.claim_id * 100000 + b.claim_id % 100000 AS conflict_id, a.claim_id AS claim_a, b.claim_id AS claim_b, CASE WHEN a.claim_id % 4 = 0 THEN 'a_wins' WHEN a.claim_id % 4 = 1 THEN 'b_wins' WHEN a.claim_id % 4 = 2 THEN 'unresolved' END AS resolution
         FROM claims a JOIN claims b ON a.subject_id = b.subject_id AND a.object_id = b.object_id AND a.predicate <> b.predicate AND a.claim_id < b.claim_id"""
-_NEEDS = {"document_rows": ("fetches",), "links": ("fetches", "document_rows"), "conflicts": ("claims",)}
+_NEEDS = {"flagged": ("entities",), "mentions": ("claims",), "candidates": ("claims",), "run_events": ("runs",), "extracted": ("people",), "document_rows": ("fetches",), "links": ("fetches", "document_rows"), "conflicts": ("claims",)}
 
 
 def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

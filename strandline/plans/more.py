@@ -120,11 +120,11 @@ def documents_of_source(links, fetches, documents):
     return claims.page(once.select("document_id", "f.fetch_id", "f.url", "fetches"), 1, 20, 100, F.col("document_id"))
 
 
-@query("claims evidence entities", "SELECT c.claim_id, o.name AS object_name, e.source_id FROM claims c LEFT JOIN entities o ON o.entity_id = c.object_id LEFT JOIN evidence e ON e.claim_id = c.claim_id WHERE c.subject_id = 's9' ORDER BY c.claim_id, e.source_id, e.raw_id LIMIT 5")
+@query("claims evidence entities", "SELECT c.claim_id, o.name AS object_name, e.source_id FROM claims c LEFT JOIN entities o ON o.entity_id = c.object_id LEFT JOIN evidence e ON e.claim_id = c.claim_id WHERE c.subject_id = 's9' ORDER BY c.claim_id, e.source_id, e.raw_id, o.name LIMIT 5")
 def top_claims_of_entity(rows, evidence, entities):
     target = entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name"))
     out = rows.filter("subject_id = 's9'").join(target, "object_id", "left").join(evidence.select("claim_id", "source_id", F.col("raw_id").alias("evidence_raw")), "claim_id", "left")
-    return out.orderBy("claim_id", F.asc_nulls_last("source_id"), F.asc_nulls_last("evidence_raw")).limit(5).select("claim_id", "object_name", "source_id")
+    return out.orderBy("claim_id", F.asc_nulls_last("source_id"), F.asc_nulls_last("evidence_raw"), F.asc_nulls_last("object_name")).limit(5).select("claim_id", "object_name", "source_id")
 
 
 @query("claims evidence raws", "SELECT e.source_id, count(*) AS rows, count(DISTINCT e.claim_id) AS claims FROM evidence e JOIN raws r ON r.raw_id = e.raw_id AND r.source_id = e.source_id WHERE e.claim_id IN (SELECT claim_id FROM claims) GROUP BY e.source_id")
@@ -169,9 +169,12 @@ def shared_objects(rows):
     return rows.join(near, "object_id", "left_semi").groupBy("subject_id", "object_id").agg(F.count("*").alias("claims"))
 
 
-@query("customer")
+@query("customer", "SELECT c_custkey, concat('Customer ', c_custkey, ' is clerk at ', upper(c_mktsegment), '. Customer ', c_custkey, ' is based in Nation ', c_nationkey, '. Customer ', c_custkey, ' studied at School ', c_custkey % 9, '.', CASE WHEN c_custkey % 2 = 0 THEN concat(' Customer ', c_custkey, ' was baker at Mill.') ELSE concat(' Customer ', c_custkey, ' worked at Mill from 2003 to 2007.') END) AS text FROM customer")
 def vendor_person_text(customer):
-    json = F.to_json(F.struct(F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("job_title"), F.concat(F.lit("Nation "), "c_nationkey").alias("location_name")))
+    school = F.array(F.struct(F.struct(F.concat(F.lit("School "), F.col("c_custkey") % 9).alias("name")).alias("school")))
+    even = F.col("c_custkey") % 2 == 0
+    post = F.array(F.struct(F.struct(F.lit("Mill").alias("name")).alias("company"), F.when(even, F.struct(F.lit("baker").alias("name"))).alias("title"), F.when(~even, "2003-04").alias("start_date"), F.when(~even, "2007").alias("end_date")))
+    json = F.to_json(F.struct(F.concat(F.lit("customer "), "c_custkey").alias("full_name"), F.lit("clerk").alias("job_title"), F.col("c_mktsegment").alias("job_company_name"), F.concat(F.lit("Nation "), "c_nationkey").alias("location_name"), school.alias("education"), post.alias("experience")))
     return customer.select("c_custkey", tables.person_text(json).alias("text"))
 
 
@@ -180,7 +183,7 @@ def graph_star_labels(entities):
     return entities.select("entity_id", scalars.title_case(F.col("name")).alias("label"), F.size(graph.trigrams(F.col("name"))).alias("trigrams"))
 
 
-@query("conversations", "SELECT conv_id, string_agg(concat(role, ': ', left(text, 40)), ' | ' ORDER BY turn, role, text) AS context FROM conversations GROUP BY conv_id")
+@query("conversations", "SELECT conv_id, string_agg(concat(role, ': ', text), ' | ' ORDER BY turn, role, text) AS context FROM conversations GROUP BY conv_id")
 def answer_context(turns):
     parts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return parts.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), " | ").alias("context"))

@@ -111,9 +111,9 @@ def global_stats(sources, fetches, links, evidence):
     return coverage.totals(_covered(sources, fetches, links, evidence), sources)
 
 
-@query("sources fetches", f"WITH u AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id), p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id) SELECT s.source_id, CAST(length(identifier) AS BIGINT) - coalesce(p.n, 0) AS pages_drift, CAST(length(identifier) AS BIGINT) - greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_drift FROM sources s LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN p ON s.source_id = p.source_id")
-def counter_drift(sources, fetches):
-    return coverage.counter_drift(sources, coverage.coverage(sources, coverage.pages_fetched(fetches), coverage.urls_known(fetches)))
+@query("sources stored_counters fetches", f"WITH u AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id), p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id) SELECT s.source_id, k.pages - coalesce(p.n, 0) AS pages_drift, k.urls - greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_drift FROM sources s JOIN stored_counters k ON k.source_id = s.source_id LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN p ON s.source_id = p.source_id")
+def counter_drift(sources, stored, fetches):
+    return coverage.counter_drift(stored, coverage.coverage(sources, coverage.pages_fetched(fetches), coverage.urls_known(fetches)))
 
 
 # Claims
@@ -169,7 +169,7 @@ def claim_predicates(rows):
 
 @query("claims entities evidence", """WITH e AS (SELECT claim_id, count(*) AS evidence_rows FROM (SELECT DISTINCT claim_id, source_id, raw_id, document_id FROM evidence) x GROUP BY claim_id)
 SELECT c.claim_id, concat_ws(' ', nullif(trim(replace(s.name, '_', ' ')), ''), nullif(trim(replace(predicate, '_', ' ')), ''), nullif(trim(replace(coalesce(o.name, object_value), '_', ' ')), '')) AS statement, coalesce(evidence_rows, 0) AS evidence_rows
-FROM claims c JOIN entities s ON s.entity_id = subject_id LEFT JOIN entities o ON o.entity_id = object_id LEFT JOIN e ON e.claim_id = c.claim_id WHERE c.claim_id % 50 < 5""")
+FROM claims c JOIN entities s ON s.entity_id = subject_id LEFT JOIN entities o ON o.entity_id = object_id LEFT JOIN e ON e.claim_id = c.claim_id""")
 def claim_detail(rows, entities, evidence):
     named = claims.with_endpoints(rows, entities).withColumn("target", F.coalesce("object_name", "object_value"))
     backing = evidence.select("claim_id", "source_id", "raw_id", "document_id").distinct().groupBy("claim_id").agg(F.count("*").alias("evidence_rows"))
@@ -326,7 +326,7 @@ def due_recrawl(sources):
     return sources.select("source_id", runs.due(NOW).alias("due"))
 
 
-@query("sources runs fetches links", f"WITH w AS (SELECT source_id, count(*) AS n FROM ({PENDING}) x GROUP BY source_id) SELECT s.source_id, CASE WHEN s.source_id IN (SELECT source_id FROM runs WHERE status IN ('queued', 'running') AND run_id % 77 = 0) THEN 'active' WHEN w.n > 0 THEN 'pending' WHEN {_DUE} THEN 'due' WHEN last_full_recrawl_at IS NOT NULL THEN 'up-to-date' ELSE 'idle' END AS state FROM sources s LEFT JOIN w ON w.source_id = s.source_id")
+@query("sources runs fetches links", f"WITH w AS (SELECT source_id, count(*) AS n FROM ({PENDING}) x GROUP BY source_id) SELECT s.source_id, CASE WHEN s.source_id IN (SELECT source_id FROM runs WHERE status IN ('queued', 'running')) THEN 'active' WHEN w.n > 0 THEN 'pending' WHEN {_DUE} THEN 'due' WHEN last_full_recrawl_at IS NOT NULL THEN 'up-to-date' ELSE 'idle' END AS state FROM sources s LEFT JOIN w ON w.source_id = s.source_id")
 def source_state(sources, rows, fetches, links):
     return runs.source_state(sources, runs.active(rows), coverage.pending_counts(fetches, links), NOW)
 
@@ -476,6 +476,12 @@ def hybrid_rank(docs, vectors):
     return retrieval.hybrid(docs, vectors, vectors.filter("vec_id = 7"), "thshed WHERTH inoror leaux")
 
 
+@query("documents embeddings", f"WITH c AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000), s AS (SELECT e.vec_id, max({_COS}) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id IN (7, 11)) q GROUP BY e.vec_id) SELECT doc_id, 0 AS hits, coalesce(score, 0.0) AS score FROM c LEFT JOIN s ON s.vec_id = doc_id ORDER BY score DESC, doc_id LIMIT 8")
+def hybrid_fallback(docs, vectors):
+    """No document holds a term of the question; two variants of it have vectors."""
+    return retrieval.hybrid(docs, vectors, vectors.filter("vec_id in (7, 11)"), "zzqqxx wwvvkk")
+
+
 @query("links fetches", "SELECT document_id, fetch_id, source_id, url FROM (SELECT l.document_id, f.*, row_number() OVER (PARTITION BY l.document_id ORDER BY fetched_at DESC, f.fetch_id DESC) AS n FROM links l JOIN fetches f ON f.fetch_id = l.fetch_id) x WHERE n = 1")
 def document_latest_fetch(links, fetches):
     return retrieval.latest_fetch(links, fetches)
@@ -486,7 +492,7 @@ def citation_dedup(links, fetches):
     return retrieval.citations(retrieval.latest_fetch(links, fetches)).select("document_id", "url")
 
 
-@query("conversations", "SELECT conv_id, turn, role, left(text, 4000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations WHERE trim(text) <> '') x WHERE n <= 6")
+@query("conversations", "SELECT conv_id, turn, role, left(text, CASE WHEN role = 'assistant' THEN 12000 ELSE 4000 END) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations WHERE trim(text) <> '') x WHERE n <= 6")
 def ask_history(turns):
     return retrieval.history(turns)
 
@@ -494,12 +500,12 @@ def ask_history(turns):
 # Scalars and text
 
 
-@query("benchmark", "SELECT item_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{3,}'), lambda t: t NOT IN ('about', 'does', 'from', 'have', 'that', 'their', 'them', 'there', 'they', 'this', 'were', 'what', 'when', 'where', 'which', 'with', 'would')) AS w FROM benchmark) x")
+@query("benchmark", "SELECT item_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9''-]{3,}'), lambda t: NOT regexp_matches(t, '^(about|from|have|wh(at|en|ere|ich|ile|o)|work(ed)?|with)$')) AS w FROM benchmark) x")
 def query_terms(items):
     return items.select("item_id", F.array_join(scalars.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("pages", "WITH u AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS pairs FROM pages) SELECT page_id, concat(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)), '://', regexp_replace(lower(host), ':(80|443)$', ''), path, CASE WHEN len(pairs) > 0 THEN concat('?', array_to_string(pairs, '&')) ELSE '' END) AS url FROM u")
+@query("pages", "WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_sort(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(string_split(p, '=')[1]), '^(utm_(source|medium|campaign|term|content)|(fb|g|ms|y)cl(id|kid)|msclkid|mc_[ce]id|_ga)$')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE concat(p, '=') END)) AS pairs FROM pages) SELECT page_id, concat(scheme, '://', CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END, CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN len(pairs) > 0 THEN concat('?', array_to_string(pairs, '&')) ELSE '' END) AS url FROM u")
 def url_canonicalize(pages):
     return pages.select("page_id", scalars.canonical_url(F.col("url")).alias("url"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_filled, header_key
+from ..functions.scalars import collapsed, first_filled, header_key
+from ..session import checkpointed
 
 
 def table_counts(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
@@ -54,12 +55,12 @@ def sitemap_urls(maps: DataFrame, cap: int = 10_000) -> DataFrame:
     locs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:\w+:)?loc>\s*(.*?)\s*</"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
     named = maps.select("url", F.col("xml").rlike(r"<(?:\w+:)?sitemapindex").alias("index"), F.explode(locs).alias("loc"))
     roots = maps.join(named.filter("index").select(F.col("loc").alias("url")), "url", "left_anti").select("url").distinct()
-    reached, seen = roots, roots
+    reached, seen = checkpointed(roots), roots
     while True:
-        reached = reached.join(named.filter("index"), "url").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+        reached = checkpointed(reached.join(named.filter("index"), "url").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"))
         if reached.isEmpty():
             break
-        seen = seen.union(reached)
+        seen = checkpointed(seen.union(reached))
     return named.filter(~F.col("index")).join(seen, "url", "left_semi").select(F.col("loc").alias("url")).distinct().orderBy("url").limit(cap)
 
 
@@ -87,11 +88,98 @@ def classified(answers: DataFrame) -> DataFrame:
 
 
 def person_text(json: Column) -> Column:
-    """Sentences of a vendor's person record: name and job, place, education, up to ten positions."""
-    schema = "full_name string, job_title string, job_company_name string, location_name string, education array<struct<school:struct<name:string>,degrees:array<string>>>, experience array<struct<title:struct<name:string>,company:struct<name:string>>>"
-    p = F.from_json(json, schema)
-    job = F.when(p["full_name"].isNotNull(), F.concat_ws("", p["full_name"], F.lit(" is "), F.coalesce(p["job_title"], F.lit("employed")), F.concat(F.lit(" at "), p["job_company_name"]), F.lit(".")))
-    place = F.concat(p["full_name"], F.lit(" lives in "), p["location_name"], F.lit("."))
-    schools = F.transform(F.filter(p["education"], lambda e: e["school"]["name"].isNotNull()), lambda e: F.concat(p["full_name"], F.lit(" studied at "), e["school"]["name"], F.lit(".")))
-    posts = F.transform(F.slice(F.filter(p["experience"], lambda e: e["company"]["name"].isNotNull()), 1, 10), lambda e: F.concat(p["full_name"], F.lit(" worked at "), e["company"]["name"], F.coalesce(F.concat(F.lit(" as "), e["title"]["name"]), F.lit("")), F.lit(".")))
-    return F.concat_ws("\n", job, place, F.array_join(schools, "\n"), F.array_join(posts, "\n"))
+    """Sentences of a vendor's person record: job, place, education, the first ten positions; '' for a record without a name."""
+    named = "struct<name:string>"
+    fields = "full_name string, first_name string, middle_name string, last_name string, job_title string, job_company_name string, location_name string, location_locality string, location_region string, "
+    fields += f"education array<struct<school:{named},degrees:array<string>,majors:array<string>,end_date:string>>, experience array<struct<company:{named},title:{named},start_date:string,end_date:string>>"
+    own = F.from_json(json, fields)
+    inner = F.from_json(json, f"data struct<{', '.join(x.strip().replace(' ', ':', 1) for x in fields.split(', '))}>")["data"]
+
+    def filled(c: Column) -> Column:
+        return F.nullif(collapsed(c), F.lit(""))
+
+    def year(c: Column) -> Column:
+        return F.nullif(F.regexp_extract(c, r"^(\d{4})", 1), F.lit(""))
+
+    def sentences(p: Column) -> Column:
+        cased = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+        name = cased(F.coalesce(filled(p["full_name"]), filled(F.concat_ws(" ", *[filled(p[c]) for c in ("first_name", "middle_name", "last_name")]))))
+        say = lambda *parts: F.concat(name, *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("."))
+        title, company = filled(p["job_title"]), filled(p["job_company_name"])
+        job = F.coalesce(say(" is ", title, " at ", company), say(" is ", title), say(" works at ", company))
+        place = say(" is based in ", F.coalesce(*[filled(p[c]) for c in ("location_name", "location_locality", "location_region")]))
+
+        def studied(e: Column) -> Column:
+            school, end = filled(e["school"]["name"]), year(e["end_date"])
+            degree = F.coalesce(filled(F.get(e["degrees"], F.lit(0))), filled(F.get(e["majors"], F.lit(0))))
+            return F.coalesce(say(" earned a ", degree, " from ", school, " in ", end), say(" earned a ", degree, " from ", school), say(" studied at ", school, " until ", end), say(" studied at ", school))
+
+        def worked(e: Column) -> Column:
+            firm, post, start, end = filled(e["company"]["name"]), filled(e["title"]["name"]), year(e["start_date"]), F.coalesce(year(e["end_date"]), F.lit("present"))
+            return F.coalesce(say(" was ", post, " at ", firm, " from ", start, " to ", end), say(" was ", post, " at ", firm), say(" worked at ", firm, " from ", start, " to ", end), say(" worked at ", firm))
+
+        none = F.array().cast("array<string>")
+        lines = F.concat(F.array(job, place), F.coalesce(F.transform(p["education"], studied), none), F.coalesce(F.transform(F.slice(p["experience"], 1, 10), worked), none))
+        return F.when(name.isNull(), "").otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), " "))
+
+    return F.coalesce(F.when(inner.isNotNull(), sentences(inner)).otherwise(sentences(own)), F.lit(""))
+
+
+def person_query(rows: DataFrame, least: int) -> Column:
+    """Parameters of a person look-up as a map, blanks left out."""
+    kept = F.create_map(*[x for c in ("first_name", "last_name", "school", "company", "location") for x in (F.lit(c), F.nullif(F.trim(F.col(c)), F.lit("")))])
+    return F.map_concat(F.map_filter(kept, lambda _, v: v.isNotNull()), F.create_map(F.lit("min_likelihood"), F.lit(str(least))))
+
+
+def upload_name(name: Column, content: Column, allowed: tuple[str, ...] = ("csv", "xlsx")) -> Column:
+    """The name a file is kept under: a slug, eight digits of its content's hash, its ending; null for other endings."""
+    ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    stem = F.btrim(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), "[^A-Za-z0-9._-]+", "-"), F.lit("-"))
+    return F.when(ending.isin(*allowed), F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("source")), F.lit("-"), F.substring(F.sha2(content, 256), 1, 8), F.lit("."), ending))
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, cells): rows of the first sheet of workbooks as maps of header to string; unnamed columns are dropped.
+
+    A workbook is a zip of XML; each is read by one task.
+    """
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def place(ref: str) -> int:
+        n = 0
+        for c in re.match("[A-Z]+", ref)[0]:
+            n = n * 26 + ord(c) - 64
+        return n
+
+    def rows_of(raw: bytes) -> list[dict[int, str]]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            shared = []
+            if "xl/sharedStrings.xml" in z.namelist():
+                shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+            sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+        out = []
+        for row in sheet.iter(f"{space}row"):
+            cells = {}
+            for c in row.iter(f"{space}c"):
+                value, inline = c.find(f"{space}v"), c.find(f"{space}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{space}t")) if inline is not None else (value.text or "" if value is not None else "")
+                cells[place(c.get("r"))] = shared[int(text)] if c.get("t") == "s" and text else text
+            out.append(cells)
+        return out
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            found = []
+            for name, raw in zip(f["path"], f["content"], strict=True):
+                head, *rest = rows_of(bytes(raw)) or [{}]
+                found += [(name, i, {h.strip(): r.get(k, "") for k, h in head.items() if h.strip()}) for i, r in enumerate(rest)]
+            yield pd.DataFrame(found, columns=["path", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells map<string,string>")

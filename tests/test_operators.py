@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from strandline.operators import claims, coverage, crawl, curation, extraction, graph, integrity, runs
+from strandline.operators import claims, coverage, crawl, curation, graph, integrity, runs
 from strandline.sources import tables
 
 FETCH = "fetch_id long, source_id string, url string, fetched_at long, http_status int, body string, body_unchanged_since long, parse_skip_reason string"
@@ -70,13 +70,6 @@ def test_links_of_a_page():
     assert crawl.links_of(None, "") == []
 
 
-def test_extraction():
-    got = {c[:3] for c in extraction.claims_of("Pat Rowe founded Delta Works after co-creating SunPath as a student. Kai Reed is Dean of North School of Business and the Ann Roe Professor of Finance.")}
-    assert {("Pat Rowe", "founded", "Delta Works"), ("Pat Rowe", "worked_on_project", "SunPath"), ("Kai Reed", "has_title", "Dean"), ("Kai Reed", "employed_by", "North School of Business"), ("Kai Reed", "has_title", "Ann Roe Professor of Finance")} <= got
-    assert ("Lin Moss", "founded", "OrbCo") in {c[:3] for c in extraction.claims_of("Lin Moss has years of experience. She was the founder and CEO of OrbCo before that.")}
-    assert {("Ida Fox", "has_title", "Faculty Director"), ("Ida Fox", "affiliated_with", "Lake Center for Policy")} <= {c[:3] for c in extraction.claims_of("Ida Fox, a faculty director at Lake Center for Policy, spoke.")}
-
-
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿Full Name,Web Site,x\n"A, B",,1\nC D,http://c,\n', encoding="utf-8")
     rows = tables.read_rows(spark, str(tmp_path / "a.csv"))
@@ -90,8 +83,25 @@ def test_sources_and_sinks(spark, tmp_path):
     answers = spark.createDataFrame([(1, 200), (2, 404), (3, 402), (4, 200), (5, 500)], "row long, status int")
     assert [r.outcome for r in tables.classified(answers).orderBy("row").collect()] == ["matched", "no_match", "out_of_credits", "not_tried", "not_tried"]
     person = '{"full_name":"A B","job_title":"Head","job_company_name":"C","education":[{"school":{"name":"S"}},{"school":null}],"experience":[{"title":{"name":"T"},"company":{"name":"D"}}]}'
-    assert spark.range(1).select(tables.person_text(F.lit(person)).alias("t")).first().t == "A B is Head at C.\nA B studied at S.\nA B worked at D as T."
+    assert spark.range(1).select(tables.person_text(F.lit(person)).alias("t")).first().t == "A B is Head at C. A B studied at S. A B was T at D."
 
 
 def test_trigrams(spark):
     assert set(spark.range(1).select(graph.trigrams(F.lit("Cat")).alias("t")).first().t) == {"  c", " ca", "cat", "at "}
+
+
+def test_workbook_rows(spark, tmp_path):
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>Name</t></si><si><r><t>Ann</t></r><r><t> Oak</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Age</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>9</v></c><c r="C2"><v>41</v></c></row><row/></sheetData></worksheet>')
+    assert [r.cells for r in tables.read_workbook(spark, str(tmp_path / "a.xlsx")).orderBy("row").collect()] == [{"Name": "Ann Oak", "Age": "41"}, {"Name": "", "Age": ""}]
+
+
+def test_answer_cache(spark):
+    from strandline.operators import answers
+
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 3599), (3, "a", 3600), (4, "a", 7199), (5, "b", 5)], "request_id long, key string, at long")
+    assert {r.request_id: r.hit for r in answers.cached(rows).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
