@@ -7,7 +7,8 @@ length bound (the document has at least as many words) and the positional bound
 word falls on this word, lies inside the document) follow, then the words are compared exactly. The join runs while the
 exploded words stream by, so only true occurrences are shuffled.
 
-The benchmark side is broadcast behind a count of its windows; above BROADCAST_WINDOWS the join shuffles instead.
+The benchmark side is broadcast in blocks of at most about BROADCAST_WINDOWS windows, each met by the documents in a
+pass of its own: no document word is shuffled, so a common word is no hot key, and no pass holds more than one block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import row_key
+from .textkit import cut, row_key
 
 WINDOW = 13
 BROADCAST_WINDOWS = 200_000
@@ -41,17 +42,17 @@ def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return wins.select("item_id", F.slice("words", F.col("at"), F.lit(width)).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
 
 
-def _prefixes(docs: DataFrame, windows: DataFrame, broadcastable: bool) -> DataFrame:
+def _prefixes(docs: DataFrame, windows: DataFrame, few: bool) -> DataFrame:
     """windows with the rarest word of each and its place; rarity counts every word of every document."""
     tokens = windows.select(F.explode("win").alias("token")).distinct().withColumn("key", F.lower("token"))
-    keys = tokens.select("key").distinct()
-    if broadcastable:
-        keys = F.broadcast(keys)
-    counts = docs.select(F.explode(_split(F.col("text"))).alias("w")).select(F.lower("w").alias("key")).join(keys, "key").groupBy("key").count()
+    said = docs.select(F.explode(_split(F.col("text"))).alias("w")).select(F.lower("w").alias("key"))
+    if few:  # the keys of one block of windows: other words need not be counted
+        said = said.join(F.broadcast(tokens.select("key").distinct()), "key")
+    counts = said.groupBy("key").count()
     ranked = tokens.join(counts, "key", "left").select("token", "key", F.coalesce("count", F.lit(0)).alias("seen"))
     placed = windows.withColumn("id", F.xxhash64("win")).select("id", "win", "items", F.posexplode("win").alias("place", "token"))
     first = placed.join(ranked, "token").groupBy("id", "win", "items").agg(F.min(F.struct("seen", "token", "place", "key")).alias("p"))
-    return first.select(F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.size("win").alias("size"), F.array_join("win", " ").alias("wanted"), "items")
+    return first.select("id", F.col("p.key").alias("key"), F.col("p.place").alias("place"), F.size("win").alias("size"), F.array_join("win", " ").alias("wanted"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
@@ -62,19 +63,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     without words or without an id add no item (words of the latter still hit); empty tables give no hits or no rows.
     """
     windows = item_windows(benchmark, width)
-    small = windows.count() <= BROADCAST_WINDOWS
+    blocks = max(1, -(-windows.count() // max(1, BROADCAST_WINDOWS)))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = _prefixes(text, windows, small)
+    wanted = cut(_prefixes(text, windows, blocks == 1))
     # Every text begins with the empty word at place 0; it joins this row, which stands for the document itself.
     itself = wanted.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(0).alias("place"), F.lit(0).alias("size"), F.lit("").alias("wanted"), F.lit(None).cast("array<string>").alias("items"))
-    wanted = wanted.unionByName(itself)
     words = text.select("doc_id", row_key("doc_id", "text").alias("row"), _split(F.col("text")).alias("words"))
     words = words.select("doc_id", "row", "words", (F.size("words") - 1 - (F.element_at("words", -1) == "").cast("int")).alias("n"))
-    met = words.select("*", F.posexplode("words").alias("pos", "w")).withColumn("key", F.lower("w")).join(F.broadcast(wanted) if small else wanted, "key")
-    start = F.col("pos") - F.col("place")
-    found = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size"))
-    met = met.filter(((F.col("size") == 0) & (F.col("pos") == 0)) | ((F.col("size") > 0) & (start >= 1) & (start + F.col("size") - 1 <= F.col("n")) & (_lowered(F.array_join(found, " ")) == F.col("wanted"))))
-    met = met.select("doc_id", "row", "n", "size", start.alias("start"), "items")
+
+    def meet(block: DataFrame) -> DataFrame:
+        met = words.select("*", F.posexplode("words").alias("pos", "w")).withColumn("key", F.lower("w")).join(F.broadcast(block), "key")
+        start = F.col("pos") - F.col("place")
+        found = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size"))
+        fits = (start >= 1) & (start + F.col("size") - 1 <= F.col("n")) & (_lowered(F.array_join(found, " ")) == F.col("wanted"))
+        return met.filter(((F.col("size") == 0) & (F.col("pos") == 0)) | ((F.col("size") > 0) & fits)).select("doc_id", "row", "n", "size", start.alias("start"), "items")
+
+    met = None
+    for b in range(blocks):
+        block = (wanted.filter(F.pmod("id", F.lit(blocks)) == b) if blocks > 1 else wanted).drop("id")
+        part = meet(block.unionByName(itself) if b == 0 else block)
+        met = part if met is None else met.unionByName(part)
     hit = F.when(F.col("size") > 0, F.struct("start", (F.col("start") + F.col("size")).alias("end")))
     per_row = met.groupBy("doc_id", "row").agg(
         F.max("n").cast("long").alias("n_words"),
