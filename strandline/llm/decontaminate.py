@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import cut, row_key
+from .textkit import cut, row_key, unused
 
 WINDOW = 13
 BROADCAST_WINDOWS = 200_000
@@ -101,9 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without its contaminated rows."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("row").alias("__bad_row")).distinct()
-    marked = docs.withColumn("__row", row_key("doc_id", "text"))
-    return marked.join(bad, marked["__row"] == bad["__bad_row"], "left_anti").drop("__row")
+    own = unused(docs, "__row")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("row").alias(own)).distinct()
+    return docs.withColumn(own, row_key("doc_id", "text")).join(bad, own, "left_anti").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

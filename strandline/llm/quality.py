@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import IS_WORD, ROW, cut, mix, place_table, row_key, slices, span_hashes, word_spans
+from .textkit import IS_WORD, ROW, cut, mix, place_table, row_key, slices, span_hashes, unused, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 MIN_CELL, SUBSET = 60, 0.75
@@ -242,9 +242,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with its columns."""
-    good = verdicts(docs).filter("kept").select(F.col("row").alias("__good_row")).distinct()
-    marked = docs.withColumn("__row", row_key("doc_id", "text", "lang", "source"))
-    return marked.join(good, marked["__row"] == good["__good_row"], "left_semi").drop("__row")
+    own = unused(docs, "__row")
+    good = verdicts(docs).filter("kept").select(F.col("row").alias(own)).distinct()
+    return docs.withColumn(own, row_key("doc_id", "text", "lang", "source")).join(good, own, "left_semi").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

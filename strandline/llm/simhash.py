@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
-from .textkit import ROW, cut, row_key, shuffle_width, slices
+from .textkit import ROW, cut, row_key, shuffle_width, slices, unused
 
 BITS = 64
 #: Widths of the bit blocks, low bits first.
@@ -233,9 +233,9 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
 def keep_representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """One row of each component, with the columns of docs: that of the least doc_id (then of the least row key)."""
     _, heads = _classes(docs, radius, shingle)
-    chosen = heads.select(F.col("head.row").alias("__kept_row")).distinct()
-    marked = docs.withColumn("__row", row_key("doc_id", "text"))
-    return marked.join(chosen, marked["__row"] == chosen["__kept_row"], "left_semi").dropDuplicates(["__row"]).drop("__row")
+    own = unused(docs, "__row")
+    chosen = heads.select(F.col("head.row").alias(own)).distinct()
+    return docs.withColumn(own, row_key("doc_id", "text")).join(chosen, own, "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def fingerprint_hex(column: str = "fp") -> Column:

@@ -78,6 +78,14 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(*columns).alias("hash"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column; case does not count, as in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def least_hash_sample(rows: DataFrame, column: str, k: int) -> DataFrame:
     """Rows of the k distinct values of `column` with the least hash, one each. Only hashes are sorted, no whole values."""
     keyed = rows.withColumn("__h", F.xxhash64(column))

@@ -44,3 +44,16 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 def test_run(spark, tmp_path):
     _, _, clean = corpus(tmp_path, spark)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == clean | {205}
+
+
+def test_stages_keep_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    docs, _, _ = corpus(tmp_path, spark)
+    names = ["__row", "row", "base", "added", "kept", "fp", "items", "w"]
+    more = docs.union(docs.filter("doc_id < 5")).selectExpr("*", *[f"doc_id * 2 AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        empty = stage(spark, more.limit(0), str(tmp_path))
+        assert empty.columns == more.columns and empty.count() == 0, name
+        more = stage(spark, more, str(tmp_path))
+        rows = more.collect()
+        assert rows and all(r[n] == r.doc_id * 2 for r in rows for n in names), name
+        assert sum(r.doc_id == 3 for r in rows) == (2 if name == "quality rules" else 1), name
