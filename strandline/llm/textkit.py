@@ -74,8 +74,9 @@ def row_hash(*columns: str) -> Column:
 
 def row_key(*columns: str) -> Column:
     """A row's doc_id and a 64-bit hash of its values: equal rows share it and then also share their results, and rows
-    of different documents never do. Structs compare by their fields, nulls included."""
-    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(*columns).alias("hash"))
+    of different documents never do. Structs compare by their fields, nulls included. The cast makes both fields nullable,
+    as they come back from Python: otherwise a join casts one side, and what groups by the key afterwards shuffles again."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(*columns).alias("hash")).cast(ROW)
 
 
 def unused(df: DataFrame, name: str) -> str:
