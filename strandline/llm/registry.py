@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, pieces, pii, quality, secrets, simhash, substrings, suffixes
+from . import chat, decontaminate, langid, licenses, negatives, pieces, pii, quality, secrets, simhash, substrings, suffixes, whitening
 from .textkit import table
 
 
@@ -51,10 +51,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_array_dedup, op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_license_scan, op10_secret_scan]
+    found = [op1_suffix_array_dedup, op2_quality_rules, op3_sentencepiece, op4_personal_data, op5_language_id, op6_substring_dedup, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_license_scan, op10_secret_scan, op11_hard_negatives, op12_chat_formatting, op13_embedding_whitening]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": substrings.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op6_substring_dedup": substrings.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op12_chat_formatting": chat.ORACLE}
