@@ -65,8 +65,8 @@ def _column_sums(fit: DataFrame, dims: int) -> tuple[int, np.ndarray]:
 
 
 def _gramian(fit: DataFrame, n: int, sums: np.ndarray) -> np.ndarray:
-    total = F.array(*[F.lit(int(s)) for s in sums])
-    centred = F.zip_with(F.col("x"), total, lambda x, s: (F.lit(n) * x - s).cast("double") / F.lit(float(n)))
+    total = F.array(*[F.lit(int(s)).cast("long") for s in sums])
+    centred = F.zip_with(F.col("x"), total, lambda x, s: (F.lit(n).cast("long") * x - s).cast("double") / F.lit(float(n)))
     rows = MLUtils.convertVectorColumnsFromML(fit.select(array_to_vector(centred).alias("v")), "v")
     return RowMatrix(rows).computeGramianMatrix().toArray()
 
