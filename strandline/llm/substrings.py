@@ -36,6 +36,8 @@ ANCHOR_BYTES = 25
 FLUSH = 1 << 20
 #: Rows of an anchor beyond which it is not grouped in one task, and repeated windows of such anchors that are broadcast.
 HOT, HOT_TABLE = 5_000, 1 << 20
+#: Bits of the bitmap of hot anchors, at most: 16 MB.
+HOT_BITS = 27
 _TABLES = place_table(3), place_table(4)
 
 
@@ -159,8 +161,9 @@ _CANDIDATE = f"row {ROW}, doc_id long, word int, key long, hashes array<long>"
 _LOSS = f"row {ROW}, word int, mask int"
 
 
-def _candidates(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
-    """A row for each anchor estimated repeated: its document, its first window and the hashes of its windows, which are consecutive; narrow: its key alone."""
+def _candidates(texts: DataFrame, shared, bits: int, hot=None, narrow: bool = False, warm: bool = False) -> DataFrame:
+    """A row for each anchor estimated repeated: its document, its first window and the hashes of its windows, which are consecutive;
+    narrow: its key alone. Anchors that are hot are left out; warm: they alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
@@ -170,6 +173,8 @@ def _candidates(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
             new = np.concatenate([[True], place[1:] != place[:-1]])
             first = np.flatnonzero(new)
             keep = estimated_repeated(shared.value, key[first], bits)
+            if hot is not None:
+                keep &= is_hot(hot.value, key[first]) == warm
             sizes = np.diff(np.concatenate([first, [len(key)]]))[keep]
             chosen = first[keep]
             if not len(chosen):
@@ -217,23 +222,64 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = {"key": k[heads], "hash": h[heads], "doc": docs[order][heads]}
 
 
-def hot_keys(narrow: DataFrame, hot: int) -> np.ndarray:
-    """Sorted keys with more than `hot` rows: at most one in `hot` of all rows."""
-    rows = narrow.groupBy("key").count().filter(F.col("count") > hot).select("key").toLocalIterator()
-    return np.sort(np.fromiter((r["key"] for r in rows), np.int64))
+def hot_bitmap(narrow: DataFrame, hot: int) -> tuple[np.ndarray, int] | None:
+    """(bitmap, bits) that marks the keys with more than `hot` rows; None if there are none.
+
+    At most 2**HOT_BITS bits reach the driver, however many keys are hot. Keys that share a bit with a hot one are treated as hot
+    too, which is as exact; about 64 bits a key keep them few, as long as the bitmap may grow.
+    """
+    keys = cut(narrow.groupBy("key").count().filter(F.col("count") > hot).select("key"))
+    n = keys.count()
+    if not n:
+        return None
+    bits = min(HOT_BITS, max(BLOCK_BITS, math.ceil(math.log2(64 * n))))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.unique(cells_of(batch.column(0).to_numpy().view(np.uint64), bits)[0])
+            block = cell >> BLOCK_BITS
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(cell) else np.zeros(1, int)
+            low = [(cell[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]], pa.int64()), pa.array(low, pa.binary())], names=["block", "cells"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, now = np.zeros(1 << BLOCK_BITS, bool), None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(marks, bitorder="little").tobytes()])], names=["block", "bits"])
+        for batch in batches:
+            for block, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    marks[:], now = False, block
+                marks[np.frombuffer(low.as_buffer(), "<u2")] = True
+        if now is not None:
+            yield done()
+
+    parts = keys.mapInArrow(cells, "block long, cells binary").repartition(shuffle_width(keys.sparkSession), "block").sortWithinPartitions("block")
+    out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (BLOCK_BITS - 3)
+    for r in parts.mapInArrow(merge, "block long, bits binary").toLocalIterator():  # bounded by the bitmap's size
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out, bits
+
+
+def is_hot(hot: tuple[np.ndarray, int] | None, keys: np.ndarray) -> np.ndarray:
+    if hot is None:
+        return np.zeros(len(keys), bool)
+    cells = cells_of(keys, hot[1])[0]
+    return (hot[0][cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0
 
 
 def _pair(key: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return mix(key.view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + digest.view(np.uint64))
 
 
-def _hot_windows(texts: DataFrame, keys) -> DataFrame:
+def _hot_windows(texts: DataFrame, hot) -> DataFrame:
     """(key, hash, first): windows of hot anchors that stand in two or more documents, with their least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in slices(batches):
             text, _, digest, _, key = windows(data, offs)
-            hit = np.flatnonzero(lookup(key.view(np.int64), keys.value) >= 0)
+            hit = np.flatnonzero(is_hot(hot.value, key))
             if not len(hit):
                 continue
             doc, k, h = rows.column(1).to_numpy()[text[hit]], key[hit].view(np.int64), digest[hit].view(np.int64)
@@ -254,20 +300,18 @@ def losses(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, tuple[n
     bits = bits or cell_bits(texts, ANCHOR_BYTES)
     shared = spark.sparkContext.broadcast(sketch(texts, bits))
     # The keys are counted in a pass of their own: keeping the candidates for both uses would take more disk than that takes time.
-    keys = hot_keys(_candidates(texts, shared, bits, narrow=True), HOT)
-    found = _candidates(texts, shared, bits, narrow=False)
-    few = F.broadcast(spark.createDataFrame([(int(k),) for k in keys], "key long"))
-    width = shuffle_width(spark)
-    cold = (found.join(few, "key", "left_anti") if len(keys) else found).select("row", "doc_id", "word", "key", "hashes").repartition(width, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
-    if not len(keys):
+    marks = hot_bitmap(_candidates(texts, shared, bits, narrow=True), HOT)
+    hot = spark.sparkContext.broadcast(marks) if marks is not None else None
+    cold = _candidates(texts, shared, bits, hot).repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "doc_id").mapInArrow(_group, _LOSS)
+    if hot is None:
         return cold, None
-    firsts = cut(_hot_windows(texts, spark.sparkContext.broadcast(keys)))
+    firsts = cut(_hot_windows(texts, hot))
     if firsts.count() <= HOT_TABLE:
         rows = firsts.toArrow()
         key, digest, first = (rows.column(c).to_numpy() for c in ("key", "hash", "first"))
         order = np.argsort(_pair(key, digest))
         return cold, (_pair(key, digest)[order], key[order], digest[order], first[order])
-    warm = found.join(few, "key", "left_semi").select("row", "doc_id", "word", "key", F.posexplode("hashes").alias("bit", "hash"))
+    warm = _candidates(texts, shared, bits, hot, warm=True).select("row", "doc_id", "word", "key", F.posexplode("hashes").alias("bit", "hash"))
     late = warm.join(firsts, ["key", "hash"]).filter("doc_id > first").groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("mask"))
     return cold.unionByName(late), None
 

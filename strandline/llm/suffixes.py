@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import substrings
-from .textkit import ROW, byte_table, cut, lookup, prefix_sums, range_hash, row_key, shuffle_width, slices
+from .textkit import ROW, byte_table, cut, lookup, pieces_of, prefix_sums, range_hash, row_key, shuffle_width, slices
 
 LENGTH, CONTEXT = 400, 160
 #: Rows of an anchor beyond which it is not compared in one task, and repeated strings of such anchors that are broadcast.
@@ -39,6 +39,8 @@ ANCHOR_BYTES = 121
 SHARD = 2048
 #: Bytes of text taken at once; the arrays over them take about a hundred times as much.
 SLICE = 1 << 19
+#: Rows of a batch with the bytes around an anchor, of which each has at most 640.
+REGIONS = 1 << 15
 _TABLE = byte_table(5)
 _SEEDS = byte_table(6), byte_table(7)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -69,7 +71,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for _, data, offs in slices(batches, limit=SLICE):
+    for _, data, offs, _ in pieces_of(batches, SLICE, LENGTH - 1):
         key = anchors(data, offs)[-1]
         if len(key):
             yield key
@@ -149,23 +151,30 @@ _REGION = f"row {ROW}, key long, first int, last int, place int, bytes binary"
 _SPAN = f"row {ROW}, start int, end int"
 
 
-def _regions(texts: DataFrame, shared, bits: int, narrow: bool) -> DataFrame:
-    """Anchors estimated repeated; unless narrow with the bytes from their first string's begin to their last one's end."""
+def _regions(texts: DataFrame, shared, bits: int, hot=None, narrow: bool = False) -> DataFrame:
+    """Anchors estimated repeated and not hot; unless narrow with the bytes from their first string's begin to their last one's end.
+
+    An anchor whose strings begin in two pieces of a long text comes twice, each time with its strings there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches, limit=SLICE):
-            text, place, first, last, key = anchors(data, offs)
-            keep = substrings.estimated_repeated(shared.value, key, bits) if len(key) else np.zeros(0, bool)
+        for rows, data, offs, base in pieces_of(batches, SLICE, LENGTH - 1):
+            found = anchors(data, offs)
+            keep = substrings.estimated_repeated(shared.value, found[-1], bits) if len(found[-1]) else np.zeros(0, bool)
+            if hot is not None and len(keep):
+                keep &= ~substrings.is_hot(hot.value, found[-1])
             if not keep.any():
                 continue
-            text, place, first, last, key = (x[keep] for x in (text, place, first, last, key))
+            text, place, first, last, key = (x[keep] for x in found)
             if narrow:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
                 continue
-            whole = data.tobytes()
-            parts = [whole[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            at = offs[text]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(key.view(np.int64)), *[pa.array((x - at).astype(np.int32)) for x in (first, last, place)], pa.array(parts, pa.binary())], names=["row", "key", "first", "last", "place", "bytes"])
+            whole, at = data.tobytes(), offs[text] - base
+            for a in range(0, len(key), REGIONS):
+                b = min(a + REGIONS, len(key))
+                parts = [whole[i : j + LENGTH] for i, j in zip(first[a:b].tolist(), last[a:b].tolist(), strict=True)]
+                places = [pa.array((x - at)[a:b].astype(np.int32)) for x in (first, last, place)]
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text[a:b])), pa.array(key[a:b].view(np.int64)), *places, pa.array(parts, pa.binary())], names=["row", "key", "first", "last", "place", "bytes"])
 
     return texts.mapInArrow(run, "key long" if narrow else _REGION)
 
@@ -217,22 +226,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(pa.Table.from_batches(held))
 
 
-def _hot_strings(data: np.ndarray, offs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def _hot_strings(data: np.ndarray, offs: np.ndarray, marks: tuple[np.ndarray, int]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(begins, digests) of the strings of a slice whose anchors are hot: places within the slice, and two hashes each."""
     _, _, first, last, key = anchors(data, offs)
-    hit = np.flatnonzero(lookup(key.view(np.int64), keys) >= 0)
+    hit = np.flatnonzero(substrings.is_hot(marks, key))
     if not len(hit):
         return np.zeros(0, np.int64), []
     at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)])
     return at, [substrings._combined(t[data], LENGTH)[at].view(np.int64) for t in _SEEDS]
 
 
-def _hot_counts(texts: DataFrame, keys) -> DataFrame:
+def _hot_counts(texts: DataFrame, hot) -> DataFrame:
     """(h, g): digests of the strings under hot anchors that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offs in slices(batches, limit=SLICE):
-            at, digests = _hot_strings(data, offs, keys.value)
+        for _, data, offs, _ in pieces_of(batches, SLICE, LENGTH - 1):
+            at, digests = _hot_strings(data, offs, hot.value)
             if len(at):
                 h, g = digests
                 order = np.lexsort((g, h))
@@ -243,15 +252,15 @@ def _hot_counts(texts: DataFrame, keys) -> DataFrame:
     return texts.mapInArrow(run, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g")
 
 
-def _hot_rows(texts: DataFrame, keys) -> DataFrame:
+def _hot_rows(texts: DataFrame, hot) -> DataFrame:
     """Every string under a hot anchor with its row, place and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in slices(batches, limit=SLICE):
-            at, digests = _hot_strings(data, offs, keys.value)
+        for rows, data, offs, base in pieces_of(batches, SLICE, LENGTH - 1):
+            at, digests = _hot_strings(data, offs, hot.value)
             if len(at):
                 text = np.searchsorted(offs, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array((at - offs[text]).astype(np.int32)), *map(pa.array, digests)], names=["row", "start", "h", "g"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array((at - offs[text] + base).astype(np.int32)), *map(pa.array, digests)], names=["row", "start", "h", "g"])
 
     return texts.mapInArrow(run, f"row {ROW}, start int, h long, g long")
 
@@ -263,42 +272,49 @@ def repeated_spans(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame,
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).filter("text is not null")
     bits = bits or substrings.cell_bits(texts, ANCHOR_BYTES)
     shared = spark.sparkContext.broadcast(substrings.sketch(texts, bits, _keys))
-    keys = substrings.hot_keys(_regions(texts, shared, bits, narrow=True), HOT)
-    regions = _regions(texts, shared, bits, narrow=False)
-    few = F.broadcast(spark.createDataFrame([(int(k),) for k in keys], "key long"))
-    cold = regions.join(few, "key", "left_anti") if len(keys) else regions
-    dealt = cold.select("row", "key", "first", "last", "place", "bytes").repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
+    marks = substrings.hot_bitmap(_regions(texts, shared, bits, narrow=True), HOT)
+    hot = spark.sparkContext.broadcast(marks) if marks is not None else None
+    dealt = _regions(texts, shared, bits, hot).repartition(shuffle_width(spark), "key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_compare, _SPAN)
-    if not len(keys):
+    if hot is None:
         return found, None
-    shared_keys = spark.sparkContext.broadcast(keys)
-    twice = cut(_hot_counts(texts, shared_keys))
+    twice = cut(_hot_counts(texts, hot))
     if twice.count() <= HOT_TABLE:
         rows = twice.toArrow()
         h, g = rows.column("h").to_numpy(), rows.column("g").to_numpy()
         order = np.argsort(h)
-        return found, (keys, h[order], g[order])
-    strings = _hot_rows(texts, shared_keys)
+        return found, (marks, h[order], g[order])
+    strings = _hot_rows(texts, hot)
     return found.unionByName(strings.join(twice, ["h", "g"]).select("row", "start", (F.col("start") + LENGTH).alias("end"))), None
 
 
 def _hot_spans(data: np.ndarray, offs: np.ndarray, hot) -> dict[int, list[tuple[int, int]]]:
-    """Repeated ranges of each text of a slice, as far as their anchors are hot."""
-    keys, hs, gs = hot
-    at, digests = _hot_strings(data, offs, keys)
+    """Repeated ranges of each text of a slice, as far as their anchors are hot; those of a long text's pieces may touch or overlap."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    if len(offs) > 2 or len(data) <= SLICE + LENGTH - 1:
+        _add_hot_spans(data, offs, 0, hot, out)
+    else:
+        for at in range(0, len(data) - LENGTH + 1, SLICE):
+            piece = data[at : at + SLICE + LENGTH - 1]
+            _add_hot_spans(piece, np.array([0, len(piece)]), at, hot, out)
+    return out
+
+
+def _add_hot_spans(data: np.ndarray, offs: np.ndarray, base: int, hot, out: dict[int, list[tuple[int, int]]]) -> None:
+    marks, hs, gs = hot
+    at, digests = _hot_strings(data, offs, marks)
     if not len(at):
-        return {}
+        return
     place = lookup(digests[0], hs)
     at = np.sort(at[(place >= 0) & (gs[place] == digests[1])])
     if not len(at):
-        return {}
+        return
     text = np.searchsorted(offs, at, "right") - 1
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (at[1:] > at[:-1] + LENGTH)]))
     ends = np.append(new[1:], len(at)) - 1
-    out: dict[int, list[tuple[int, int]]] = {}
-    for t, a, b in zip(text[new].tolist(), (at[new] - offs[text[new]]).tolist(), (at[ends] - offs[text[new]] + LENGTH).tolist(), strict=True):
+    begin = offs[text[new]] - base
+    for t, a, b in zip(text[new].tolist(), (at[new] - begin).tolist(), (at[ends] - begin + LENGTH).tolist(), strict=True):
         out.setdefault(t, []).append((a, b))
-    return out
 
 
 def dedup_bytes(docs: DataFrame, bits: int | None = None) -> DataFrame:
@@ -306,8 +322,8 @@ def dedup_bytes(docs: DataFrame, bits: int | None = None) -> DataFrame:
 
     A byte goes if a 400-byte string over it also starts anywhere else, in its own document too; what a removal leaves
     may no longer be UTF-8. Only doc_id and text are read. Null texts are empty; repeated rows are copies of each other
-    and lose what they share; an empty table gives no rows. Texts are taken half a MB at a time; a longer one is taken
-    whole, with about a hundred bytes of memory a byte.
+    and lose what they share; an empty table gives no rows. Texts are taken half a MB at a time, longer ones in pieces that
+    share 399 bytes, so memory beyond a text's own bytes does not grow with it, except by its removed ranges.
     """
     return _stripped(docs, bits, digest=False)
 

@@ -161,6 +161,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """As slices, but a longer text comes in pieces of its own that begin `limit` bytes apart and share `overlap` bytes, each with
+    its place in the text. Whatever is at most overlap + 1 bytes long stands whole in a piece, begins below `limit` in just one."""
+    for rows, data, offs in slices(batches, limit=limit):
+        if len(data) <= limit + overlap or rows.num_rows > 1:
+            yield rows, data, offs, 0
+            continue
+        for at in range(0, len(data), limit):
+            piece = data[at : at + limit + overlap]
+            yield rows, piece, np.array([0, len(piece)]), at
+            if at + len(piece) == len(data):
+                break
+
+
 #: Bytes that end a word `[^\x20\x09-\x0D]+`.
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False

@@ -84,3 +84,15 @@ def test_very_long_text(spark):
     rows = [(1, part), (2, f"{long} {part} {long[:2000]}x")]
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string"), None).collect())
     assert got == brute(rows)
+
+
+def test_bitmap_of_hot_keys_marks_each_and_few_others(spark):
+    import numpy as np
+
+    keys = [(k * 7919 - 5, n) for k, n in ((k, 12 if k % 3 == 0 else 2) for k in range(300))]
+    rows = spark.createDataFrame(keys, "key long, n int").selectExpr("key", "explode(sequence(1, n)) AS i").select("key")
+    marks = s.hot_bitmap(rows, 5)
+    flags = s.is_hot(marks, np.array([k for k, _ in keys], np.int64).view(np.uint64))
+    hot = np.array([n > 5 for _, n in keys])
+    assert flags[hot].all() and flags[~hot].sum() < 20
+    assert s.hot_bitmap(rows, 50) is None

@@ -72,3 +72,26 @@ def test_very_long_text(spark):
     rows = [(1, make(50) + shared), (2, make(1_200_000) + shared + make(400))]  # over two slices
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("unit", ["a", "abcdefg", "The same line of some sixty letters, over and over, with é.\n", "x" * 150 + "yz" * 30])
+def test_very_long_repetitive_texts(spark, unit):
+    """Places with a repeated anchor stand as dense as bytes here; the whole text is removed, in one run."""
+    n = 6_000_000 // len(unit)
+    long = unit * n
+    size = len(long.encode())
+    rows = [(1, long), (2, "lead " + unit * 10), (3, "free")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in s.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    body = 10 * len(unit.encode())
+    assert got[1] == (size, size, 1) and got[3] == (4, 0, 0)
+    assert got[2] == ((5 + body, body, 1) if body >= 400 else (5 + body, 0, 0))
+
+
+def test_pieces_of_a_long_text_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(s, "SLICE", 900)
+    rows = corpus() + [(200, "".join(t or "" for _, t in corpus()))]
+    for hot in (20_000, 3):
+        monkeypatch.setattr(s, "HOT", hot)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.digest(docs, BITS).collect())
+        assert got == brute(rows)
