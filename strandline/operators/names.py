@@ -13,12 +13,13 @@ OBJECT_TYPES = ("person", "org", "project", "place", "event", "attribute_value",
 HEADLINES = ("Meet ", "Introducing ", "About ", "Q&A with ", "A Conversation with ")
 PRONOUNS = ("he", "she", "they", "it", "we", "i", "you", "his", "her", "their", "its", "our", "your")
 NEWS = (
-    "selloff sell-off rally crash surge plunge rebound drop drops halts halt resumes resume launches launch announces announce kicks kicked "
-    "opens closes ends begins starts reveals unveils tops beats misses gains loses posts reports breaking exclusive update"
-).split()
+    "selloff", "sell-off", "rally", "crash", "surge", "plunge", "rebound", "drop", "drops", "halts", "halt", "resumes", "resume", "launches",
+    "launch", "announces", "announce", "kicks", "kicked", "opens", "closes", "ends", "begins", "starts", "reveals", "unveils", "tops", "beats",
+    "misses", "gains", "loses", "posts", "reports", "breaking", "exclusive", "update",
+)
 COMPANIES = (
-    "LLC", "L.L.C.", "LLC.", "Inc", "Inc.", "Incorporated", "Co.", "Co", "Corp", "Corp.", "Corporation", "Ltd", "Ltd.", "Limited", "LLP", "L.L.P.",
-    "LP", "L.P.", "PLLC", "PBC", "GmbH", "AG", "S.A.", "S.A.S.", "S.A.R.L.", "N.V.", "B.V.", "Pty Ltd", "Pty. Ltd.",
+    " LLC", " L.L.C.", " LLC.", " Inc", " Inc.", " Incorporated", " Co.", " Co", " Corp", " Corp.", " Corporation", " Ltd", " Ltd.", " Limited",
+    " LLP", " L.L.P.", " LP", " L.P.", " PLLC", " PBC", " GmbH", " AG", " S.A.", " S.A.S.", " S.A.R.L.", " N.V.", " B.V.", " Pty Ltd", " Pty. Ltd.",
 )
 LONGEST = 80
 
@@ -45,6 +46,12 @@ def title_form(text: Column) -> Column:
     return F.array_join(shaped, " ")
 
 
+def organisation_form(text: Column) -> Column:
+    """What stands before the first "and", without an article in front and punctuation around."""
+    first = F.get(F.split(F.trim(text), r"\s+and\s+(?:the\s+)?", 2), F.lit(0))
+    return F.regexp_replace(F.btrim(first, F.lit(".,;:")), r"(?i)^the\s+", "")
+
+
 def valid_name(text: Column, kind: Column) -> Column:
     """Whether text can be the name of a kind: its length, breaks, pronouns and, for persons, the shape of its words."""
     bare = F.trim(text)
@@ -52,7 +59,7 @@ def valid_name(text: Column, kind: Column) -> Column:
     plain = (bare != "") & (F.length(bare) <= LONGEST) & ~bare.rlike(r"[\n\t]|\.\s+[A-Z]|[,;:!?]$") & (F.size(words) > 0) & ~F.exists(words, lambda w: F.lower(w).isin(*PRONOUNS))
     letters = lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
     shaped = F.forall(words, lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*NEWS) & (letters(w) >= F.greatest(F.lit(2), F.length(w) - 1)))
-    company = F.exists(F.array(*[F.lit(f" {c}") for c in COMPANIES]), lambda c: bare.endswith(c))
+    company = F.exists(F.array(*map(F.lit, COMPANIES)), lambda c: bare.endswith(c))
     person = F.size(words).between(2, 5) & shaped & ~company
     other = F.forall(words, lambda w: w.rlike(r"^[\p{L}\p{N}]"))
     return F.coalesce(plain & F.when(kind == "person", person).when(kind.isin("org", "place", "project", "event"), other).otherwise(F.lit(True)), F.lit(False))
