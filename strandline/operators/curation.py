@@ -76,10 +76,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def supersede(runs: DataFrame) -> DataFrame:
-    """Stopped runs that a later run of the same source and kind replaces become superseded."""
-    w = Window.partitionBy("source_id", "kind").orderBy("started_at", "run_id")
-    later = F.lead("run_id").over(w).isNotNull()
-    return runs.select("run_id", "source_id", "kind", F.when((F.col("status") == "stopped") & later, "superseded").otherwise(F.col("status")).alias("status"))
+    """Stopped runs that a later run of the same source and kind replaces become superseded.
+
+    A later one exists unless the run is the newest; the newest of each group is a small table, and no group is one task.
+    """
+    newest = runs.groupBy(F.col("source_id").alias("__s"), F.col("kind").alias("__k")).agg(F.max(F.struct("started_at", "run_id")).alias("__newest"))
+    rows = runs.join(newest, F.col("source_id").eqNullSafe(F.col("__s")) & F.col("kind").eqNullSafe(F.col("__k")))
+    later = F.struct("started_at", "run_id") < F.col("__newest")
+    return rows.select("run_id", "source_id", "kind", F.when((F.col("status") == "stopped") & later, "superseded").otherwise(F.col("status")).alias("status"))
 
 
 def capped_log(rows: DataFrame, keep: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,46 @@ def trigram_matches(entities: DataFrame, aliases: DataFrame, query: str, thresho
     scored = near.withColumn("score", same / (F.size("own") + F.size(wanted) - same))
     best = scored.filter(F.col("score") > threshold).groupBy("entity_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), "label")).alias("b"))
     return best.select("entity_id", F.col("b.label").alias("label"), F.round("b.score", 6).alias("score"))
+
+
+def _ranked_grams(labels: DataFrame) -> DataFrame:
+    """(label, grams): distinct labels with their trigrams as ranks, rarest first.
+
+    Trigrams are of letters, digits and blanks of ASCII, so there are 37 ** 3 at most: their counts may be ordered in one
+    task and broadcast.
+    """
+    grams = labels.select("label").filter("label is not null").distinct().withColumn("g", F.explode(trigrams(F.col("label"))))
+    counts = grams.groupBy("g").count()
+    ranks = counts.select("g", F.row_number().over(Window.orderBy("count", "g")).alias("rank"))
+    return grams.join(F.broadcast(ranks), "g").groupBy("label").agg(F.array_sort(F.collect_list("rank")).alias("grams"))
+
+
+def similar_labels(left: DataFrame, right: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(left, right, score): pairs of labels whose trigram sets share more than `threshold` of their union; none is missed.
+
+    left, right: a column `label` each; equal labels count once, nulls and labels without a trigram match nothing. A pair
+    above the threshold shares more than threshold * n trigrams of each side's n, so it shares one of the n - floor(threshold
+    * n) rarest of each: only these meet, at sizes that can reach the threshold. A pair is compared where the first trigram
+    that both prefixes hold brought it together, so just once and without a distinct.
+    """
+    ranked = _ranked_grams(left.select("label").unionByName(right.select("label")))
+    size = F.size("grams")
+    prefix = F.slice("grams", F.lit(1), size - F.floor(size * F.lit(threshold) - 1e-9).cast("int"))
+    held = ranked.withColumn("prefix", prefix)
+    side = lambda rows, s: held.join(rows.select("label").distinct(), "label", "left_semi").select(F.col("label").alias(s), F.col("grams").alias(f"{s}_grams"), F.col("prefix").alias(f"{s}_prefix"), F.explode("prefix").alias("gram"))
+    a, b = F.size("left_grams"), F.size("right_grams")
+    met = side(left, "left").join(side(right, "right"), "gram").filter((b > a * threshold - 1e-9) & (a > b * threshold - 1e-9)).filter(F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("gram"))
+    same = F.size(F.array_intersect("left_grams", "right_grams"))
+    return met.select("left", "right", (same / (a + b - same)).alias("score")).filter(F.col("score") > threshold)
+
+
+def resembling_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(name, entity_id, label, score): for each of many names the entities whose name or an alias resembles it.
+
+    The best score of each entity counts, its own name's on ties, then the greater label. As `trigram_matches`, for a whole table of names.
+    """
+    labels = entities.select("entity_id", F.col("name").alias("label"), F.lit(0).alias("rank")).unionByName(aliases.select("entity_id", F.col("alias").alias("label"), F.lit(1).alias("rank")))
+    pairs = similar_labels(names.select(F.col("name").alias("label")), labels, threshold)
+    owned = pairs.join(labels, pairs["right"] == labels["label"])
+    best = owned.groupBy(F.col("left").alias("name"), "entity_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), "label")).alias("b"))
+    return best.select("name", "entity_id", "b.label", F.round("b.score", 6).alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Machine, Previous, RunningMax, scan
+
 STALE_SECONDS = 30 * 60
 
 
@@ -76,12 +78,24 @@ def source_state(sources: DataFrame, active_runs: DataFrame, pending_counts: Dat
     return rows.select("source_id", state.alias("state"))
 
 
-def transitions(runs: DataFrame) -> DataFrame:
+#: Steps of a run that are allowed.
+ALLOWED = ("queued>running", "running>complete", "running>failed", "running>stopped", "stopped>queued")
+#: Further steps that the state machine takes: the first event, an attempt anew.
+STARTS = ("new>queued", "new>running", "new>complete", "new>failed", "new>stopped", "complete>queued", "complete>running", "failed>queued", "failed>running")
+_ORDER = ("started_at", "run_id")
+
+
+def transitions(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts of successive states of each source and whether the step is allowed."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id")
-    steps = runs.select(F.lag("status").over(w).alias("before"), F.col("status").alias("after")).filter("before is not null")
-    allowed = F.concat_ws(">", "before", "after").isin("queued>running", "running>complete", "running>failed", "running>stopped", "stopped>queued")
-    return steps.groupBy("before", "after").agg(F.count("*").alias("steps")).withColumn("allowed", allowed)
+    steps = scan(runs.select("source_id", *_ORDER, F.col("status").alias("after")), ["source_id"], _ORDER, [Previous("after", "before")], parts).filter("before is not null")
+    return steps.groupBy("before", "after").agg(F.count("*").alias("steps")).withColumn("allowed", F.concat_ws(">", "before", "after").isin(*ALLOWED))
+
+
+def states(runs: DataFrame, parts: int | None = None) -> DataFrame:
+    """runs with `state`: where each source's machine stands after the event. Steps that are not allowed change nothing, so what
+    was stopped stays stopped though its job still reports an end."""
+    moves = tuple((*step.split(">"), step.split(">")[1]) for step in (*ALLOWED, *STARTS))
+    return scan(runs, ["source_id"], _ORDER, [Machine("status", "state", "new", moves)], parts)
 
 
 def accounting(runs: DataFrame) -> DataFrame:
@@ -104,16 +118,16 @@ def rescaled(done: Column, total: Column, start: float, end: float) -> Column:
     return F.when(total == 0, F.lit(end)).otherwise(start + (end - start) * done / total)
 
 
-def monotone(runs: DataFrame) -> DataFrame:
+def monotone(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """Crawl percent that never falls and stays below 100 while running."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("percent", F.max(F.least(F.lit(99.9), F.round("items", 1))).over(w))
+    rows = runs.withColumn("__own", F.least(F.lit(99.9), F.round(F.col("items").cast("double"), 1)))
+    return scan(rows, ["source_id"], _ORDER, [RunningMax("__own", "percent")], parts).drop("__own")
 
 
-def progress_changes(runs: DataFrame) -> DataFrame:
+def progress_changes(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows whose status differs from the one before of the same source: what a change stream emits."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id")
-    return runs.withColumn("before", F.lag("status").over(w)).filter(~F.col("status").eqNullSafe(F.col("before"))).select("source_id", "run_id", "status")
+    rows = scan(runs.select("source_id", *_ORDER, "status"), ["source_id"], _ORDER, [Previous("status", "before")], parts)
+    return rows.filter(~F.col("status").eqNullSafe(F.col("before"))).select("source_id", "run_id", "status")
 
 
 def newest(rows: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import answers, claims, coverage, crawl, graph, maintenance, na
 from ..sources import tables
 from ..streaming import streams
 from .bridge import NOW
-from .queries import ORACLES, PENDING, QUERIES, _CHAIN, OK_2XX, query  # noqa: F401
+from .queries import _ONE, ORACLES, PENDING, QUERIES, _CHAIN, OK_2XX, query  # noqa: F401
 
 _BEHIND = "behind AS (SELECT DISTINCT l.document_id, r.source_id FROM links l JOIN fetches f ON f.fetch_id = l.fetch_id JOIN fetch_runs r ON r.run_id = f.run_id JOIN document_rows d ON d.document_id = l.document_id)"
 
@@ -467,7 +467,7 @@ def leading_years(customer):
     return customer.select("c_custkey", scalars.leading_year(F.when(F.col("c_custkey") % 2 == 0, "1999-05").otherwise("May 1999")).alias("year"))
 
 
-@query("entities aliases claims evidence")
+@query("entities aliases claims evidence", f"WITH {_ONE}, ends AS (SELECT claim_id, subject_id AS entity_id FROM claims UNION ALL SELECT claim_id, object_id FROM claims WHERE object_id IS NOT NULL) SELECT b.entity_id, b.label, b.score, count(DISTINCT e.claim_id) AS claims, count(DISTINCT v.raw_id) AS raws FROM best b LEFT JOIN ends e ON e.entity_id = b.entity_id LEFT JOIN evidence v ON v.claim_id = e.claim_id GROUP BY b.entity_id, b.label, b.score")
 def trigram_report(entities, aliases, rows, evidence):
     """Entities that resemble a name, with how many claims and distinct raw claims stand behind each."""
     found = graph.trigram_matches(entities, aliases, "the red widgets")

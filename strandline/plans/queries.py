@@ -280,11 +280,32 @@ def entity_search(entities):
     return graph.search(entities, "widget").select("entity_id", "name")
 
 
-@query("entities aliases")
+def trigrams_sql(name: str) -> str:
+    """The distinct trigrams of a name, as graph.trigrams has them."""
+    return f"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({name}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+#: Resembling labels of entities by any-shared-trigram counts over all pairs; {names} is a subquery with a column name.
+RESEMBLING = f"""labels AS (SELECT entity_id, name AS label, 0 AS rank FROM entities UNION ALL SELECT entity_id, alias, 1 FROM aliases),
+lg AS (SELECT label, len(g) AS n, unnest(g) AS t FROM (SELECT label, {trigrams_sql('label')} AS g FROM (SELECT DISTINCT label FROM labels) x) y),
+qg AS (SELECT name, len(g) AS n, unnest(g) AS t FROM (SELECT name, {trigrams_sql('name')} AS g FROM (SELECT DISTINCT name FROM {{names}}) x) y),
+pairs AS (SELECT q.name, l.label, CAST(count(*) AS DOUBLE) / (any_value(q.n) + any_value(l.n) - count(*)) AS score FROM qg q JOIN lg l ON q.t = l.t GROUP BY q.name, l.label),
+owned AS (SELECT p.name, l.entity_id, p.label, p.score, row_number() OVER (PARTITION BY p.name, l.entity_id ORDER BY p.score DESC, l.rank, p.label DESC) AS r FROM pairs p JOIN labels l USING (label) WHERE p.score > {{threshold}}),
+best AS (SELECT name, entity_id, label, round(score, 6) AS score FROM owned WHERE r = 1)"""
+_ONE = RESEMBLING.format(names="(SELECT 'the red widgets' AS name)", threshold=0.3)
+
+
+@query("entities aliases", f"WITH {_ONE} SELECT entity_id, label, score FROM best")
 def trigram_match(entities, aliases):
     return graph.trigram_matches(entities, aliases, "the red widgets")
 
 
+@query("part entities aliases", f"WITH {RESEMBLING.format(names='(SELECT p_name AS name FROM part)', threshold=0.5)} SELECT name, entity_id, label, score FROM best")
+def trigram_join(part, entities, aliases):
+    """Every part's name against the names and aliases of all entities."""
+    return graph.resembling_entities(part.select(F.col("p_name").alias("name")), entities, aliases, 0.5)
+
+
 # Runs
 
 
@@ -336,6 +357,14 @@ def run_transitions(rows):
     return runs.transitions(rows)
 
 
+_STEPS = ", ".join(f"'{s}'" for s in (*runs.ALLOWED, *runs.STARTS))
+
+
+@query("runs", f"WITH o AS (SELECT run_id, source_id, status, row_number() OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS n FROM runs), s AS (SELECT run_id, source_id, status, n, status AS state FROM o WHERE n = 1 UNION ALL SELECT o.run_id, o.source_id, o.status, o.n, CASE WHEN concat(s.state, '>', o.status) IN ({_STEPS}) THEN o.status ELSE s.state END FROM s JOIN o ON o.source_id = s.source_id AND o.n = s.n + 1) SELECT run_id, source_id, status, state FROM s")
+def run_states(rows):
+    return runs.states(rows).select("run_id", "source_id", "status", "state")
+
+
 @query("runs", "SELECT source_id, round(sum(items), 2) AS cost, count(*) AS runs, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS kinds FROM runs GROUP BY source_id")
 def run_accounting(rows):
     return runs.accounting(rows)
