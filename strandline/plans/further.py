@@ -198,9 +198,9 @@ def run_spec_merge(rows):
     return rows.select("run_id", maintenance.merged_spec(old, new).alias("spec"))
 
 
-@query("runs", f"SELECT 'run.auto_failed_stale' AS action, 'runs' AS target_table, CAST(run_id AS VARCHAR) AS target_id FROM runs WHERE status = 'running' AND coalesce(stats_updated_at, started_at) < {NOW} - 1800")
+@query("runs", f"SELECT 'run.auto_failed_stale' AS action, 'runs' AS target_table, CAST(run_id AS VARCHAR) AS target_id, concat('{{\"source_id\":\"', source_id, '\"}}') AS payload FROM runs WHERE status = 'running' AND coalesce(stats_updated_at, started_at) < {NOW} - 1800")
 def audit_append(rows):
-    return maintenance.audit(runs.stale(rows, NOW), "run.auto_failed_stale", "runs", "run_id", "source_id").drop("payload")
+    return maintenance.audit(runs.stale(rows, NOW), "run.auto_failed_stale", "runs", "run_id", "source_id")
 
 
 @query("runs", "SELECT action, count(*) AS rows FROM (SELECT concat('run.', status) AS action FROM runs) x WHERE action LIKE 'run.s%' GROUP BY action")
@@ -295,7 +295,8 @@ def log_replay_200(rows):
 
 @query("runs", "SELECT run_id, concat('data: {\"run_id\":', CAST(run_id AS VARCHAR), ',\"status\":\"', status, '\"}', chr(10), chr(10)) AS frame FROM runs")
 def event_frames(rows):
-    return rows.select("run_id", "status").select("run_id", F.concat(F.lit("data: "), F.to_json(F.struct("run_id", "status")), F.lit("\n\n")).alias("frame"))
+    framed = streams.server_sent(rows.select("run_id", "status"))
+    return framed.select(F.get_json_object(F.regexp_extract("frame", r"^data: (.*)\n\n$", 1), "$.run_id").cast("long").alias("run_id"), "frame")
 
 
 # Answers
@@ -338,7 +339,7 @@ def question_keys(turns):
     return turns.select("conv_id", "turn", scalars.question_key(text).alias("key"))
 
 
-@query("runs")
+@query("runs", "WITH o AS (SELECT run_id, concat_ws(':', source_id, kind) AS key, started_at AS tick, row_number() OVER (PARTITION BY concat_ws(':', source_id, kind) ORDER BY started_at, run_id) AS n FROM runs), s AS (SELECT run_id, key, n, tick AS made, false AS hit FROM o WHERE n = 1 UNION ALL SELECT o.run_id, o.key, o.n, CASE WHEN o.tick - s.made < 3600 THEN s.made ELSE o.tick END, o.tick - s.made < 3600 FROM s JOIN o ON o.key = s.key AND o.n = s.n + 1) SELECT run_id AS request_id, hit FROM s")
 def answer_cache(rows):
     return answers.cached(rows.select(F.col("run_id").alias("request_id"), F.concat_ws(":", "source_id", "kind").alias("key"), F.col("started_at").alias("at")))
 

@@ -400,7 +400,13 @@ def host_pacing(rows):
     return runs.pacing(rows)
 
 
-@query("runs")
+def limited_sql(rows: str, allowed: int, seconds: int) -> str:
+    """Recursive steps over rows (id, client, tick): s has each with whether it is accepted."""
+    near = f"list_filter(s.recent, lambda t: t > o.tick - {seconds})"
+    return f"o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY tick, id) AS n FROM ({rows}) r), s AS (SELECT id, client, n, true AS accepted, [tick] AS recent FROM o WHERE n = 1 UNION ALL SELECT o.id, o.client, o.n, len({near}) < {allowed}, CASE WHEN len({near}) < {allowed} THEN list_append({near}, o.tick) ELSE {near} END FROM s JOIN o ON o.client = s.client AND o.n = s.n + 1)"
+
+
+@query("runs", f"WITH {limited_sql('SELECT run_id AS id, source_id AS client, started_at AS tick FROM runs', 3, 86400)} SELECT client, CAST(count(*) FILTER (WHERE accepted) AS INT) AS accepted, CAST(count(*) FILTER (WHERE NOT accepted) AS INT) AS refused FROM s GROUP BY client")
 def rate_limit(rows):
     return runs.rate_limit(rows)
 

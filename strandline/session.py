@@ -22,9 +22,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df materialised in the shared checkpoint folder, its lineage cut. Only a local session may name no folder."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session may do without."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -32,4 +32,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = f"/tmp/strandline-{uuid.uuid4().hex}"
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df materialised in the shared checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
