@@ -68,7 +68,7 @@ def _samples(docs: DataFrame) -> DataFrame:
     each = pairs.select("i", "p.a", "p.b")
     b = F.col("b")
     forms = [F.col("a"), F.concat_ws("_", "a", b), F.concat("a", F.initcap(b)), F.concat_ws("-", F.lower("a"), F.lower(b), F.col("i").cast("string")), F.concat_ws("/", F.lower("a"), b, F.concat(F.lit("v"), F.col("i") % 10)), F.concat(F.upper("a"), F.lit("_"), F.upper(b), F.lit("_"), F.col("i") % 100)]
-    plain = each.select(F.explode(F.array(*forms)).alias("token")).select(F.lit(0).alias("label"), "token").filter("length(token) <= 80").distinct()
+    plain = each.select(F.explode(F.array(*forms)).alias("token")).select(F.lit(0).alias("label"), "token").distinct()
     return random.union(plain).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(10)))
 
 
