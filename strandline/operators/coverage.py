@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+from . import provenance
+
 PENDING_CAP = 10_000
 
 
@@ -83,6 +86,26 @@ def coverage(sources: DataFrame, *measures: DataFrame) -> DataFrame:
     return out
 
 
+def pages_and_urls(fetches: DataFrame) -> DataFrame:
+    """pages_fetched and urls_known in one pass: each (source, url) once, with whether any fetch of it succeeded."""
+    urls = fetches.filter("url is not null").groupBy("source_id", "url").agg(F.bool_or(succeeded() & has_content()).alias("ok"))
+    return urls.groupBy("source_id").agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("pages_fetched"), F.count("*").alias("urls_known"))
+
+
+def full_coverage(sources: DataFrame, fetches: DataFrame, links: DataFrame, documents: DataFrame, fetch_runs: DataFrame, evidence: DataFrame, raws: DataFrame, mentions: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """All seven measures of every source, claims, entities and conflicts by the whole provenance chain.
+
+    What several measures need is made once and written: the links, the distinct (document, source) pairs behind them and
+    the distinct (source, claim) pairs.
+    """
+    links = checkpointed(links.select("document_id", "fetch_id"))
+    behind = checkpointed(provenance.document_sources(documents, links, fetches, fetch_runs))
+    held = checkpointed(provenance.source_claims(evidence, raws, behind))
+    claims = held.groupBy("source_id").agg(F.count("*").alias("claims"))
+    disputed = conflict_ends(conflicts).join(held, "claim_id").groupBy("source_id").agg(F.countDistinct("conflict_id").alias("conflicts"))
+    return coverage(sources, pages_and_urls(fetches), documents_per_source(fetches, links), claims, provenance.entities_per_source(mentions, raws, behind), pending_counts(fetches, links), disputed)
+
+
 def totals(covered: DataFrame, sources: DataFrame) -> DataFrame:
     """Sums over sources that are not archived: what sources share counts once a source."""
     live = covered.join(sources.filter("status <> 'archived'").select("source_id"), "source_id", "left_semi")

@@ -13,11 +13,17 @@ def adjacency(claims: DataFrame) -> DataFrame:
 
 
 def neighborhood(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(entity, neighbour, predicates, evidence_count): both ways, with all predicates and all distinct evidence."""
-    edges = adjacency(claims)
-    predicates = edges.groupBy("entity_id", "neighbor_id").agg(F.array_join(F.sort_array(F.collect_set("predicate")), ",").alias("predicates"))
-    backing = edges.select("claim_id", "entity_id", "neighbor_id").join(evidence.select("claim_id", "raw_id").distinct(), "claim_id").groupBy("entity_id", "neighbor_id").agg(F.countDistinct("raw_id").alias("evidence_count"))
-    return predicates.join(backing, ["entity_id", "neighbor_id"], "left").fillna(0, ["evidence_count"])
+    """(entity, neighbour, predicates, evidence_count): both ways, with all predicates and all distinct evidence.
+
+    Edges of either direction are one pair until both measures are taken; only the result is mirrored. A pair's evidence is
+    its distinct raw claims, so an edge's claims meet theirs once.
+    """
+    edges = claims.filter("object_id is not null").select("claim_id", "predicate", F.least("subject_id", "object_id").alias("a"), F.greatest("subject_id", "object_id").alias("b"))
+    backed = edges.join(evidence.select("claim_id", "raw_id"), "claim_id", "left")
+    once = backed.groupBy("a", "b", "raw_id").agg(F.collect_set("predicate").alias("p"))
+    pairs = once.groupBy("a", "b").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("p")))), ",").alias("predicates"), F.count("raw_id").alias("evidence_count"))
+    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(F.explode(ends).alias("e"), "predicates", "evidence_count").select(F.col("e.a").alias("entity_id"), F.col("e.b").alias("neighbor_id"), "predicates", "evidence_count")
 
 
 def summary(claims: DataFrame, evidence: DataFrame, entities: DataFrame) -> DataFrame:

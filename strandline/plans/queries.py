@@ -88,27 +88,29 @@ def conflicts_by_source(conflicts, evidence):
     return coverage.conflicts_per_source(conflicts, evidence)
 
 
-_COVER = f"""p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id),
+_BEHIND = "behind AS (SELECT DISTINCT l.document_id, r.source_id FROM links l JOIN fetches f ON f.fetch_id = l.fetch_id JOIN fetch_runs r ON r.run_id = f.run_id JOIN document_rows d ON d.document_id = l.document_id)"
+_COVER = f"""{_BEHIND}, p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id),
 u AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id),
 d AS (SELECT source_id, count(DISTINCT document_id) AS n FROM links JOIN fetches USING (fetch_id) GROUP BY source_id),
-c AS (SELECT source_id, count(DISTINCT claim_id) AS n FROM evidence GROUP BY source_id),
+sc AS (SELECT DISTINCT b.source_id, e.claim_id FROM evidence e JOIN quotes q ON q.raw_id = e.raw_id JOIN behind b ON b.document_id = q.document_id),
+c AS (SELECT source_id, count(*) AS n FROM sc GROUP BY source_id),
+en AS (SELECT b.source_id, count(DISTINCT m.entity_id) AS n FROM mentions m JOIN quotes q ON q.raw_id = m.raw_id JOIN behind b ON b.document_id = q.document_id GROUP BY b.source_id),
 w AS (SELECT source_id, least(count(*), 10000) AS n FROM ({PENDING}) x GROUP BY source_id),
-cover AS (SELECT s.source_id, coalesce(p.n, 0) AS pages_fetched, greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_known, coalesce(d.n, 0) AS documents, coalesce(c.n, 0) AS claims, coalesce(w.n, 0) AS pending
-FROM sources s LEFT JOIN p ON s.source_id = p.source_id LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN d ON s.source_id = d.source_id LEFT JOIN c ON s.source_id = c.source_id LEFT JOIN w ON s.source_id = w.source_id)"""
+k AS (SELECT source_id, count(DISTINCT conflict_id) AS n FROM (SELECT conflict_id, claim_a AS claim_id FROM conflicts UNION ALL SELECT conflict_id, claim_b FROM conflicts) z JOIN sc USING (claim_id) GROUP BY source_id),
+cover AS (SELECT s.source_id, coalesce(p.n, 0) AS pages_fetched, greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_known, coalesce(d.n, 0) AS documents, coalesce(c.n, 0) AS claims, coalesce(en.n, 0) AS entities, coalesce(w.n, 0) AS pending, coalesce(k.n, 0) AS conflicts
+FROM sources s LEFT JOIN p ON s.source_id = p.source_id LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN d ON s.source_id = d.source_id LEFT JOIN c ON s.source_id = c.source_id LEFT JOIN en ON s.source_id = en.source_id LEFT JOIN w ON s.source_id = w.source_id LEFT JOIN k ON s.source_id = k.source_id)"""
+_COVER_TABLES = "sources fetches links document_rows fetch_runs evidence quotes mentions conflicts"
+_MEASURES = ("pages_fetched", "urls_known", "documents", "claims", "entities", "pending", "conflicts")
 
 
-def _covered(sources, fetches, links, evidence):
-    return coverage.coverage(sources, coverage.pages_fetched(fetches), coverage.urls_known(fetches), coverage.documents_per_source(fetches, links), coverage.claims_per_source(evidence), coverage.pending_counts(fetches, links))
+@query(_COVER_TABLES, f"WITH {_COVER} SELECT * FROM cover")
+def source_coverage(*tables):
+    return coverage.full_coverage(*tables)
 
 
-@query("sources fetches links evidence", f"WITH {_COVER} SELECT * FROM cover")
-def source_coverage(sources, fetches, links, evidence):
-    return _covered(sources, fetches, links, evidence)
-
-
-@query("sources fetches links evidence", f"WITH {_COVER} SELECT count(*) AS sources, CAST(sum(pages_fetched) AS BIGINT) AS pages_fetched_sum, CAST(sum(urls_known) AS BIGINT) AS urls_known_sum, CAST(sum(documents) AS BIGINT) AS documents_sum, CAST(sum(claims) AS BIGINT) AS claims_sum, CAST(sum(pending) AS BIGINT) AS pending_sum FROM cover WHERE source_id NOT IN ('src3', 'src11')")
-def global_stats(sources, fetches, links, evidence):
-    return coverage.totals(_covered(sources, fetches, links, evidence), sources)
+@query(_COVER_TABLES, f"WITH {_COVER} SELECT count(*) AS sources, {', '.join(f'CAST(sum({m}) AS BIGINT) AS {m}_sum' for m in _MEASURES)} FROM cover WHERE source_id NOT IN ('src3', 'src11')")
+def global_stats(sources, *tables):
+    return coverage.totals(coverage.full_coverage(sources, *tables), sources)
 
 
 @query("sources stored_counters fetches", f"WITH u AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id), p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id) SELECT s.source_id, k.pages - coalesce(p.n, 0) AS pages_drift, k.urls - greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_drift FROM sources s JOIN stored_counters k ON k.source_id = s.source_id LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN p ON s.source_id = p.source_id")
