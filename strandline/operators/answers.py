@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import checkpointed
+from . import provenance, retrieval
 
 
 def claims_for_question(claims: DataFrame, entities: DataFrame, evidence: DataFrame, raws: DataFrame, documents: DataFrame, terms: Column, k: int) -> DataFrame:
@@ -40,6 +42,31 @@ def citations(claim_cites: DataFrame, document_cites: DataFrame, cap: int) -> Da
     return once.orderBy("part", "place", "document_id").limit(cap)
 
 
+def materials(question: str, claims: DataFrame, entities: DataFrame, evidence: DataFrame, raws: DataFrame, documents: DataFrame, rows: DataFrame, links: DataFrame, fetches: DataFrame, fetch_runs: DataFrame, vectors: DataFrame, variants: DataFrame, k: int = 30, cap: int = 20) -> DataFrame:
+    """(part, place, id, url) of what an answer to one question rests on: `document`, its best documents by terms and vectors;
+    `claim`, the k newest claims in which a term occurs; `citation`, `cap` documents by URL, those behind the claims in the
+    claims' order first, then the best documents themselves.
+
+    rows: document_rows; vectors: doc_id as vec_id with embedding; variants: the vectors of the question's spellings. A
+    question without a term has neither claims nor lexical candidates. The ranks run over at most k rows each.
+    """
+    terms = scalars.query_terms(F.lit(question))
+    best = retrieval.hybrid(documents, vectors, variants, question)
+    doc_places = best.select("doc_id", F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("score"), "doc_id")).alias("place"))
+    found = claims_for_question(claims, entities, evidence, raws, documents.select(F.col("doc_id").alias("document_id"), "text"), terms, k)
+    places = checkpointed(found.select("claim_id", F.row_number().over(Window.orderBy(F.desc("first_seen_at"), "claim_id")).alias("place")))
+    own = F.broadcast(places)  # k rows
+    behind = provenance.claim_backing(evidence.join(own, "claim_id", "left_semi"), raws, rows, links, fetches, fetch_runs)
+    claim_cites = behind.join(own, "claim_id").select("place", "document_id", "url")
+    newest = retrieval.latest_fetch(links, fetches)
+    document_cites = newest.join(F.broadcast(doc_places), newest["document_id"] == doc_places["doc_id"]).select("place", "document_id", "url")
+    cited = citations(claim_cites, document_cites, cap).select(F.lit("citation").alias("part"), F.row_number().over(Window.orderBy("part", "place", "document_id")).alias("place"), F.col("document_id").cast("long").alias("id"), "url")
+    none = F.lit(None).cast("string").alias("url")
+    listed = doc_places.select(F.lit("document").alias("part"), "place", F.col("doc_id").cast("long").alias("id"), none)
+    said = places.select(F.lit("claim").alias("part"), "place", F.col("claim_id").cast("long").alias("id"), none)
+    return listed.unionByName(said).unionByName(cited)
+
+
 def year_variants(question: Column, school: str = "") -> Column:
     """The question and its spellings of every class year in it, in order, each once."""
     found = F.regexp_extract_all(question, F.lit(scalars.year_pattern(school)), F.lit(0))

@@ -1,12 +1,12 @@
-"""Queries of retrieval over whole tables: documents for every question asked in `conversations`."""
+"""Queries of retrieval: documents for every question asked in `conversations`, and all that an answer to one rests on."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import postings
-from .queries import query
+from ..operators import answers, postings
+from .queries import _COS, query
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in scalars.STOP_WORDS)
 #: Terms of the user's turns: (question_id, t).
@@ -18,3 +18,25 @@ def question_documents(turns, documents):
     """The eight best documents of every turn of a user: newest fifty by any term, then by terms held."""
     questions = turns.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
     return postings.ranked_documents(questions, documents)
+
+
+_ASK = "which WIDGET worked with thshed inoror"
+_HITS = "CAST(len(list_filter(['widget', 'thshed', 'inoror'], lambda t: contains(lower(text), t))) AS INT)"
+_HOLDS = "regexp_matches(lower(coalesce({}, '')), 'widget|thshed|inoror')"
+_MATERIALS = f"""lex AS (SELECT doc_id, {_HITS} AS hits FROM documents WHERE {_HITS} > 0 ORDER BY doc_id DESC LIMIT 50),
+vec AS (SELECT e.vec_id, max({_COS}) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id IN (7, 11)) q GROUP BY e.vec_id),
+best AS (SELECT doc_id, row_number() OVER (ORDER BY hits DESC, coalesce(score, 0.0) DESC, doc_id) AS place FROM lex LEFT JOIN vec ON vec_id = doc_id QUALIFY place <= 8),
+hit AS (SELECT DISTINCT c.claim_id, c.first_seen_at FROM claims c LEFT JOIN entities s ON s.entity_id = c.subject_id LEFT JOIN entities o ON o.entity_id = c.object_id LEFT JOIN evidence e ON e.claim_id = c.claim_id LEFT JOIN quotes q ON q.raw_id = e.raw_id LEFT JOIN documents d ON d.doc_id = q.document_id
+  WHERE {' OR '.join(_HOLDS.format(c) for c in ('s.name', 'o.name', 'object_value', 'q.quote', 'd.text'))}),
+said AS (SELECT claim_id, row_number() OVER (ORDER BY first_seen_at DESC, claim_id) AS place FROM hit QUALIFY place <= 30),
+x AS (SELECT e.claim_id, e.source_id, e.raw_id, q.document_id, f.url, row_number() OVER (PARTITION BY e.claim_id, e.source_id, e.raw_id, q.document_id ORDER BY f.fetched_at DESC, f.fetch_id DESC) AS n FROM evidence e JOIN quotes q ON q.raw_id = e.raw_id JOIN document_rows d ON d.document_id = q.document_id JOIN links l ON l.document_id = d.document_id JOIN fetches f ON f.fetch_id = l.fetch_id JOIN fetch_runs r ON r.run_id = f.run_id AND r.source_id = e.source_id),
+newest AS (SELECT l.document_id, f.url, row_number() OVER (PARTITION BY l.document_id ORDER BY f.fetched_at DESC, f.fetch_id DESC) AS n FROM links l JOIN fetches f ON f.fetch_id = l.fetch_id),
+cites AS (SELECT 0 AS part, s.place, x.document_id, x.url FROM x JOIN said s USING (claim_id) WHERE x.n = 1 UNION ALL SELECT 1, b.place, n.document_id, n.url FROM newest n JOIN best b ON b.doc_id = n.document_id WHERE n.n = 1),
+once AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY part, place, document_id) AS r FROM cites),
+cited AS (SELECT document_id, url, row_number() OVER (ORDER BY part, place, document_id) AS place FROM once WHERE r = 1 QUALIFY place <= 20)"""
+
+
+@query("claims entities evidence quotes documents document_rows links fetches fetch_runs embeddings", f"WITH {_MATERIALS} SELECT 'document' AS part, CAST(place AS INT) AS place, CAST(doc_id AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS url FROM best UNION ALL SELECT 'claim', CAST(place AS INT), CAST(claim_id AS BIGINT), NULL FROM said UNION ALL SELECT 'citation', CAST(place AS INT), CAST(document_id AS BIGINT), url FROM cited")
+def ask_materials(rows, entities, evidence, raws, documents, document_rows, links, fetches, fetch_runs, vectors):
+    """From one question to its documents, claims and citations."""
+    return answers.materials(_ASK, rows, entities, evidence, raws, documents, document_rows, links, fetches, fetch_runs, vectors, vectors.filter("vec_id in (7, 11)"))
