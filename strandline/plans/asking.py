@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import answers, postings
+from ..operators import answers, neighbours, postings
 from .queries import _COS, query
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in scalars.STOP_WORDS)
@@ -40,3 +40,18 @@ cited AS (SELECT document_id, url, row_number() OVER (ORDER BY part, place, docu
 def ask_materials(rows, entities, evidence, raws, documents, document_rows, links, fetches, fetch_runs, vectors):
     """From one question to its documents, claims and citations."""
     return answers.materials(_ASK, rows, entities, evidence, raws, documents, document_rows, links, fetches, fetch_runs, vectors, vectors.filter("vec_id in (7, 11)"))
+
+
+_TOP = f"SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON true"
+
+
+@query("embeddings", f"WITH s AS ({_TOP}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, CAST(place AS INT) AS place, vec_id, score FROM r WHERE place <= 8")
+def nearest_of_many(vectors):
+    """The eight nearest vectors of every twentieth one, against all."""
+    return neighbours.nearest_to_many(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("embeddings")
+def nearest_by_index(vectors):
+    """As nearest_of_many, over the inverted-file index; its recall is measured in the tests."""
+    return neighbours.nearest_to_many(vectors, vectors.filter("vec_id % 20 = 0"), index=neighbours.fit(vectors))
