@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_url
 from ..session import checkpointed
+from .scans import Counted, scan
 
 #: File endings that are no pages, and those that are documents all the same.
 SKIPPED = (
@@ -21,26 +23,31 @@ SKIPPED = (
 )
 DOCUMENTS = ("pdf", "doc", "docx", "csv", "txt", "json", "xml", "rss", "atom")
 _JSON_KEYS = ("url", "@id", "mainEntityOfPage", "sameAs")
+_RELATED = re.compile("canonical|alternate|next|prev|sitemap", re.IGNORECASE)
+_REFRESH = re.compile(r"url\s*=\s*([^\s;'\"]+)", re.IGNORECASE)
 
 
 class _Links(HTMLParser):
-    def __init__(self, base: str):
+    """Links as they are written, and the page's first base, which holds for all of them."""
+
+    def __init__(self):
         super().__init__()
-        self.base, self.found, self.script = base, [], None
+        self.base, self.found, self.script = None, [], None
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "base" and a.get("href"):
-            self.base = urljoin(self.base, a["href"])
+        a = {k: v or "" for k, v in attrs}
+        if tag == "base":
+            self.base = self.base if self.base is not None else a.get("href")
         elif tag in ("a", "area"):
             self.add(a.get("href"))
         elif tag in ("iframe", "frame"):
             self.add(a.get("src"))
-        elif tag == "link" and {"canonical", "next", "prev", "alternate"} & set((a.get("rel") or "").lower().split()):
+        elif tag == "link" and _RELATED.search(a.get("rel", "")):
             self.add(a.get("href"))
-        elif tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh":
-            self.add((a.get("content") or "").partition("=")[2].strip(" '\""))
-        self.script = "" if tag == "script" and a.get("type") == "application/ld+json" else None
+        elif tag == "meta" and a.get("http-equiv", "").lower() == "refresh":
+            self.add((_REFRESH.search(a.get("content", "")) or [None, None])[1])
+        elif tag == "script":
+            self.script = "" if a.get("type", "").lower() == "application/ld+json" else None
 
     def handle_data(self, data):
         if self.script is not None:
@@ -50,40 +57,46 @@ class _Links(HTMLParser):
         if tag == "script" and self.script is not None:
             try:
                 self.harvest(json.loads(self.script))
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
-        self.script = None
-
-    def harvest(self, node):
-        """URLs below an object of linked data, however deep."""
-        if isinstance(node, list):
-            for x in node:
-                self.harvest(x)
-        elif isinstance(node, dict):
-            for k, v in node.items():
-                if k in _JSON_KEYS:
-                    for x in v if isinstance(v, list) else [v]:
+            self.script = None
+
+    def harvest(self, root):
+        """URLs below linked data, however deep, without recursion of our own."""
+        todo = [root]
+        while todo:
+            node = todo.pop(0)
+            if isinstance(node, dict):
+                for key in _JSON_KEYS:
+                    said = node.get(key)
+                    for x in said if isinstance(said, list) else [said]:
                         if isinstance(x, str):
                             self.add(x)
-                self.harvest(v)
+                todo.extend(node.values())
+            elif isinstance(node, list):
+                todo.extend(node)
 
     def add(self, href):
-        if href and not href.startswith(("#", "javascript:", "mailto:", "tel:")):
-            try:
-                self.found.append(urljoin(self.base, href.strip()))
-            except ValueError:
-                pass
+        href = (href or "").strip()
+        if href and not href.lower().startswith(("#", "javascript:", "mailto:", "tel:")):
+            self.found.append(href)
 
 
-def links_of(html: str | None, base: str) -> list[str]:
-    """URLs a page leads to, in first-seen order."""
-    parser = _Links(base)
+def links_of(html: str | None, url: str) -> list[str]:
+    """URLs a page leads to, each once; a malformed page gives what was found before."""
+    parser = _Links()
     try:
         parser.feed(html or "")
         parser.close()
     except AssertionError:  # the parser gives up on some malformed declarations; what it found stands
         pass
-    return list(dict.fromkeys(u for u in parser.found if u.startswith(("http://", "https://"))))
+    out = []
+    for href in parser.found:
+        try:
+            out.append(urljoin(urljoin(url, parser.base) if parser.base else url, href))
+        except ValueError:
+            pass
+    return list(dict.fromkeys(u for u in out if u.startswith(("http://", "https://"))))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -103,18 +116,46 @@ def is_page(url) -> object:
     return ending.isin(*DOCUMENTS) | ~ending.isin(*SKIPPED)
 
 
-def frontier(pages: DataFrame, depth: int, cap: int) -> DataFrame:
-    """(url, level): pages reached from those of least id a host, breadth first, one job a level, `cap` new ones a level."""
-    host = F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1))
-    known = pages.select(canonical_url(F.col("url")).alias("url"), "page_id", host.alias("host"))
-    edges = checkpointed(links(pages).select("page_id", canonical_url(F.col("link")).alias("link")).filter(is_page(F.col("link"))).distinct())
-    first = known.groupBy("host").agg(F.min(F.struct("page_id", "url")).alias("f")).select("f.url")
-    seen = checkpointed(first.select("url", F.lit(0).alias("level")))
-    for level in range(1, depth + 1):
-        here = seen.filter(F.col("level") == level - 1).join(known.select("url", "page_id"), "url")
-        fresh = here.join(edges, "page_id").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti").orderBy("url").limit(cap)
-        seen = checkpointed(seen.union(fresh.withColumn("level", F.lit(level))))
-    return seen
+def root_host(url: Column) -> Column:
+    """Lower host of a URL without one leading www., null if it has none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", ""), F.lit(""))
+
+
+def frontier(pages: DataFrame, depth: int, cap: int, seeds: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """(source, url, level, place): the pages that a crawl of each source fetches, breadth first, `cap` of a source in all.
+
+    pages: page_id, url, html and maybe final_url, where a redirect led. seeds: source, a root host, and url; without them each
+    host is a source and starts from its page of least page_id. A source's crawl stays on its host and that one's subdomains,
+    fetches a URL once under its own and its final name, and passes over file endings that are no text. A URL that is no
+    page is a failed fetch and takes no slot. place is the order of discovery: by level, then the place of the page that leads
+    there, then the link's place in it. Slots of a level are reserved by a count of this order over all ranges of rows at once,
+    so the cap is exact and no task holds a source. An empty table gives no rows.
+    """
+    final = F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+    known = pages.filter("url is not null").select(canonical_url(F.col("url")).alias("url"), canonical_url(final).alias("final_url"), "page_id").groupBy("url").agg(F.min(F.struct("page_id", "final_url")).alias("p")).select("url", "p.page_id", "p.final_url")
+    known = checkpointed(known.withColumn("host", root_host(F.col("url"))))
+    edges = checkpointed(links(pages).select("page_id", "place", canonical_url(F.col("link")).alias("link")).filter(is_page(F.col("link"))).groupBy("page_id", "link").agg(F.min("place").alias("place")))
+    if seeds is None:
+        seeds = known.filter("host is not null").groupBy(F.col("host").alias("source")).agg(F.min(F.struct("page_id", "url")).alias("p")).select("source", "p.url")
+    fresh = seeds.select("source", canonical_url(F.col("url")).alias("url"), F.lit(0).alias("parent"), F.lit(0).alias("link_place")).dropDuplicates(["source", "url"])
+    fetched = seen = None
+    for level in range(depth + 1):
+        met = fresh.join(known.select("url", "page_id", "final_url"), "url", "left").withColumn("is_page", F.col("page_id").isNotNull())
+        placed = scan(met, ["source"], ["parent", "link_place", "url"], [Counted("is_page", "nth")], parts)
+        if fetched is not None:
+            taken = fetched.groupBy("source").agg(F.count("*").alias("taken"))
+            placed = placed.join(taken, "source", "left")
+        placed = checkpointed(placed.withColumn("place", F.col("nth") + (F.coalesce("taken", F.lit(0)) if fetched is not None else F.lit(0))))
+        here = placed.filter(F.col("is_page") & (F.col("place") <= cap)).select("source", "url", F.lit(level).alias("level"), "place", "page_id")
+        names = placed.select("source", "url").unionByName(placed.filter("is_page").select("source", F.col("final_url").alias("url")))
+        seen = checkpointed((names if seen is None else seen.unionByName(names)).distinct())
+        fetched = here if fetched is None else fetched.unionByName(here)
+        if level == depth or here.isEmpty():
+            break
+        led = here.select("source", "page_id", F.col("place").alias("parent")).join(edges.withColumnRenamed("place", "link_place"), "page_id")
+        inside = (root_host(F.col("link")) == F.col("source")) | F.endswith(root_host(F.col("link")), F.concat(F.lit("."), "source"))
+        fresh = led.filter(inside).groupBy("source", F.col("link").alias("url")).agg(F.min(F.struct("parent", "link_place")).alias("f")).select("source", "url", "f.parent", "f.link_place").join(seen, ["source", "url"], "left_anti")
+    return fetched.select("source", "url", "level", "place")
 
 
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:

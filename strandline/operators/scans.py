@@ -95,6 +95,28 @@ class RunningMax(Fold):
         return np.array([None if v == -np.inf else v for v in known], object)
 
 
+@dataclass(frozen=True)
+class Counted(Fold):
+    """How many rows of the key so far have a true column, this one included."""
+
+    column: str
+    output: str
+    type: str = "bigint"
+
+    def total(self, values):
+        return int(sum(map(bool, values)))
+
+    def join(self, first, then):
+        return then if first is None else first if then is None else first + then
+
+    def prefix(self, values, begins, entered):
+        flags = np.array([bool(v) for v in values], np.int64)
+        counted = np.cumsum(flags)
+        starts = np.flatnonzero(begins)
+        before = np.concatenate([[-(entered or 0)], (counted - flags)[starts]])  # what the key's count starts from
+        return counted - before[np.searchsorted(starts, np.arange(len(flags)), "right")]
+
+
 @dataclass(frozen=True)
 class Machine(Fold):
     """The state of a finite machine after each row. moves: (state, event) to state; any other event leaves the state as it is.
