@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import claims, coverage, crawl, curation, extraction, graph, integrity, retrieval, runs
+from ..operators import claims, counters, coverage, crawl, curation, extraction, graph, integrity, retrieval, runs
+from ..session import checkpointed
 from ..streaming import streams
 from .bridge import NOW, logical, with_tables
 
@@ -113,6 +114,18 @@ def global_stats(sources, *tables):
     return coverage.totals(coverage.full_coverage(sources, *tables), sources)
 
 
+@query("fetches", f"WITH u AS (SELECT source_id, count(DISTINCT url) AS urls_known, count(DISTINCT CASE WHEN {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) THEN url END) AS pages_fetched FROM fetches WHERE source_id IS NOT NULL GROUP BY source_id) SELECT source_id, pages_fetched, urls_known FROM u WHERE urls_known > 0")
+def incremental_counters(fetches):
+    """Counters after three days' fetches, each of which updates what the days before have stored; the second comes twice."""
+    spark = fetches.sparkSession
+    day = F.col("fetched_at")
+    days = [fetches.filter(day < 1704800000), fetches.filter(day.between(1704800000, 1705900000)), fetches.filter(day > 1705900000)]
+    numbers, sets = spark.createDataFrame([], counters.NUMBERS), spark.createDataFrame([], counters.COUNTERS)
+    for k in (0, 1, 1, 2):
+        numbers, sets = (checkpointed(t) for t in counters.updated(days[k], numbers, sets))
+    return counters.counted(sets)
+
+
 @query("sources stored_counters fetches", f"WITH u AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id), p AS (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id) SELECT s.source_id, k.pages - coalesce(p.n, 0) AS pages_drift, k.urls - greatest(coalesce(u.n, 0), coalesce(p.n, 0)) AS urls_drift FROM sources s JOIN stored_counters k ON k.source_id = s.source_id LEFT JOIN u ON s.source_id = u.source_id LEFT JOIN p ON s.source_id = p.source_id")
 def counter_drift(sources, stored, fetches):
     return coverage.counter_drift(stored, coverage.coverage(sources, coverage.pages_fetched(fetches), coverage.urls_known(fetches)))
