@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import answers, neighbours, postings
+from ..operators import answers, content, neighbours, postings, tokens
 from .queries import _COS, query
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in scalars.STOP_WORDS)
@@ -55,3 +55,19 @@ def nearest_of_many(vectors):
 def nearest_by_index(vectors):
     """As nearest_of_many, over the inverted-file index; its recall is measured in the tests."""
     return neighbours.nearest_to_many(vectors, vectors.filter("vec_id % 20 = 0"), index=neighbours.fit(vectors))
+
+
+# Texts
+
+
+@query("pages")
+def main_content(pages):
+    """Title and main content of every page."""
+    return content.extracted(pages)
+
+
+@query("documents")
+def document_tokens(documents):
+    """Tokens of every document, and what reading it would cost at two prices a million tokens."""
+    rows = tokens.counted(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.select("doc_id", "n_tokens", tokens.cost(F.col("n_tokens"), F.lit(0), 0.75, 4.5).alias("cost"))
