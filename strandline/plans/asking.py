@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import answers, content, neighbours, postings, tokens
+from ..sources import fetching
 from .queries import _COS, query
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in scalars.STOP_WORDS)
@@ -71,3 +72,25 @@ def document_tokens(documents):
     """Tokens of every document, and what reading it would cost at two prices a million tokens."""
     rows = tokens.counted(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.select("doc_id", "n_tokens", tokens.cost(F.col("n_tokens"), F.lit(0), 0.75, 4.5).alias("cost"))
+
+
+# Fetching
+
+_STATUS = "CASE WHEN {0} % 17 = 0 THEN NULL WHEN {0} % 7 IN (3, 4) THEN 301 WHEN {0} % 5 = 1 AND {1} <= {0} % 4 THEN 503 WHEN {0} % 11 = 0 THEN 404 WHEN {0} % 13 = 0 THEN 403 ELSE 200 END"
+
+
+@query("pages", f"""WITH r AS (SELECT page_id AS orig, page_id AS cur, 1 AS attempt, 1 AS hops, 0.0::DOUBLE AS waited, {_STATUS.format('page_id', 1)} AS status FROM pages UNION ALL
+  SELECT orig, nxt, att, hop, wait, {_STATUS.format('nxt', 'att')} FROM (SELECT orig, CASE WHEN coalesce(status, 500) >= 500 THEN orig ELSE cur - 1 END AS nxt, CASE WHEN coalesce(status, 500) >= 500 THEN attempt + 1 ELSE attempt END AS att,
+    CASE WHEN coalesce(status, 500) >= 500 THEN 1 ELSE hops + 1 END AS hop, waited + CASE WHEN coalesce(status, 500) >= 500 THEN 2.0 ** (attempt - 1) ELSE 0 END AS wait FROM r WHERE status = 301 OR (coalesce(status, 500) >= 500 AND attempt < 3)) x),
+e AS (SELECT * FROM r WHERE NOT (coalesce(status, 0) = 301 OR (coalesce(status, 500) >= 500 AND attempt < 3)))
+SELECT a.url, b.url AS final_url, CAST(e.hops - 1 AS INT) AS redirects, CAST(e.attempt AS INT) AS attempts, e.waited, CAST(e.status AS INT) AS status, CASE WHEN status IS NULL THEN 'transport_error' WHEN status >= 500 THEN 'server_error' WHEN status = 403 THEN 'refused' ELSE 'ok' END AS outcome
+FROM e JOIN pages a ON a.page_id = e.orig JOIN pages b ON b.page_id = e.cur""")
+def recorded_fetch(pages):
+    """Every page fetched from recorded answers: some move, fail once or for good, or are refused."""
+    k, n = F.col("page_id"), F.col("attempt")
+    status = F.when(k % 17 == 0, F.lit(None).cast("int")).when((k % 7).isin(3, 4), 301).when((k % 5 == 1) & (n <= k % 4), 503).when(k % 11 == 0, 404).when(k % 13 == 0, 403).otherwise(200)
+    before = pages.select((k + 1).alias("page_id"), F.col("url").alias("location"))
+    asked = pages.select("page_id", "url", "html").join(before, "page_id", "left").withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    answers_ = asked.select("url", "attempt", status.alias("status"), F.when((k % 7).isin(3, 4), F.col("location")).alias("location"), F.lit("text/html").alias("content_type"), F.encode("html", "utf-8").alias("body"), F.when(k % 17 == 0, "ConnectError").alias("error"))
+    got = fetching.retrieved(pages.select("url"), fetching.recorded(answers_))
+    return got.select("url", "final_url", (F.size("chain") - 1).alias("redirects"), "attempts", "waited", "status", "outcome")
