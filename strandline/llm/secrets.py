@@ -4,7 +4,8 @@ Base rules find assignments, access keys and long hex runs. The method adds toke
 first-order Markov chains over character classes, one of random strings and one of ordinary identifiers, score each
 candidate by its mean log-likelihood ratio. Both chains are trained on labelled samples: random strings made from
 digests by rule, and identifiers composed from words of the corpus, taken from SAMPLE_DOCS documents (those of least
-hash, a bounded sample). The threshold is calibrated on identifiers that were held out of the training.
+hash, a bounded sample). The threshold is calibrated on identifiers and random strings that were held out of the
+training: halfway between the two, where they leave room.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .textkit import least_hash_sample
 
 #: The documents whose words the identifier model is trained on, and the random strings made for the other model.
 SAMPLE_DOCS, SAMPLE_STRINGS = 100, 2000
-#: Share of held-out identifiers that may score above the threshold, and the least threshold in nats a character.
-FALSE_RATE, LEAST_RATIO = 1e-4, 0.25
+#: Shares of held-out identifiers above the threshold and of held-out random strings below it, and the least threshold in nats a character.
+FALSE_RATE, MISSED_RATE, LEAST_RATIO = 1e-4, 0.005, 0.25
 #: Weight of the single-character distribution in each row of a chain, in observations.
 PRIOR = 20.0
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
@@ -63,11 +64,14 @@ def _samples(docs: DataFrame) -> DataFrame:
     random = made.select(F.explode(F.array(*kinds)).alias("token")).select(F.lit(1).alias("label"), "token")
     text = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     some = least_hash_sample(text, "text", SAMPLE_DOCS)
-    words = some.select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w")).filter("size(w) > 3")
-    pairs = words.select(F.posexplode(F.transform("w", lambda a, i: F.struct(a.alias("a"), F.get("w", (i * 7 + 3) % F.size("w")).alias("b")))).alias("i", "p"))
-    each = pairs.select("i", "p.a", "p.b")
-    b = F.col("b")
-    forms = [F.col("a"), F.concat_ws("_", "a", b), F.concat("a", F.initcap(b)), F.concat_ws("-", F.lower("a"), F.lower(b), F.col("i").cast("string")), F.concat_ws("/", F.lower("a"), b, F.concat(F.lit("v"), F.col("i") % 10)), F.concat(F.upper("a"), F.lit("_"), F.upper(b), F.lit("_"), F.col("i") % 100)]
+    plainly = F.regexp_replace("text", TOKEN, " ")  # what may be a secret itself teaches no identifiers
+    words = some.select(F.regexp_extract_all(plainly, F.lit(r"[A-Za-z]{3,}"), F.lit(0)).alias("w")).filter("size(w) > 3")
+    other = lambda i, step, start: F.get("w", (i * step + start) % F.size("w"))
+    groups = words.select(F.posexplode(F.transform("w", lambda a, i: F.struct(a.alias("a"), other(i, 7, 3).alias("b"), other(i, 5, 1).alias("c"), other(i, 11, 2).alias("d")))).alias("i", "p"))
+    each = groups.select("i", "p.a", "p.b", "p.c", "p.d")
+    b, digit = F.col("b"), (F.col("i") % 10).cast("string")
+    camel = F.concat(F.lower("a"), *[F.initcap(x) for x in ("b", "c", "d")])
+    forms = [F.col("a"), F.concat_ws("_", "a", b), F.concat("a", F.initcap(b)), F.concat_ws("-", F.lower("a"), F.lower(b), F.col("i").cast("string")), F.concat_ws("/", F.lower("a"), b, F.concat(F.lit("v"), F.col("i") % 10)), F.concat(F.upper("a"), F.lit("_"), F.upper(b), F.lit("_"), F.col("i") % 100), F.concat(camel, digit), F.concat(F.initcap(camel), camel), F.concat_ws("_", F.lower("a"), F.lower(b), F.lower("c"), F.lower("d"), digit)]
     plain = each.select(F.explode(F.array(*forms)).alias("token")).select(F.lit(0).alias("label"), "token").distinct()
     return random.union(plain).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(10)))
 
@@ -86,9 +90,10 @@ def train(docs: DataFrame) -> tuple[list[float], float]:
             table = [math.log((n + PRIOR * p) / (sum(row) + PRIOR)) for row in rows for n, p in zip(row, alone, strict=True)]
             logs.append(table)
         ratios = [x - y for x, y in zip(*logs, strict=True)]
-        held = samples.filter("label = 0 and part >= 7 and length(token) >= 20").select(ratio(F.col("token"), ratios).alias("x"))
-        top = held.agg(F.percentile("x", F.lit(1 - FALSE_RATE))).first()[0]
-        return ratios, max(LEAST_RATIO, top if top is not None else LEAST_RATIO)
+        held = samples.filter("part >= 7 and length(token) >= 20").select("label", ratio(F.col("token"), ratios).alias("x"))
+        top, low = held.agg(F.percentile(F.when(F.col("label") == 0, F.col("x")), F.lit(1 - FALSE_RATE)), F.percentile(F.when(F.col("label") == 1, F.col("x")), F.lit(MISSED_RATE))).first()
+        top = LEAST_RATIO if top is None else max(LEAST_RATIO, top)
+        return ratios, (top + low) / 2 if low is not None and low > top else top  # as far from either as there is room
     finally:
         samples.unpersist()
 
