@@ -434,6 +434,40 @@ def run_stats_json(rows):
 # Curation
 
 
+@query("pages runs", r"WITH n AS (SELECT page_id, CASE WHEN contains(lower(url), 'sitemap') THEN url ELSE regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':.*$', ''), '^www\.', '') END AS identifier FROM pages), r AS (SELECT CAST(substr(source_id, 4) AS BIGINT) AS page_id, count(*) AS runs FROM runs GROUP BY 1), c AS (SELECT n.page_id, n.identifier, coalesce(r.runs, 0) AS runs FROM n LEFT JOIN r ON r.page_id = n.page_id) SELECT page_id AS source_id, first_value(page_id) OVER (PARTITION BY identifier ORDER BY runs DESC, page_id) AS survivor_id, identifier, runs FROM c")
+def merged_page_sources(pages, rows):
+    """Each page's URL as a source of its own, merged by host."""
+    sources = pages.select(F.col("page_id").alias("source_id"), F.lit("domain").alias("kind"), F.col("url").alias("identifier"), F.col("page_id").alias("created_at"))
+    return curation.sources_merged(sources, rows.select(F.substring("source_id", 4, 9).cast("long").alias("source_id")))
+
+
+_CHAINED = "m AS (SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS entity_id, concat('s', CAST(s_suppkey - s_suppkey % 4 AS VARCHAR(20))) AS target_id FROM supplier WHERE s_suppkey % 4 > 0 AND s_suppkey - s_suppkey % 4 > 0)"
+
+
+@query("supplier entities aliases claims mentions evidence", f"WITH {_CHAINED}, a AS (SELECT coalesce(m.target_id, subject_id) AS s, coalesce(o.target_id, object_id) AS o, predicate FROM claims LEFT JOIN m ON m.entity_id = subject_id LEFT JOIN m o ON o.entity_id = object_id) SELECT 'entity' AS part, e.entity_id AS id, CASE WHEN m.target_id IS NOT NULL THEN concat('merged into ', m.target_id) WHEN e.entity_id IN (SELECT target_id FROM m) THEN 'verified' ELSE 'active' END AS state, CAST(1 AS BIGINT) AS rows FROM entities e LEFT JOIN m ON m.entity_id = e.entity_id UNION ALL SELECT 'claims of', s, predicate, count(*) FROM a GROUP BY s, predicate UNION ALL SELECT 'mentions of', coalesce(m.target_id, x.entity_id), place, count(*) FROM mentions x LEFT JOIN m ON m.entity_id = x.entity_id GROUP BY 2, 3")
+def merged_identities(supplier, entities, aliases, rows, mentions, evidence):
+    """Suppliers merged in chains of up to three, each into the one before: entities, claims and mentions afterwards."""
+    k = F.col("s_suppkey")
+    step = supplier.filter((k % 4 > 0) & (k - k % 4 > 0)).select(F.concat(F.lit("s"), k.cast("string")).alias("entity_id"), F.concat(F.lit("s"), (k - 1).cast("string")).alias("target_id"))
+    after = curation.entities_merged(entities, aliases, rows, mentions, graph.neighborhood(rows, evidence), step)
+    state = F.when(F.col("merged_into").isNotNull(), F.concat(F.lit("merged into "), "merged_into")).when(F.col("verified"), "verified").otherwise("active")
+    listed = after["entities"].select(F.lit("entity").alias("part"), F.col("entity_id").alias("id"), state.alias("state"), F.lit(1).cast("long").alias("rows"))
+    held = after["claims"].groupBy(F.col("subject_id").alias("id"), F.col("predicate").alias("state")).agg(F.count("*").alias("rows")).select(F.lit("claims of").alias("part"), "id", "state", "rows")
+    said = after["mentions"].groupBy(F.col("entity_id").alias("id"), F.col("place").alias("state")).agg(F.count("*").alias("rows")).select(F.lit("mentions of").alias("part"), "id", "state", "rows")
+    return listed.unionByName(held).unionByName(said)
+
+
+_GONE = "own AS (SELECT fetch_id FROM fetches WHERE source_id = 'src4'), lft AS (SELECT * FROM links WHERE fetch_id NOT IN (SELECT fetch_id FROM own)), cutl AS (SELECT DISTINCT document_id FROM links WHERE fetch_id IN (SELECT fetch_id FROM own)), gone AS (SELECT document_id FROM cutl WHERE document_id NOT IN (SELECT document_id FROM lft)), ev AS (SELECT * FROM evidence WHERE source_id IS DISTINCT FROM 'src4' AND raw_id NOT IN (SELECT raw_id FROM quotes WHERE document_id IN (SELECT document_id FROM gone))), cl AS (SELECT * FROM claims WHERE claim_id IN (SELECT claim_id FROM ev))"
+
+
+@query("fetches links document_rows quotes claims evidence conflicts entities aliases", f"WITH {_GONE} SELECT 'document' AS part, CAST(d.document_id AS VARCHAR) AS id, CASE WHEN c.document_id IS NOT NULL THEN (SELECT min(fetch_id) FROM lft WHERE lft.document_id = d.document_id) ELSE d.document_id END AS first_fetch_id FROM document_rows d LEFT JOIN cutl c ON c.document_id = d.document_id WHERE d.document_id NOT IN (SELECT document_id FROM gone) UNION ALL SELECT 'claim', CAST(claim_id AS VARCHAR), NULL FROM cl UNION ALL SELECT 'conflict', CAST(conflict_id AS VARCHAR), NULL FROM conflicts WHERE claim_a IN (SELECT claim_id FROM cl) AND claim_b IN (SELECT claim_id FROM cl) UNION ALL SELECT 'entity', entity_id, NULL FROM entities WHERE entity_id IN (SELECT subject_id FROM cl UNION SELECT object_id FROM cl WHERE object_id IS NOT NULL UNION SELECT entity_id FROM aliases)")
+def tables_without_source(fetches, links, documents, raws, rows, evidence, conflicts, entities, aliases):
+    """What is left of documents, claims, conflicts and entities once a source has been deleted."""
+    after = curation.source_deleted("src4", fetches, links, documents.select("document_id", F.col("document_id").alias("first_fetch_id")), raws, rows, evidence, conflicts, entities, aliases)
+    part = lambda name, table, key, extra=None: after[table].select(F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), (F.col(extra) if extra else F.lit(None)).cast("long").alias("first_fetch_id"))
+    return part("document", "documents", "document_id", "first_fetch_id").unionByName(part("claim", "claims", "claim_id")).unionByName(part("conflict", "conflicts", "conflict_id")).unionByName(part("entity", "entities", "entity_id"))
+
+
 @query("evidence claims conflicts", "WITH lost AS (SELECT claim_id FROM evidence GROUP BY claim_id HAVING bool_and(document_id % 10 = 0)) SELECT 'claims' AS part, count(*) AS rows FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM lost) UNION ALL SELECT 'conflicts', count(*) FROM conflicts WHERE claim_a NOT IN (SELECT claim_id FROM lost) AND claim_b NOT IN (SELECT claim_id FROM lost) UNION ALL SELECT 'evidence', count(*) FROM evidence WHERE document_id % 10 <> 0 UNION ALL SELECT 'lost_claims', count(*) FROM lost")
 def delete_document_effect(evidence, rows, conflicts):
     after = curation.delete_document(evidence.filter("document_id % 10 = 0").select("document_id").distinct(), rows, evidence, conflicts)
