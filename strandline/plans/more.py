@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import claims, coverage, curation, graph, runs
+from ..operators import claims, coverage, curation, graph, review, runs
 from ..sources import tables
 from .bridge import BASE, NOW
 from .queries import OK_2XX, ORACLES, PENDING, QUERIES, query
@@ -127,6 +127,19 @@ def top_claims_of_entity(rows, evidence, entities):
     return out.orderBy("claim_id", F.asc_nulls_last("source_id"), F.asc_nulls_last("evidence_raw"), F.asc_nulls_last("object_name")).limit(5).select("claim_id", "object_name", "source_id")
 
 
+@query("claims entities evidence quotes document_rows sources", "WITH e2 AS (SELECT claim_id, first_seen_at, object_id, subject_id AS entity_id FROM claims UNION ALL SELECT claim_id, first_seen_at, object_id, object_id FROM claims WHERE object_id IS NOT NULL AND object_id <> subject_id), x AS (SELECT e2.entity_id, e2.claim_id, o.name AS object_name, e.raw_id, d.document_id, s.identifier AS source_name, row_number() OVER (PARTITION BY e2.entity_id ORDER BY e2.first_seen_at DESC, e2.claim_id, e.raw_id NULLS LAST, e.source_id NULLS LAST) AS place FROM e2 LEFT JOIN entities o ON o.entity_id = e2.object_id LEFT JOIN evidence e ON e.claim_id = e2.claim_id LEFT JOIN quotes q ON q.raw_id = e.raw_id LEFT JOIN document_rows d ON d.document_id = q.document_id LEFT JOIN sources s ON s.source_id = e.source_id) SELECT entity_id, CAST(place AS INT) AS place, claim_id, object_name, raw_id, document_id, source_name FROM x WHERE place <= 5")
+def top_claims(rows, entities, evidence, raws, documents, sources):
+    """The five first rows of every entity's claims through the whole chain."""
+    return review.top_claims(rows, entities, evidence, raws, documents, sources)
+
+
+@query("claims evidence entities", "SELECT c.entity_id, c.neighbor_id, n.name AS neighbor_name, n.kind AS neighbor_kind, count(DISTINCT e.raw_id) AS evidence_count FROM (SELECT claim_id, subject_id AS entity_id, object_id AS neighbor_id FROM claims WHERE object_id IS NOT NULL UNION ALL SELECT claim_id, object_id, subject_id FROM claims WHERE object_id IS NOT NULL) c JOIN entities n ON n.entity_id = c.neighbor_id LEFT JOIN evidence e ON e.claim_id = c.claim_id GROUP BY c.entity_id, c.neighbor_id, n.name, n.kind")
+def named_neighborhood(rows, evidence, entities):
+    """Every entity's neighbours by name and kind."""
+    named = entities.select(F.col("entity_id").alias("neighbor_id"), F.col("name").alias("neighbor_name"), F.col("kind").alias("neighbor_kind"))
+    return graph.neighborhood(rows, evidence).join(named, "neighbor_id").select("entity_id", "neighbor_id", "neighbor_name", "neighbor_kind", "evidence_count")
+
+
 @query("claims evidence raws", "SELECT e.source_id, count(*) AS rows, count(DISTINCT e.claim_id) AS claims FROM evidence e JOIN raws r ON r.raw_id = e.raw_id AND r.source_id = e.source_id WHERE e.claim_id IN (SELECT claim_id FROM claims) GROUP BY e.source_id")
 def provenance_same_source(rows, evidence, raws):
     """Evidence whose raw claim comes from the very source it is filed under: both equalities in one join."""
