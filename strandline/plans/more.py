@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import claims, coverage, curation, graph, review, runs
+from ..operators import claims, coverage, curation, graph, names, review, runs
 from ..sources import tables
 from .bridge import BASE, NOW
 from .queries import OK_2XX, ORACLES, PENDING, QUERIES, query
@@ -208,3 +208,34 @@ def runs_of_source(rows):
     return rows.filter("kind <> 'parse' and status = 'complete'").withColumn("n", F.row_number().over(w)).filter("n <= 50").select("run_id", "source_id")
 
 
+
+
+# Names of the given tables
+
+_QUOTED = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+_WORDS = "list_filter(string_split_regex(trim({0}), '\\s+'), lambda w: w <> '')"
+_PLAIN = f"(trim({{0}}) <> '' AND length(trim({{0}})) <= 80 AND NOT regexp_matches(trim({{0}}), '[\\n\\t]|\\.\\s+[A-Z]|[,;:!?]$') AND len(list_filter({_WORDS}, lambda w: lower(w) IN ({_QUOTED(names.PRONOUNS)}))) = 0)"
+_PERSON = f"(len({_WORDS}) BETWEEN 2 AND 5 AND len(list_filter({_WORDS}, lambda w: NOT (regexp_matches(w, '^\\p{{{{Lu}}}}') AND lower(w) NOT IN ({_QUOTED(names.NEWS)}) AND length(regexp_replace(w, '[^\\p{{{{L}}}}]', '', 'g')) >= greatest(2, length(w) - 1)))) = 0 AND len(list_filter([{_QUOTED(names.COMPANIES)}], lambda c: ends_with(trim({{0}}), c))) = 0)"
+_OTHER = f"(len(list_filter({_WORDS}, lambda w: NOT regexp_matches(w, '^[\\p{{{{L}}}}\\p{{{{N}}}}]'))) = 0)"
+VALID = "({plain} AND CASE WHEN {{1}} = 'person' THEN {person} WHEN {{1}} IN ('org', 'place', 'project', 'event') THEN {other} ELSE true END)".format(plain=_PLAIN, person=_PERSON, other=_OTHER).replace("{{1}}", "{1}")
+
+
+@query("entities aliases customer nation", f"WITH n AS (SELECT entity_id AS id, kind, name FROM entities UNION ALL SELECT entity_id, 'org', alias FROM aliases UNION ALL SELECT concat('n', CAST(c_custkey AS VARCHAR)), 'person', concat('Meet ', upper(n_name[1]), lower(n_name[2:]), ' ', upper(c_mktsegment[1]), lower(c_mktsegment[2:])) FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT id, kind, name, {VALID.format('name', 'kind')} AS valid FROM n")
+def entity_name_check(entities, aliases, customer, nation):
+    """Names of all entities, aliases as organisations, and customers by nation and segment, against the structural check."""
+    both = entities.select(F.col("entity_id").alias("id"), "kind", "name").unionByName(aliases.select(F.col("entity_id").alias("id"), F.lit("org").alias("kind"), F.col("alias").alias("name")))
+    shaped = lambda c: F.concat(F.upper(F.left(F.col(c), F.lit(1))), F.lower(F.substring(F.col(c), F.lit(2), F.length(c))))
+    people = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("id"), F.lit("person").alias("kind"), F.concat(F.lit("Meet "), shaped("n_name"), F.lit(" "), shaped("c_mktsegment")).alias("name"))
+    rows = both.unionByName(people)
+    return rows.select("id", "kind", "name", names.valid_name(F.col("name"), F.col("kind")).alias("valid"))
+
+
+@query("entities mentions claims", f"WITH used AS (SELECT entity_id FROM mentions UNION SELECT subject_id FROM claims UNION SELECT object_id FROM claims WHERE object_id IS NOT NULL) SELECT e.entity_id, e.name, CASE WHEN e.entity_id IN (SELECT entity_id FROM used) THEN 'flag' ELSE 'archive' END AS action FROM entities e WHERE e.kind = 'person' AND NOT {VALID.format('e.name', 'e.kind')}")
+def invalid_person_entities(entities, mentions, rows):
+    """Persons of the entities whose name is no name: flagged if a mention or either end of a claim refers to them."""
+    return names.invalid_people(entities, mentions, rows.select(F.col("subject_id").alias("entity_id")), rows.filter("object_id is not null").select(F.col("object_id").alias("entity_id")))
+
+
+@query("part", "SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(trim(trim(p_name), '.,;:'), '\\s+', ' ', 'g')), ' '), lambda w: CASE WHEN lower(w) IN ('of', 'and', 'for', 'the') THEN lower(w) ELSE concat(upper(w[1]), lower(w[2:])) END), ' ') AS title FROM part")
+def part_titles(part):
+    return part.select("p_partkey", names.title_form(F.col("p_name")).alias("title"))
