@@ -226,8 +226,9 @@ def claim_get_or_create(rows):
 
 @query("runs", "SELECT source_id, CAST(sum(CAST(items AS DECIMAL(18, 6))) AS DECIMAL(10, 4)) AS cost, count(*) AS claims FROM runs WHERE status IN ('complete', 'failed') GROUP BY source_id")
 def extractor_close(rows):
+    """Cost and claims of each source; as wide as the sum itself, since the column of (10, 4) overflows at a million."""
     done = rows.filter(F.col("status").isin("complete", "failed"))
-    return done.groupBy("source_id").agg(F.sum(F.col("items").cast("decimal(18,6)")).cast("decimal(10,4)").alias("cost"), F.count("*").alias("claims"))
+    return done.groupBy("source_id").agg(F.sum(F.col("items").cast("decimal(18,6)")).cast("decimal(26,4)").alias("cost"), F.count("*").alias("claims"))
 
 
 _COUNTED = f"counted AS (SELECT s.source_id, coalesce(p.n, 0) AS pages, coalesce(u.n, 0) AS urls FROM sources s LEFT JOIN (SELECT source_id, count(DISTINCT url) AS n FROM fetches WHERE {OK_2XX} AND (body IS NOT NULL OR body_unchanged_since IS NOT NULL) GROUP BY source_id) p ON p.source_id = s.source_id LEFT JOIN (SELECT source_id, count(DISTINCT url) AS n FROM fetches GROUP BY source_id) u ON u.source_id = s.source_id)"

@@ -105,3 +105,12 @@ def test_answer_cache(spark):
 
     rows = spark.createDataFrame([(1, "a", 0), (2, "a", 3599), (3, "a", 3600), (4, "a", 7199), (5, "b", 5)], "request_id long, key string, at long")
     assert {r.request_id: r.hit for r in answers.cached(rows).collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_extractor_close_over_a_million(spark, tmp_path):
+    """Sources whose costs add up to more than a column of (10, 4) holds."""
+    import __spark_entry__ as e
+
+    spark.createDataFrame([(k, 1, "view", 400_000.125, "{}") for k in (1, 2, 3, 4)], "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(str(r.cost), r.claims) for r in e.queries()["extractor_close"](spark, str(tmp_path)).collect()]
+    assert got == [("1600000.5000", 4)]
