@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import claims, counters, coverage, crawl, curation, extraction, graph, integrity, retrieval, runs
-from ..session import checkpointed
+from ..session import checkpointed, narrow_tasks
 from ..streaming import streams
 from .bridge import NOW, logical, with_tables
 
@@ -23,7 +23,7 @@ def query(tables: str, sql: str | None = None):
     names = tables.split()
 
     def add(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(*[logical(spark, sf_dir, n) for n in names])
+        QUERIES[build.__name__] = lambda spark, sf_dir: build(*[logical(narrow_tasks(spark), sf_dir, n) for n in names])
         if sql is not None:
             head = with_tables(*names)
             ORACLES[build.__name__] = (head + (", " if " AS (" in head else "") + sql[5:] if sql.startswith("WITH ") else (head if " AS (" in head else "") + " " + sql)
