@@ -70,12 +70,13 @@ def top_claims(claims: DataFrame, entities: DataFrame, evidence: DataFrame, raws
     either end, with the object, evidence, raw claim, document and source behind them as far as they exist; newest claims first.
 
     Several pieces of evidence are several rows. The first k rows come from the k newest claims, so only these meet the chain.
+    Claims may share an id: then the raw claims order their rows together, and what is still equal goes by the object's id.
     """
     ends = claims.select("claim_id", "first_seen_at", "object_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id")).filter("entity_id is not null")
     newest = Window.partitionBy("entity_id").orderBy(F.desc("first_seen_at"), "claim_id")
-    near = ends.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= k)
+    near = ends.withColumn("n", F.rank().over(newest)).filter(F.col("n") <= k)
     chain = near.join(entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name")), "object_id", "left").join(evidence.select("claim_id", "raw_id", "source_id"), "claim_id", "left")
     chain = chain.join(raws.select("raw_id", "document_id"), "raw_id", "left").join(documents.select("document_id", F.lit(True).alias("there")), "document_id", "left").join(sources.select("source_id", F.col("identifier").alias("source_name")), "source_id", "left")
-    rows = Window.partitionBy("entity_id").orderBy("n", F.asc_nulls_last("raw_id"), F.asc_nulls_last("source_id"))
+    rows = Window.partitionBy("entity_id").orderBy("n", F.asc_nulls_last("raw_id"), F.asc_nulls_last("source_id"), F.desc("object_id"))
     placed = chain.withColumn("place", F.row_number().over(rows)).filter(F.col("place") <= k)
     return placed.select("entity_id", "place", "claim_id", "object_name", "raw_id", F.when(F.col("there"), F.col("document_id")).alias("document_id"), "source_name")

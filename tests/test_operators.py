@@ -114,3 +114,15 @@ def test_extractor_close_over_a_million(spark, tmp_path):
     spark.createDataFrame([(k, 1, "view", 400_000.125, "{}") for k in (1, 2, 3, 4)], "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = [(str(r.cost), r.claims) for r in e.queries()["extractor_close"](spark, str(tmp_path)).collect()]
     assert got == [("1600000.5000", 4)]
+
+
+def test_top_claims_with_a_repeated_id(spark):
+    """Two claims of one id: their rows go by the raw claim first, so both come before the second raw claim."""
+    from strandline.operators import review
+
+    claims = spark.createDataFrame([(1, "s1", "p1", 9), (1, "s1", "p2", 9), (2, "s1", "p3", 8)], "claim_id long, subject_id string, object_id string, first_seen_at long")
+    entities = spark.createDataFrame([("p1", "one"), ("p2", "two"), ("p3", "three")], "entity_id string, name string")
+    evidence = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 10, "a")], "claim_id long, raw_id long, source_id string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = review.top_claims(claims, entities, evidence, none("raw_id long, document_id long"), none("document_id long"), none("source_id string, identifier string"), 4).filter("entity_id = 's1'").orderBy("place").collect()
+    assert [(r.object_name, r.raw_id) for r in got] == [("two", 10), ("one", 10), ("two", 11), ("one", 11)]
