@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..session import checkpointed
 from . import provenance, retrieval
+from .scans import Kept, scan
 
 
 def claims_for_question(claims: DataFrame, entities: DataFrame, evidence: DataFrame, raws: DataFrame, documents: DataFrame, terms: Column, k: int) -> DataFrame:
@@ -84,13 +85,8 @@ def year_variants(question: Column, school: str = "") -> Column:
 def cached(requests: DataFrame, seconds: int = 3600) -> DataFrame:
     """(request_id, hit): whether a question was answered within the time an answer is kept, counted from when it was made.
 
-    A miss makes a new answer, so whether a request hits depends on the one before: an ordered fold over one question.
+    A miss makes a new answer, so whether a request hits depends on the one before: a scan over ranges, so that no task holds
+    a question. A null key is a question of its own; at is not null.
     """
-    log = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "request_id"))).alias("log"))
-    start = F.struct(F.lit(None).cast("bigint").alias("made"), F.array().cast("array<struct<request_id:bigint,hit:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        hit = F.coalesce(x["at"] - s["made"] < seconds, F.lit(False))
-        return F.struct(F.when(hit, s["made"]).otherwise(x["at"]).alias("made"), F.concat(s["out"], F.array(F.struct(x["request_id"].alias("request_id"), hit.alias("hit")))).alias("out"))
-
-    return log.select(F.explode(F.aggregate("log", start, step, lambda s: s["out"])).alias("r")).select("r.request_id", "r.hit")
+    rows = requests.select("key", "at", "request_id")
+    return scan(rows, ["key"], ["at", "request_id"], [Kept("at", "hit", seconds)]).select("request_id", "hit")

@@ -167,6 +167,62 @@ class Machine(Fold):
         return np.array(self.states, object)[maps[np.arange(len(maps)), first]]
 
 
+@dataclass(frozen=True)
+class Kept(Fold):
+    """Whether a row finds an answer that was made less than `seconds` before it; a row that does not makes one. Rows come by time.
+
+    What rows do to the time of the last answer is a step function: [first time, [[limit, made], ..]], where the first limit
+    that is `seconds` or more after the answer tells when the new one was made, and without one the answer stands. An answer is
+    no later than the first time, so steps are kept up to `seconds` after it.
+    """
+
+    column: str
+    output: str
+    seconds: int
+    type: str = "boolean"
+
+    def _made(self, element: Any, made: int | None) -> int | None:
+        for limit, out in element[1]:
+            if made is None or limit >= made + self.seconds:
+                return out
+        return made
+
+    def _steps(self, first: int, steps: list) -> list:
+        out: list = []
+        for limit, made in steps:
+            if out and out[-1][1] == made:
+                out[-1][0] = limit
+            else:
+                out.append([limit, made])
+            if limit >= first + self.seconds:
+                break
+        return [first, out]
+
+    def total(self, values):
+        times = values.astype(np.int64)
+        after = np.searchsorted(times, times + self.seconds)
+        made = times.tolist()
+        for i in range(len(made) - 1, -1, -1):
+            if after[i] < len(made):
+                made[i] = made[after[i]]
+        return self._steps(int(times[0]), [list(x) for x in zip(times.tolist(), made, strict=True)])
+
+    def join(self, first, then):
+        if first is None or then is None:
+            return then if first is None else first
+        reached = [[limit, self._made(then, made)] for limit, made in first[1]]
+        last = reached[-1][0]
+        return self._steps(first[0], reached + [[limit, made] for limit, made in then[1] if limit > last])
+
+    def prefix(self, values, begins, entered):
+        out, made = np.empty(len(values), object), None if entered is None else self._made(entered, None)
+        for i, (at, new) in enumerate(zip(values.tolist(), begins.tolist(), strict=True)):
+            made = None if new else made
+            out[i] = made is not None and at - made < self.seconds
+            made = made if out[i] else at
+        return out
+
+
 def _runs(batch: pa.RecordBatch, key: Sequence[str], before: tuple | None) -> tuple[np.ndarray, list[tuple]]:
     """(begins, keys): whether each row begins another key than the row before it, and each row's key where it does."""
     columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key]
@@ -241,6 +297,6 @@ def scan(rows: DataFrame, key: Sequence[str], order: Sequence[str], folds: Seque
             body = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*body, *[pa.array(o, kinds[f.output]) for o, f in zip(out, folds, strict=True)]], names=[*[n for n in batch.schema.names if n != "__range"], *[f.output for f in folds]])
 
-    kinds = {f.output: {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}[f.type] for f in folds}
+    kinds = {f.output: {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}[f.type] for f in folds}
     fields = [*[f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema], *[f"`{f.output}` {f.type}" for f in folds]]
     return dealt.mapInArrow(apply, ", ".join(fields))

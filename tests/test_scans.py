@@ -57,3 +57,22 @@ def test_empty_and_repeated_rows(spark):
     twice = [("a", 1, 1, "queued", 1.0, 0, "k")] * 3 + [("a", 2, 2, "running", 2.0, 0, "k")]
     assert [(r.run_id, r.status) for r in runs.progress_changes(spark.createDataFrame(twice, SCHEMA)).orderBy("run_id").collect()] == [(1, "queued"), (2, "running")]
     assert sorted(r.state for r in runs.states(spark.createDataFrame(twice, SCHEMA)).collect()) == ["queued"] * 3 + ["running"]
+
+
+@pytest.mark.parametrize(("n", "parts", "batch"), [(300, 7, 13), (400, 40, 5), (60_000, 6, 10_000), (1, 3, 13)])
+def test_kept_answers_match_a_loop(spark, n, parts, batch):
+    """The last case but one has one question asked 60,000 times, whose list of answers must not be copied at each."""
+    from strandline.operators.scans import Kept
+
+    rng = random.Random(n)
+    rows = [("hot" if n > 1000 or rng.random() < 0.8 else rng.choice(["a", "b"]), i, rng.randrange(10 * n)) for i in range(n)]
+    made, want = {}, {}
+    for k, i, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want[i] = k in made and at - made[k] < 90
+        made[k] = made[k] if want[i] else at
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "key string, request_id long, at long")
+        assert {r.request_id: r.hit for r in scan(df, ["key"], ["at", "request_id"], [Kept("at", "hit", 90)], parts).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
