@@ -2,11 +2,12 @@
 
 A term is a run of letters, digits, ' and -, and it occurs in a text exactly if it occurs in one of the text's maximal runs of
 these. So the texts are read once, into postings: for each run (word) and block of BLOCK document ids the documents that
-hold it, as offsets within the block, so no list grows with the corpus. Terms meet the vocabulary, not the texts: by their
-rarest trigram, then verified as a substring of the word.
+hold it, as offsets within the block, so no list grows with the corpus. Terms meet the vocabulary, not the texts: by equality
+with the words' substrings of the terms' lengths.
 
-A question wants its newest documents only. Blocks are taken newest first, in rounds of four times as many, and a question
-leaves once it has its documents: common words never meet the whole corpus, and rare ones have short postings.
+Only the newest documents of each term are looked for, once a term, however many questions hold it: a question's k newest
+documents are among the k newest of those of its terms that they hold. Blocks are taken newest first, in rounds of four times
+as many, and a term leaves once it has its documents: common ones never meet the whole corpus, and rare ones have short postings.
 """
 
 from __future__ import annotations
@@ -28,20 +29,15 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.groupBy("word", block.alias("block")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))  # at most BLOCK
 
 
-def _grams(word: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substring(word, i, F.lit(3))))
-
-
 def matched_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, word): the words of the vocabulary that hold each term. Both are distinct; a term has four characters or more.
 
-    There are at most 38 ** 3 trigrams, so their counts may be broadcast.
+    A word has no more substrings of a length than characters, and terms have few lengths: no trigram's list of words is met whole.
     """
-    held = vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    counts = held.groupBy("gram").count()
-    asked = terms.select("term", F.explode(_grams(F.col("term"))).alias("gram")).join(F.broadcast(counts), "gram")
-    rarest = asked.groupBy("term").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))  # a trigram that no word has leaves its term out only if all are unknown
-    return rarest.join(held, "gram").filter(F.contains("word", F.col("term"))).select("term", "word")
+    sizes = terms.select(F.length("term").alias("size")).distinct()
+    parts = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n)))
+    held = vocabulary.join(F.broadcast(sizes), F.length("word") >= F.col("size")).select("word", F.explode(parts(F.col("size"))).alias("term"))
+    return terms.select("term").join(held, "term").select("term", "word")
 
 
 def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
@@ -52,8 +48,7 @@ def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> Data
     """
     asked = checkpointed(questions.select("question_id", F.explode(query_terms(F.col("text"))).alias("term")).distinct())
     index = checkpointed(postings(docs))
-    words = matched_words(asked.select("term").distinct(), index.select("word").distinct())
-    wanted = checkpointed(asked.join(words, "term"))
+    wanted = checkpointed(matched_words(asked.select("term").distinct(), index.select("word").distinct()))
     low, high, blocks = index.agg(F.min("block"), F.max("block"), F.count_distinct("block")).first()
     found, open_ = None, wanted
     upper, size, taken = high, max(1, FIRST // BLOCK), 0
@@ -62,19 +57,20 @@ def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> Data
         # Any border is right; this one takes about `size` of the blocks that there are.
         lower = low if taken >= blocks else min(upper, int(index.filter(F.col("block") <= upper).agg(F.percentile_approx("block", max(0.0, 1 - size / max(1, blocks - taken + size)), 10_000)).first()[0]))
         part = index.filter(F.col("block").between(lower, upper))
-        met = open_.join(part, "word").select("question_id", "term", F.explode(F.transform("offsets", lambda o: F.col("block") * BLOCK + o)).alias("doc_id"))
-        hits = met.groupBy("question_id", "doc_id").agg(F.count_distinct("term").cast("int").alias("hits"))
-        both = hits if found is None else found.unionByName(hits)
-        newest = Window.partitionBy("question_id").orderBy(F.desc("doc_id"))
+        met = open_.join(part, "word").select("term", F.explode(F.transform("offsets", lambda o: F.col("block") * BLOCK + o)).alias("doc_id")).distinct()
+        both = met if found is None else found.unionByName(met)
+        newest = Window.partitionBy("term").orderBy(F.desc("doc_id"))
         found = checkpointed(both.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= k).drop("n"))
-        full = found.groupBy("question_id").count().filter(F.col("count") >= k)
-        open_ = wanted.join(full, "question_id", "left_anti")
+        full = found.groupBy("term").count().filter(F.col("count") >= k)
+        open_ = wanted.join(full, "term", "left_anti")
         upper, size = lower - 1, size * GROWTH
         if upper < low or open_.isEmpty():
             break
     if found is None:
-        return wanted.select("question_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("hits")).limit(0)
-    return found
+        return asked.select("question_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("hits")).limit(0)
+    hits = asked.join(found, "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("hits"))
+    own = Window.partitionBy("question_id").orderBy(F.desc("doc_id"))
+    return hits.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k).drop("n")
 
 
 def ranked_documents(questions: DataFrame, docs: DataFrame, candidates: int = 50, k: int = 8) -> DataFrame:

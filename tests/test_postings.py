@@ -40,3 +40,19 @@ def test_empty_tables(spark):
     docs, asked = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "harbor")], "question_id long, text string")
     assert postings.ranked_documents(asked, docs).count() == 0
     assert postings.ranked_documents(asked.limit(0), spark.createDataFrame([(1, "harbor")], "doc_id long, text string")).count() == 0
+
+
+def test_work_does_not_multiply_questions_by_words(spark, monkeypatch):
+    """400 questions for one term that 500 words hold: nothing written has a row for each question and word."""
+    written, real = [], postings.checkpointed
+
+    def counting(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(postings, "checkpointed", counting)
+    docs = spark.createDataFrame([(d, " ".join(f"harbor{w}" for w in range(d, 500, 10))) for d in range(10)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, "the harbor") for q in range(400)], "question_id long, text string")
+    assert postings.newest_documents(asked, docs, 50).count() == 4000
+    assert max(written) <= 1000
