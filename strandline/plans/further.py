@@ -443,7 +443,8 @@ def vendor_person_sentences(customer):
     k = F.col("c_custkey") % 3
     full = '{"data":{"full_name":"ann OAK","job_title":" clerk ","job_company_name":"Works","location_locality":"Kiel","education":[{"school":{"name":"North"},"degrees":["BA"],"end_date":"1999-06"},{"school":null}],"experience":[{"company":{"name":"Mill"},"title":{"name":"baker"},"start_date":"2001"}]}}'
     part = '{"first_name":"bo","last_name":"elm","job_company_name":"Mill","education":[{"school":{"name":"South"}}]}'
-    return customer.select("c_custkey", tables.person_text(F.when(k == 0, full).when(k == 1, part).otherwise('{"x":1}')).alias("text"))
+    rows = customer.select("c_custkey").repartition("c_custkey")  # one file may hold all customers, and each is much work
+    return rows.select("c_custkey", tables.person_text(F.when(k == 0, full).when(k == 1, part).otherwise('{"x":1}')).alias("text"))
 
 
 @query("customer", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1704067200 WHEN 1 THEN 1704070800 END AS taken FROM customer")

@@ -188,7 +188,8 @@ def vendor_person_text(customer):
     even = F.col("c_custkey") % 2 == 0
     post = F.array(F.struct(F.struct(F.lit("Mill").alias("name")).alias("company"), F.when(even, F.struct(F.lit("baker").alias("name"))).alias("title"), F.when(~even, "2003-04").alias("start_date"), F.when(~even, "2007").alias("end_date")))
     json = F.to_json(F.struct(F.concat(F.lit("customer "), "c_custkey").alias("full_name"), F.lit("clerk").alias("job_title"), F.col("c_mktsegment").alias("job_company_name"), F.concat(F.lit("Nation "), "c_nationkey").alias("location_name"), school.alias("education"), post.alias("experience")))
-    return customer.select("c_custkey", tables.person_text(json).alias("text"))
+    rows = customer.select("c_custkey", "c_mktsegment", "c_nationkey").repartition("c_custkey")  # one file may hold all customers, and each is much work
+    return rows.select("c_custkey", tables.person_text(json).alias("text"))
 
 
 @query("entities")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +97,11 @@ def person_text(json: Column) -> Column:
     own = F.from_json(json, fields)
     inner = F.from_json(json, f"data struct<{', '.join(x.strip().replace(' ', ':', 1) for x in fields.split(', '))}>")["data"]
 
+    def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(c), use), F.lit(0))  # an array of one element, so that c is found once, however often it is used
+
     def filled(c: Column) -> Column:
-        return F.nullif(collapsed(c), F.lit(""))
+        return bound(collapsed(c), lambda x: F.nullif(x, F.lit("")))
 
     def year(c: Column) -> Column:
         return F.nullif(F.regexp_extract(c, r"^(\d{4})", 1), F.lit(""))
@@ -104,6 +109,9 @@ def person_text(json: Column) -> Column:
     def sentences(p: Column) -> Column:
         cased = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
         name = cased(F.coalesce(filled(p["full_name"]), filled(F.concat_ws(" ", *[filled(p[c]) for c in ("first_name", "middle_name", "last_name")]))))
+        return bound(name, lambda n: about(p, n))
+
+    def about(p: Column, name: Column) -> Column:
         say = lambda *parts: F.concat(name, *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("."))
         title, company = filled(p["job_title"]), filled(p["job_company_name"])
         job = F.coalesce(say(" is ", title, " at ", company), say(" is ", title), say(" works at ", company))
@@ -122,7 +130,7 @@ def person_text(json: Column) -> Column:
         lines = F.concat(F.array(job, place), F.coalesce(F.transform(p["education"], studied), none), F.coalesce(F.transform(F.slice(p["experience"], 1, 10), worked), none))
         return F.when(name.isNull(), "").otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), " "))
 
-    return F.coalesce(F.when(inner.isNotNull(), sentences(inner)).otherwise(sentences(own)), F.lit(""))
+    return F.coalesce(bound(F.coalesce(inner, own), sentences), F.lit(""))
 
 
 def person_query(rows: DataFrame, least: int) -> Column:

@@ -86,6 +86,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.range(1).select(tables.person_text(F.lit(person)).alias("t")).first().t == "A B is Head at C. A B studied at S. A B was T at D."
 
 
+def test_a_person_is_read_once_and_customers_are_spread(spark):
+    """The record is parsed once a shape and not once a sentence; a table in one file does not stay one task's work."""
+    import __spark_entry__ as e
+
+    whole = spark.range(1).select(tables.person_text(F.col("id").cast("string")).alias("t"))
+    assert whole._jdf.queryExecution().analyzed().toString().count("from_json") == 2
+    for name in ("vendor_person_text", "vendor_person_sentences"):
+        assert "Exchange hashpartitioning(c_custkey" in e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_trigrams(spark):
     assert set(spark.range(1).select(graph.trigrams(F.lit("Cat")).alias("t")).first().t) == {"  c", " ca", "cat", "at "}
 
