@@ -1,10 +1,10 @@
 """Licence scans by a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs (lines of a text) that share three words in a row with a template, without which no prediction could be
-confirmed, are turned into sparse binary word 1- and 2-grams and scored by a multinomial logistic regression over licence families and an `unknown` class. The regression is trained on paragraphs
-made by rule from the templates below, on ordinary sentences that use licence words, and on PARAGRAPHS paragraphs of the
-corpus (those of least hash), which count as unknown where no template sentence occurs in them. The probability a family
-must reach is calibrated on held-out paragraphs. A prediction counts only if the paragraph's word triples confirm it
+Every paragraph (line of a text) is turned into sparse binary word 1- and 2-grams and scored by a multinomial logistic regression over
+licence families and an `unknown` class. The regression is trained on paragraphs made by rule from the templates below, on ordinary
+sentences that use licence words, and on PARAGRAPHS paragraphs of the corpus (those of least hash among the ones that share three words
+in a row with a template, which are the hard ones), which count as unknown where no template sentence occurs in them. The probability a
+family must reach is calibrated on held-out paragraphs. A prediction counts only if the paragraph's word triples confirm it
 against a template of that family: most of the template occurs in it, or most of it occurs in the template.
 
 The model (a weight row a gram of the training set) is bounded by the sample and is broadcast.
@@ -106,10 +106,15 @@ def _necessary() -> str:
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """docs' lines that share a triple of words with a template, with their number."""
+    """All of docs' lines with their number; a repeated row's lines come once a row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    return texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "para"))
+
+
+def _alike(docs: DataFrame) -> DataFrame:
+    """docs' lines that share a triple of words with a template: those to learn from, and the only ones that can be confirmed."""
     needed = _necessary()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text")).filter(F.lower("text").rlike(needed))
-    lines = texts.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "para")).filter(F.lower("para").rlike(needed))
+    lines = _paragraphs(docs.filter(F.lower(F.col("text").cast("string")).rlike(needed))).filter(F.lower("para").rlike(needed))
     known = F.array(*[F.lit(t) for t in sorted({t for texts in TEMPLATES.values() for x in texts for t in _triples(_py_words(x))})])
     # An array of one element binds the words, so that they are found once a paragraph and not once a triple.
     return lines.filter(F.get(F.transform(F.array(words(F.col("para"))), lambda w: F.arrays_overlap(_runs(w, 3), known)), F.lit(0)))
@@ -195,35 +200,65 @@ def _templates(spark) -> DataFrame:
     return spark.createDataFrame(rows, "family string, triples array<string>")
 
 
-def licence_paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, para, family, probability, likeness, confirmed) of every paragraph that a family is predicted for."""
+def _met(para: Column, grams: list[str], weights: np.ndarray, intercepts: np.ndarray, threshold: float) -> Column:
+    """A paragraph's grams that the model has, each once; null if none of them speaks for a family more than for `unknown`.
+
+    A family's logit without such a gram exceeds that of `unknown` by no more than the intercepts do. Only where these alone
+    reach the threshold are all paragraphs kept.
+    """
+    over = (weights[:, :-1] - weights[:, -1:]).max(axis=1)
+    least = float((np.log(threshold / (1 - threshold)) - (intercepts[:-1] - intercepts[-1])).min()) if threshold < 1 else 1.0
+    # With no more than `eps` a gram, and at most len(grams) of them, the sum over the root of their number stays below what lacks.
+    eps = 0.5 * least / len(grams) ** 0.5 if least > 0 and grams else -np.inf
+    speaking = [g for g, x in zip(grams, over, strict=True) if x > eps]
+    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    held = lambda w: F.array_distinct(F.filter(F.concat(w, pairs(w)), lambda g: g.isin(grams)))
+    bind = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))
+    return bind(words(para), lambda w: bind(held(w), lambda k: F.when(F.exists(k, lambda g: g.isin(speaking)), k)))
+
+
+def predictions(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line, family, probability, likeness, confirmed) of every paragraph that a family is predicted for.
+
+    Every line is scored. The model learns from the lines that share a triple with a template, and only these are compared
+    with the templates: the others have no triple in common with any.
+    """
     spark = docs.sparkSession
-    paragraphs = cut(_paragraphs(docs))  # few; training and scoring read them several times
-    grams, weights, intercepts, threshold = train(paragraphs)
+    alike = cut(_alike(docs))  # few; training and confirmation read them
+    grams, weights, intercepts, threshold = train(alike)
     model = spark.createDataFrame([(g, w) for g, w in zip(grams, weights.tolist(), strict=True)], "gram string, w array<double>")
-    grams_of = F.get(F.transform(F.array(words(F.col("para"))), lambda w: F.array_distinct(F.concat(w, _runs(w, 2)))), F.lit(0))
-    each = paragraphs.withColumn("grams", grams_of)
-    met = each.select("doc_id", "row", "line", F.explode("grams").alias("gram")).distinct().join(F.broadcast(model), "gram")
-    sums = met.groupBy("doc_id", "row", "line").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(_CLASSES))])
+    # Rows of one key are one text; each is summed on its own, so that no sum is doubled.
+    each = _paragraphs(docs).withColumn("copy", F.monotonically_increasing_id())
+    met = each.select("copy", "doc_id", "row", "line", F.explode(_met(F.col("para"), grams, weights, intercepts, threshold)).alias("gram")).join(F.broadcast(model), "gram")
+    sums = met.groupBy("copy", "doc_id", "row", "line").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(_CLASSES))])
     logits = [F.col(f"s{i}") / F.sqrt("n") + float(b) for i, b in enumerate(intercepts)]
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits), F.lit(0.0))
     best = F.array_max(F.array(*[F.struct(z.alias("z"), F.lit(c).alias("family")) for z, c in zip(logits[:-1], _FAMILIES, strict=True)]))
-    predicted = sums.select("doc_id", "row", "line", best.alias("b"), total.alias("total"), top.alias("top")).select("doc_id", "row", "line", F.col("b.family").alias("family"), (F.exp(F.col("b.z") - F.col("top")) / F.col("total")).alias("probability")).filter(F.col("probability") >= threshold)
-    shown = predicted.join(paragraphs.select("row", "line", "para", F.get(F.transform(F.array(words(F.col("para"))), lambda w: _runs(w, 3)), F.lit(0)).alias("own")).dropDuplicates(["row", "line"]), ["row", "line"]).join(F.broadcast(_templates(spark)), "family")
+    scored = sums.select("doc_id", "row", "line", best.alias("b"), total.alias("total"), top.alias("top")).select("doc_id", "row", "line", F.col("b.family").alias("family"), (F.exp(F.col("b.z") - F.col("top")) / F.col("total")).alias("probability"))
+    predicted = scored.filter(F.col("probability") >= threshold).dropDuplicates(["row", "line"])
+    own = F.get(F.transform(F.array(words(F.col("para"))), lambda w: _runs(w, 3)), F.lit(0))
+    shown = predicted.join(alike.select("row", "line", own.alias("own")).dropDuplicates(["row", "line"]), ["row", "line"], "left").join(F.broadcast(_templates(spark)), "family")
     common = F.size(F.array_intersect("own", "triples"))
-    likeness = common / F.greatest(F.least(F.size(F.array_distinct("own")), F.size(F.array_distinct("triples"))), F.lit(1))
-    found = shown.groupBy("doc_id", "row", "line", "para", "family", "probability").agg(F.max(likeness).alias("likeness"))
+    likeness = F.when(F.col("own").isNull(), 0.0).otherwise(common / F.greatest(F.least(F.size(F.array_distinct("own")), F.size(F.array_distinct("triples"))), F.lit(1)))
+    found = shown.groupBy("doc_id", "row", "line", "family", "probability").agg(F.max(likeness).alias("likeness"))
     return found.withColumn("confirmed", F.col("likeness") >= CONFIRM)
 
 
+def licence_paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line, para, family, probability, likeness, confirmed): predictions with their paragraphs."""
+    paras = _paragraphs(docs).select("row", "line", "para")
+    found = predictions(docs)
+    return paras.join(found, ["row", "line"]).dropDuplicates(["row", "line"]).select("doc_id", "row", "line", "para", "family", "probability", "likeness", "confirmed")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_predicted, n_confirmed, families, least_probability) a row of docs; families are the confirmed ones, sorted.
 
     Null and empty texts have none; repeated rows each get a row; an empty table gives no rows (the model then rests on
     the templates alone). Only doc_id and text are read.
     """
-    found = licence_paragraphs(docs)
+    found = predictions(docs)
     per_row = found.groupBy("row").agg(F.count("*").alias("n_predicted"), F.count_if("confirmed").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.round(F.min("probability"), 3).alias("least_probability"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row"))
     out = rows.join(per_row, "row", "left")

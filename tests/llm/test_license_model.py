@@ -78,3 +78,32 @@ def test_a_very_long_paragraph_and_repeated_lines(spark, size):
     texts = [filler + "\n" + NOTICES[2][1], NOTICES[2][1] + "\n" + NOTICES[2][1], filler + NOTICES[2][1]]
     got = {r.doc_id: (r.n_confirmed, r.families) for r in licenses.scan(rows(spark, texts)).collect()}
     assert got[0] == (1, "apache") and got[1] == (2, "apache") and got[2][1] in ("", "apache")
+
+
+def test_paragraphs_without_a_triple_of_a_template_are_scored(spark, monkeypatch):
+    """Every line has the plain score's prediction, whether or not three of its words stand in a template; repeated rows count once a row."""
+    rng = random.Random(5)
+    texts = []
+    for family, notice in NOTICES:
+        w = licenses._py_words(notice)
+        texts += [" ".join(rng.sample(w, len(w))), " ".join(x for x in w[::2]), "\n".join(" ".join(w[i : i + 2]) for i in range(0, len(w), 2))]
+    texts += PLAIN + ["", " \n\n", "zzz qqq"]
+    docs = rows(spark, [*texts, NOTICES[0][1]])
+    model = licenses.train(licenses._alike(docs))
+    monkeypatch.setattr(licenses, "train", lambda paragraphs: model)
+    names, weights, intercepts, threshold = model
+    at = {g: i for i, g in enumerate(names)}
+
+    def predicted(line):
+        held = [at[g] for g in licenses._py_grams(licenses._py_words(line)) if g in at]
+        if not held:
+            return False
+        z = weights[held].sum(axis=0) / math.sqrt(len(held)) + intercepts
+        p = [math.exp(v - max(z)) for v in z]
+        return max(p[:-1]) / sum(p) >= threshold
+
+    got = {r.doc_id: r for r in licenses.scan(docs.unionByName(docs.filter("doc_id < 3"))).collect()}
+    assert {d: got[d].n_predicted for d in range(len(texts))} == {d: sum(map(predicted, t.split("\n"))) for d, t in enumerate(texts)}
+    known = {t for ts in licenses.TEMPLATES.values() for t in ts for t in licenses._triples(licenses._py_words(t))}
+    bare = [d for d, t in enumerate(texts) if not any(known & set(licenses._triples(licenses._py_words(x))) for x in t.split("\n"))]
+    assert sum(got[d].n_predicted for d in bare) > 0 and all(got[d].n_confirmed == 0 for d in bare)
