@@ -20,6 +20,7 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk; longer documents are cut.
 CHUNK = 1 << 16
 SPACE = "▁"
-#: Words and pairs of pieces that a worker remembers; about 200 MB at most.
+#: Words of either generation and pairs of pieces that a worker remembers.
 _CACHE, _PAIRS = 300_000, 1_000_000
 #: Chunks whose matrices are multiplied in one task; a document's blocks are multiplied in parallel.
 BLOCK = 64
@@ -41,14 +42,23 @@ NEVER = float("-inf")
 
 
 class Words(dict):
-    """Ids of a word (a space and what follows up to the next one) as bytes; computed on demand, bounded."""
+    """Ids of a word (a space and what follows up to the next one) as bytes; computed on demand, bounded.
+
+    A full generation becomes the older one, whose words are taken over as they are met, so frequent words stay.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE:
+            self.older = dict(self)
             self.clear()
+        known = self.older.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         parts = self.codec.independent(SPACE + word)
         if len(parts) == 1:
             out = self.codec.word(parts[0])
@@ -61,9 +71,10 @@ class Words(dict):
 
     def inner(self, part: str) -> bytes:
         key = SPACE + part
-        out = self.get(key)
+        out = self.get(key) or self.older.get(key)
         if out is None:
-            out = self[key] = self.codec.word(part)
+            out = self.codec.word(part)
+        self[key] = out
         return out
 
 
@@ -170,6 +181,8 @@ class Codec:
     def independent(self, text: str) -> list[str]:
         """text cut wherever no piece can reach across."""
         joined, out, at = self.joined, [], 0
+        if joined.issuperset(map(add, text, text[1:])):
+            return [text]
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in joined:
                 out.append(text[at:k])
@@ -178,14 +191,51 @@ class Codec:
         return out
 
     def word(self, text: str) -> bytes:
-        """Ids of one whole word."""
-        reached, at, path, size = self.reach(text, 0, None, len(text)), len(text), [], self.size
-        while at:
-            u = reached[at]
+        """Ids of one whole word: its path in the lattice, longer pieces first.
+
+        One path at most leads to a place, so a place from which the end was not reached is not tried again.
+        """
+        get, pairs, count, size = self.begun.get, self.pairs, self.count, len(text)
+        path: list[int] = []
+        left: list[list[tuple[int, int]]] = []  # of each place on the path, the pieces not yet tried, the longest last
+        seen: set[int] = set()
+        at, before = 0, None
+        while at < size:
+            ahead = []
+            for q in range(at + 1, size + 1):
+                u = get(text[at:q])
+                if u is None:
+                    if q - at == 1:
+                        ahead.append((q, -1 - ord(text[at])))
+                    break
+                if u >= 0:
+                    ahead.append((q, u))
+            while True:
+                while ahead:
+                    q, u = ahead.pop()
+                    if q in seen:
+                        continue
+                    if before is None:
+                        fits = self.stands(u)
+                    elif before < 0 or u < 0:
+                        fits = self.stands(before) and self.stands(u)
+                    else:
+                        fits = pairs.get(before * count + u)
+                        if fits is None:
+                            fits = self.compatible(before, u)
+                    if fits:
+                        break
+                else:
+                    ahead = left.pop()
+                    path.pop()
+                    before = path[-1] if path else None
+                    continue
+                break
+            seen.add(q)
+            left.append(ahead)
             path.append(u)
-            at -= size[u] if u >= 0 else 1
-        path.reverse()
-        return self.ids_of(path) if min(path) < 0 else array("i", path).tobytes()
+            at, before = q, u
+        return self.ids_of(path) if path and min(path) < 0 else array("i", path).tobytes()
 
     def length(self, piece: int) -> int:
         return 1 if piece < 0 else len(self.surface[piece])

@@ -62,3 +62,15 @@ def test_query_over_rows(spark):
     back = p.decode(p.encode(docs, chunk=64)).filter("doc_id = 13").first()
     assert back.decoded == texts[13]
     assert p.encode_decode(docs.limit(0)).count() == 0
+
+
+def test_frequent_words_outlast_a_full_cache(monkeypatch):
+    """Words that keep coming are encoded once, however many rare ones pass through."""
+    monkeypatch.setattr(p, "_CACHE", 50)
+    codec, asked = p.Codec(open(p.DEFAULT_MODEL, "rb").read()), []
+    word = codec.word
+    monkeypatch.setattr(codec, "word", lambda text: asked.append(text) or word(text))
+    for k in range(400):
+        text = f"extraordinary rare{k}word"
+        assert codec.encode(text).tolist() == LIB.encode(text)
+    assert asked.count("▁extraordinary") == 1 and len(codec.words) + len(codec.words.older) <= 102
