@@ -22,3 +22,35 @@ def test_merged_partitions_are_small_unless_set(spark):
         assert largest <= 1_500_000
     finally:
         spark.conf.set(width, before), spark.conf.unset(spread)
+
+
+def test_tasks_stay_small_with_few_shuffle_partitions(spark):
+    """A submitter's few shuffle partitions, or large files, must not make a task's share grow with the input."""
+    import __spark_entry__ as e
+
+    width, spread = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(width)
+    for key in session.NARROW:
+        spark.conf.unset(key)
+    spark.conf.set(width, "2"), spark.conf.set(spread, "false")
+    try:
+        e.queries()["evidence_deduped"](spark, "/root/testdata/sf0.001")
+        assert {k: spark.conf.get(k) for k in session.NARROW} == session.NARROW
+        largest = spark.range(6_000_000).repartition(F.col("id")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest <= 1_500_000  # two partitions would hold 3 million each
+    finally:
+        spark.conf.set(width, before), spark.conf.unset(spread)
+
+
+def test_a_submitters_sizes_stand(spark):
+    import __spark_entry__ as e
+
+    given = dict(zip(session.NARROW, ("7m", "12", "9m"), strict=True))
+    try:
+        for key, value in given.items():
+            spark.conf.set(key, value)
+        e.queries()["source_coverage"](spark, "/root/testdata/sf0.001")
+        assert {k: spark.conf.get(k) for k in given} == given
+    finally:
+        for key in given:
+            spark.conf.unset(key)
