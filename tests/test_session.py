@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strandline import session
@@ -54,3 +55,14 @@ def test_a_submitters_sizes_stand(spark):
     finally:
         for key in given:
             spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["source_coverage", "global_stats", "claim_list_rows", "claim_first_seen_top3", "top_claims_of_entity", "entity_neighborhood", "trigram_report", "claim_source_labels", "named_neighborhood", "claim_documents_newest"])
+def test_queries_deal_their_rows_to_small_tasks(spark, name):
+    """Each of these asks for the sizes itself, whatever was built before it in the session."""
+    import __spark_entry__ as e
+
+    for key in session.NARROW:
+        spark.conf.unset(key)
+    e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert {k: spark.conf.get(k) for k in session.NARROW} == session.NARROW
