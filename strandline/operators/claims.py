@@ -29,7 +29,18 @@ def with_endpoints(claims: DataFrame, entities: DataFrame) -> DataFrame:
     """Claims with their subject's and, where there is one, their object's name; claims without a subject row go."""
     subject = entities.select(F.col("entity_id").alias("subject_id"), F.col("name").alias("subject_name"), F.col("kind").alias("subject_kind"))
     target = entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name"))
-    return claims.join(subject, "subject_id").join(target, "object_id", "left")
+    return with_objects(claims.join(subject, "subject_id"), target)
+
+
+def with_objects(claims: DataFrame, target: DataFrame) -> DataFrame:
+    """Claims with target's columns by object_id, a left join.
+
+    Claims without an object match nothing. They are dealt by their own id: by a null key they would all meet in one task.
+    """
+    own = F.coalesce(F.col("object_id").cast("string"), F.col("claim_id").cast("string"))
+    there = target.withColumnRenamed("object_id", "__object")
+    same = (F.col("__dealt") == F.col("__object").cast("string")) & (F.col("object_id") == F.col("__object"))
+    return claims.withColumn("__dealt", own).join(there, same, "left").drop("__dealt", "__object")
 
 
 def of_source(claims: DataFrame, evidence: DataFrame, source_id: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..session import checkpointed
+from .claims import with_objects
 
 
 def delete_document(document_ids: DataFrame, claims: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> dict[str, DataFrame]:
@@ -47,7 +48,7 @@ def merge_entities(claims: DataFrame, merges: DataFrame) -> DataFrame:
     """Claims re-pointed from merged entities to their targets; self-loops stay as they are."""
     a = merges.select(F.col("entity_id").alias("subject_id"), F.col("target_id").alias("s2"))
     b = merges.select(F.col("entity_id").alias("object_id"), F.col("target_id").alias("o2"))
-    moved = claims.join(a, "subject_id", "left").join(b, "object_id", "left")
+    moved = with_objects(claims.join(a, "subject_id", "left"), b)
     return moved.select("claim_id", F.coalesce("s2", "subject_id").alias("subject_id"), "predicate", F.coalesce("o2", "object_id").alias("object_id"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .claims import with_objects
 from .names import valid_name
 
 #: Predicates that tell entities apart.
@@ -47,7 +48,7 @@ def qualifiers(summaries: DataFrame, claims: DataFrame, entities: DataFrame) ->
 
     A summary's attribute is one value or a list in JSON, held as an array of strings.
     """
-    named = claims.filter(F.col("predicate").isin(*QUALIFYING)).join(entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name")), "object_id", "left")
+    named = with_objects(claims.filter(F.col("predicate").isin(*QUALIFYING)), entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name")))
     own = named.select(F.col("subject_id").alias("entity_id"), "predicate", F.coalesce("object_name", "object_value").alias("value"), "claim_id").filter("value is not null")
     listed = own.groupBy("entity_id", "predicate").agg(F.array_sort(F.collect_list(F.struct("claim_id", "value"))).alias("rows")).select("entity_id", "predicate", F.transform("rows", lambda r: r["value"]).alias("found"))
     both = summaries.join(listed, ["entity_id", "predicate"], "full_outer")
@@ -75,7 +76,7 @@ def top_claims(claims: DataFrame, entities: DataFrame, evidence: DataFrame, raws
     ends = claims.select("claim_id", "first_seen_at", "object_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id")).filter("entity_id is not null")
     newest = Window.partitionBy("entity_id").orderBy(F.desc("first_seen_at"), "claim_id")
     near = ends.withColumn("n", F.rank().over(newest)).filter(F.col("n") <= k)
-    chain = near.join(entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name")), "object_id", "left").join(evidence.select("claim_id", "raw_id", "source_id"), "claim_id", "left")
+    chain = with_objects(near, entities.select(F.col("entity_id").alias("object_id"), F.col("name").alias("object_name"))).join(evidence.select("claim_id", "raw_id", "source_id"), "claim_id", "left")
     chain = chain.join(raws.select("raw_id", "document_id"), "raw_id", "left").join(documents.select("document_id", F.lit(True).alias("there")), "document_id", "left").join(sources.select("source_id", F.col("identifier").alias("source_name")), "source_id", "left")
     rows = Window.partitionBy("entity_id").orderBy("n", F.asc_nulls_last("raw_id"), F.asc_nulls_last("source_id"), F.desc("object_id"))
     placed = chain.withColumn("place", F.row_number().over(rows)).filter(F.col("place") <= k)

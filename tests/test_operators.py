@@ -136,3 +136,18 @@ def test_top_claims_with_a_repeated_id(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     got = review.top_claims(claims, entities, evidence, none("raw_id long, document_id long"), none("document_id long"), none("source_id string, identifier string"), 4).filter("entity_id = 's1'").orderBy("place").collect()
     assert [(r.object_name, r.raw_id) for r in got] == [("two", 10), ("one", 10), ("two", 11), ("one", 11)]
+
+
+def test_claims_without_an_object_do_not_meet_in_one_task(spark):
+    rows = spark.range(2_000).selectExpr("id as claim_id", "'s1' as subject_id", "if(id < 4, concat('p', id), cast(null as string)) as object_id")
+    entities = spark.createDataFrame([("s1", "Ida", "person"), ("p1", "Pier", "project"), ("7", "Seven", "project"), (None, "Nobody", "person")], "entity_id string, name string, kind string")
+    small, merged = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1"), spark.conf.set(merged, "false")
+    try:
+        named = claims.with_endpoints(rows, entities)
+        assert {(r.claim_id, r.object_name) for r in named.filter("object_name is not null").collect()} == {(1, "Pier")}
+        shares = [r["count"] for r in named.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(shares) == 2_000 and max(shares) < 1_000
+    finally:
+        spark.conf.set(small, before), spark.conf.unset(merged)
