@@ -1,32 +1,40 @@
-"""Documents for many questions at once, by an inverted index.
+"""Documents for many questions at once, newest documents first.
 
 A term is a run of letters, digits, ' and -, and it occurs in a text exactly if it occurs in one of the text's maximal runs of
-these. So the texts are read once, into postings: for each run (word) and block of BLOCK document ids the documents that
-hold it, as offsets within the block, so no list grows with the corpus. Terms meet the vocabulary, not the texts: by equality
-with the words' substrings of the terms' lengths.
+these, its words. Documents are taken newest first, in slices that grow, and a question leaves once it has its k documents:
+what older ones hold can't change them. So common terms never meet the whole corpus, and what is left for the older
+documents are the few questions of rare terms. Each slice's texts are read once a round.
 
-Only the newest documents of each term are looked for, once a term, however many questions hold it: a question's k newest
-documents are among the k newest of those of its terms that they hold. Blocks are taken newest first, in rounds of four times
-as many, and a term leaves once it has its documents: common ones never meet the whole corpus, and rare ones have short postings.
+Many terms meet the slice's words by joins: by equality with the words' substrings of the terms' lengths. Few terms are
+brought to the texts, and no list of words is written. Either way a term's documents are kept as bits of blocks of BLOCK
+document ids, of which a question's count is an OR.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import query_terms
 from ..session import checkpointed
 
-BLOCK, FIRST, GROWTH = 128, 128, 4
+#: Documents of the first slice, and by what each is larger than the one before. A block's ids are the bits of a long.
+BLOCK, FIRST, GROWTH = 64, 128, 8
+#: So many terms are brought to the texts at most.
+FEW = 50_000
+#: Words of up to CACHED characters are kept with their terms, KEPT of them at most.
+CACHED, KEPT = 64, 1 << 16
 _WORD = r"[a-z0-9'-]{4,}"
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(word, block, offsets) of docs (doc_id, text); rows of one doc_id are one document, null texts and ids hold nothing."""
-    words = docs.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("word"))
-    block, offset = F.floor(F.col("doc_id") / BLOCK).cast("long"), F.pmod("doc_id", F.lit(BLOCK)).cast("smallint")
-    return words.groupBy("word", block.alias("block")).agg(F.array_sort(F.collect_set(offset)).alias("offsets"))  # at most BLOCK
+def words(docs: DataFrame) -> DataFrame:
+    """(doc_id, word), each once a row of docs (doc_id, text); null texts and ids hold nothing."""
+    return docs.filter("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("word"))
 
 
 def matched_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -40,6 +48,47 @@ def matched_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.select("term").join(held, "term").select("term", "word")
 
 
+def holding_many(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, doc_id) of the docs (doc_id, text) that hold terms (term); a pair may come more than once."""
+    wanted = checkpointed(matched_words(terms, words(docs).select("word").distinct()))
+    return wanted.join(words(docs), "word").select("term", "doc_id")
+
+
+def holding_few(terms: list[str], docs: DataFrame) -> DataFrame:
+    """holding_many for terms that fit in a task: the texts are read once and only what holds a term leaves them."""
+    shared, sizes = docs.sparkSession.sparkContext.broadcast(frozenset(terms)), sorted({len(t) for t in terms})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, cut = shared.value, re.compile(_WORD)
+        long = lambda word: tuple({part for n in sizes for i in range(len(word) - n + 1) if (part := word[i : i + n]) in wanted})
+        short = lru_cache(KEPT)(long)
+        for batch in batches:
+            held, ids = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):  # one text at a time
+                found = {t for w in set(cut.findall(text.as_py())) for t in (short if len(w) <= CACHED else long)(w)}
+                held += found
+                ids += [doc] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.int64())], names=["term", "doc_id"])
+
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return texts.mapInArrow(run, "term string, doc_id long")
+
+
+def slices(docs: DataFrame) -> list[tuple[int, int]]:
+    """(lower, upper) of ranges of doc_id, newest first, that hold all documents: about FIRST, and GROWTH times as many each time."""
+    ids = docs.filter("doc_id is not null")
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    shares, size, taken = [], FIRST, FIRST
+    while taken < n:
+        shares.append(1 - taken / n)
+        size *= GROWTH
+        taken += size
+    # Any border is right that parts no block.
+    borders = ids.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares else []
+    lowers = [b for b in sorted({int(b) // BLOCK * BLOCK for b in borders}, reverse=True) if low < b <= high]
+    return list(zip([*lowers, low], [high, *(b - 1 for b in lowers)])) if n else []
+
+
 def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> DataFrame:
     """(question_id, doc_id, hits): the k documents of largest doc_id that hold any term of a question, and how many each holds.
 
@@ -47,28 +96,29 @@ def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> Data
     one question. Empty tables give no rows.
     """
     asked = checkpointed(questions.select("question_id", F.explode(query_terms(F.col("text"))).alias("term")).distinct())
-    index = checkpointed(postings(docs))
-    wanted = checkpointed(matched_words(asked.select("term").distinct(), index.select("word").distinct()))
-    low, high, blocks = index.agg(F.min("block"), F.max("block"), F.count_distinct("block")).first()
-    found, open_ = None, wanted
-    upper, size, taken = high, max(1, FIRST // BLOCK), 0
-    while blocks and taken < blocks:
-        taken += size
-        # Any border is right; this one takes about `size` of the blocks that there are.
-        lower = low if taken >= blocks else min(upper, int(index.filter(F.col("block") <= upper).agg(F.percentile_approx("block", max(0.0, 1 - size / max(1, blocks - taken + size)), 10_000)).first()[0]))
-        part = index.filter(F.col("block").between(lower, upper))
-        met = open_.join(part, "word").select("term", F.explode(F.transform("offsets", lambda o: F.col("block") * BLOCK + o)).alias("doc_id")).distinct()
-        both = met if found is None else found.unionByName(met)
-        newest = Window.partitionBy("term").orderBy(F.desc("doc_id"))
-        found = checkpointed(both.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= k).drop("n"))
-        full = found.groupBy("term").count().filter(F.col("count") >= k)
-        open_ = wanted.join(full, "term", "left_anti")
-        upper, size = lower - 1, size * GROWTH
-        if upper < low or open_.isEmpty():
+    open_, held, rounds = asked.withColumn("have", F.lit(0).cast("long")), None, None
+    # Of a term's documents in a slice only the newest k can be among a question's.
+    newest = Window.partitionBy("term").orderBy(F.desc("doc_id"))
+    block, bit = F.floor(F.col("doc_id") / BLOCK).cast("long"), F.expr(f"shiftleft(1L, CAST(pmod(doc_id, {BLOCK}) AS INT))")
+    both = lambda before, more: more if before is None else before.unionByName(more)
+    for at, (lower, upper) in enumerate(slices(docs)):
+        terms = open_.select("term").distinct()
+        few = [r.term for r in terms.limit(FEW + 1).collect()]
+        if not few:
             break
-    if found is None:
+        part = docs.filter(F.col("doc_id").between(lower, upper))
+        pairs = holding_few(few, part) if len(few) <= FEW else holding_many(terms, part)
+        found = checkpointed(pairs.withColumn("n", F.dense_rank().over(newest)).filter(F.col("n") <= k).groupBy("term", block.alias("block")).agg(F.bit_or(bit).alias("bits")))
+        held, rounds = both(held, found.withColumn("at", F.lit(at))), both(rounds, open_.select("question_id", "term", F.lit(at).alias("at")))
+        each = open_.join(found, "term").groupBy("question_id", "block").agg(F.bit_or("bits").alias("bits"))
+        more = each.groupBy(F.col("question_id").alias("of")).agg(F.sum(F.bit_count("bits")).alias("more"))
+        have = F.col("have") + F.coalesce("more", F.lit(0))
+        open_ = checkpointed(open_.join(more, F.col("question_id").eqNullSafe(F.col("of")), "left").select("question_id", "term", have.alias("have")).filter(F.col("have") < k))
+    if held is None:
         return asked.select("question_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("hits")).limit(0)
-    hits = asked.join(found, "term").groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("hits"))
+    doc = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: F.getbit("bits", o) == 1), lambda o: F.col("block") * BLOCK + o))
+    met = rounds.join(held.select("term", "at", doc.alias("doc_id")), ["term", "at"])  # a question meets only the rounds that it was open in
+    hits = met.groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("hits"))
     own = Window.partitionBy("question_id").orderBy(F.desc("doc_id"))
     return hits.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k).drop("n")
 

@@ -56,3 +56,34 @@ def test_work_does_not_multiply_questions_by_words(spark, monkeypatch):
     asked = spark.createDataFrame([(q, "the harbor") for q in range(400)], "question_id long, text string")
     assert postings.newest_documents(asked, docs, 50).count() == 4000
     assert max(written) <= 1000
+
+
+@pytest.mark.parametrize("few", [0, 3, 50_000])
+def test_terms_by_joins_and_at_hand(spark, monkeypatch, few):
+    """Questions of one null id are one; documents share ids and have negative ones, at the borders of blocks."""
+    monkeypatch.setattr(postings, "FIRST", 2)
+    monkeypatch.setattr(postings, "FEW", few)
+    docs = [(d, "harbors" if d % 3 else "old lights") for d in range(-70, 130)] + [(63, "harbor light"), (64, "x" * 70 + "harbor"), (None, "harbor"), (200, None)]
+    questions = [(None, "harbor"), (None, "lights"), (1, "lights 'light harbor"), (2, "xxxxharbor"), (3, "lights")]
+    got = postings.newest_documents(spark.createDataFrame(questions, "question_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 30).collect()
+    texts = {d: " ".join(t or "" for e, t in docs if e == d) for d in {d for d, _ in docs if d is not None}}
+    asked = {None: "harbor lights", 1: "lights light harbor", 2: "xxxxharbor", 3: "lights"}
+    want = [(q, d, n) for q, t in asked.items() for d, n in sorted(((d, sum(x in body for x in terms(t))) for d, body in texts.items() if any(x in body for x in terms(t))), reverse=True)[:30]]
+    assert {tuple(r) for r in got} == set(want) and len(got) == len(want)
+
+
+def test_old_documents_are_read_for_open_questions_only(spark, monkeypatch):
+    """Nothing is written of the words of 2,000 old documents, once each question has its documents or its few terms."""
+    written, real = [], postings.checkpointed
+
+    def counting(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(postings, "checkpointed", counting)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('harbor word', id, CASE WHEN id < 3 THEN ' rarest' ELSE '' END) AS text")
+    asked = spark.createDataFrame([(1, "harbor word"), (2, "rarest"), (3, "nowhere")], "question_id long, text string")
+    got = postings.newest_documents(asked, docs, 5).collect()
+    assert sorted(map(tuple, got)) == [(1, d, 2) for d in range(1995, 2000)] + [(2, d, 1) for d in range(3)]
+    assert sum(written) < 50
