@@ -3,7 +3,7 @@
 A round asks for the open requests, all at once; each is then done, asked again after a wait, or led on by a redirect. Who
 answers is a parameter: `recorded` joins a table of answers, `over` calls a transport in the tasks that hold a host. Rounds
 are bounded by the attempts and redirects that a request may take, and each is written to the shared checkpoint folder, so
-a lost executor repeats a round's share and not the fetches before.
+a lost executor repeats a round's share and not the fetches before. Bodies of recorded answers are not in the rounds.
 """
 
 from __future__ import annotations
@@ -25,15 +25,30 @@ Transport = Callable[[str], tuple[int, str | None, str | None, bytes | None]]
 Answer = Callable[[DataFrame], DataFrame]
 
 
-def recorded(answers: DataFrame) -> Answer:
-    """Answers from a table (url, attempt, status, location, content_type, body, error); what it lacks is a transport error."""
-    known = answers.select("url", "attempt", *_FIELDS, F.lit(True).alias("__known"))
+class Recorded:
+    """Answers from a table (url, attempt, status, location, content_type, body, error); what it lacks is a transport error.
 
-    def answer(requests: DataFrame) -> DataFrame:
-        met = requests.join(known, ["url", "attempt"], "left")
+    Rounds carry a hash of a body. The bodies stay in the table until all rounds are done, and meet only the last answers.
+    """
+
+    def __init__(self, answers: DataFrame):
+        self.bodies = answers.filter("body is not null").select("url", "attempt", F.xxhash64("body").alias("mark"), "body")
+        rest = [f for f in _FIELDS if f != "body"]
+        self.known = checkpointed(answers.select("url", "attempt", *rest, F.when(F.col("body").isNotNull(), F.xxhash64("body")).alias("mark"), F.lit(True).alias("__known")))
+
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        met = requests.join(self.known, ["url", "attempt"], "left")
         return met.withColumn("error", F.when(F.col("__known").isNull(), "no answer").otherwise(F.col("error"))).drop("__known")
 
-    return answer
+    def with_bodies(self, done: DataFrame) -> DataFrame:
+        """done with body in place of mark; rows of one url, attempt and body are one."""
+        key = ["url", "attempt", "mark"]
+        return done.join(self.bodies.dropDuplicates(key), key, "left").drop("mark")
+
+
+def recorded(answers: DataFrame) -> Answer:
+    """Answers from a table, as Recorded says."""
+    return Recorded(answers)
 
 
 def over(transport: Transport, partitions: int | None = None) -> Answer:
@@ -82,6 +97,8 @@ def retrieved(urls: DataFrame, answer: Answer, attempts: int = ATTEMPTS, redirec
         open_ = retried.unionByName(led)
         if open_.isEmpty():
             break
+    if isinstance(answer, Recorded):
+        done = answer.with_bodies(done)
     html = F.coalesce(F.lower("content_type").contains("html"), F.lit(False))
     return done.select(F.col("request").alias("url"), F.col("url").alias("final_url"), "chain", F.col("attempt").alias("attempts"), "waited", "status", "content_type", html.alias("is_html"), "body", "error", "outcome")
 

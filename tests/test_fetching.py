@@ -52,3 +52,20 @@ def test_pages_that_share_a_url_are_fetched_each(spark, tmp_path):
     got = sorted((r.url, r.final_url, r.redirects, r.attempts, r.status) for r in e.queries()["recorded_fetch"](spark, str(tmp_path)).collect())
     moved = {3: (2, 1), 4: (2, 2)}
     assert got == sorted((u, urls[moved.get(k, (k, 0))[0]], moved.get(k, (k, 0))[1], {1: 2, 6: 3}.get(k, 1), 200) for k, u in urls.items())
+
+
+def test_rounds_carry_no_recorded_bodies(spark, monkeypatch):
+    """A body is in nothing that a round writes, and each request ends with that of its own last answer (a retry begins with the first URL)."""
+    written, real = [], fetching.checkpointed
+    monkeypatch.setattr(fetching, "checkpointed", lambda df: written.append({f.dataType.simpleString() for f in df.schema}) or real(df))
+    row = lambda url, attempt, status, body, location=None: (url, attempt, status, location, "text/html", None if body is None else bytearray(body), None)
+    answers = [
+        row("http://a.org/", 1, 503, b"wait"), row("http://a.org/", 2, 200, b"late"), row("http://a.org/old", 1, 301, b"moved", "/"), row("http://a.org/old", 2, 301, None, "/"),
+        row("http://a.org/same", 1, 200, b"late"), row("http://a.org/empty", 1, 200, b""), row("http://a.org/null", 1, 200, None),
+        row("http://a.org/twice", 1, 200, b"one"), row("http://a.org/twice", 1, 404, b"two"), row("http://a.org/never", 1, 200, b"not asked"),
+    ]
+    asked = ["", "old", "same", "empty", "null", "twice", "unknown"]
+    got = fetching.retrieved(spark.createDataFrame([(f"http://a.org/{u}",) for u in asked], "url string"), fetching.recorded(spark.createDataFrame(answers, "url string, attempt int, " + fetching.ANSWER))).collect()
+    rows = sorted((r.url.rsplit("/", 1)[1], r.status or 0, None if r.body is None else bytes(r.body)) for r in got)
+    assert rows == [("", 200, b"late"), ("empty", 200, b""), ("null", 200, None), ("old", 200, b"late"), ("same", 200, b"late"), ("twice", 200, b"one"), ("twice", 404, b"two"), ("unknown", 0, None)]
+    assert len(written) > 3 and not any("binary" in types for types in written)
