@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandline.llm import suffixes as s
@@ -95,3 +96,20 @@ def test_pieces_of_a_long_text_agree_with_brute_force(spark, monkeypatch):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.digest(docs, BITS).collect())
         assert got == brute(rows)
+
+
+def test_only_hot_strings_are_hashed(monkeypatch):
+    """Of 40 KB under one hot anchor in about 350, the digests are those of the whole slice's and little else is hashed."""
+    rng = np.random.default_rng(5)
+    data, offs = rng.integers(0, 256, 40_000).astype(np.uint8), np.array([0, 9_000, 9_300, 9_300, 40_000])
+    _, _, first, last, key = s.anchors(data, offs)
+    cells, bits = s.substrings.cells_of(key, 20)[0], np.zeros(1 << 17, np.uint8)
+    chosen = np.array([3, 4, 5, len(key) // 2, len(key) - 1])  # neighbours share bytes
+    np.bitwise_or.at(bits, cells[chosen] >> 3, (1 << (cells[chosen] & 7)).astype(np.uint8))
+    want = np.concatenate([np.arange(first[i], last[i] + 1) for i in chosen])
+    whole = [s.substrings._combined(t[data], s.LENGTH)[want].view(np.int64) for t in s._SEEDS]
+    hashed, real = [], s.substrings._combined
+    monkeypatch.setattr(s.substrings, "_combined", lambda words, width: hashed.append(len(words)) or real(words, width))
+    at, digests = s._hot_strings(data, offs, (bits, 20))
+    assert at.tolist() == want.tolist() and all((a == b).all() for a, b in zip(digests, whole, strict=True))
+    assert max(hashed) <= 5 * (s.LENGTH + s.LENGTH - s.CONTEXT)
