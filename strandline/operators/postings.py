@@ -116,9 +116,11 @@ def newest_documents(questions: DataFrame, docs: DataFrame, k: int = 50) -> Data
         open_ = checkpointed(open_.join(more, F.col("question_id").eqNullSafe(F.col("of")), "left").select("question_id", "term", have.alias("have")).filter(F.col("have") < k))
     if held is None:
         return asked.select("question_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("hits")).limit(0)
-    doc = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: F.getbit("bits", o) == 1), lambda o: F.col("block") * BLOCK + o))
-    met = rounds.join(held.select("term", "at", doc.alias("doc_id")), ["term", "at"])  # a question meets only the rounds that it was open in
-    hits = met.groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("hits"))
+    # A question meets only the rounds that it was open in, and blocks are opened where it stands, not where a common term does.
+    offsets = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: F.getbit("bits", o) == 1).cast("array<tinyint>")
+    met = rounds.join(held.select("term", "at", "block", offsets.alias("offsets")), ["term", "at"]).select("question_id", "block", "offsets").repartition("question_id")
+    docs_of = met.select("question_id", "block", F.explode("offsets").alias("offset")).select("question_id", (F.col("block") * BLOCK + F.col("offset")).alias("doc_id"))
+    hits = docs_of.groupBy("question_id", "doc_id").agg(F.count("*").cast("int").alias("hits"))
     own = Window.partitionBy("question_id").orderBy(F.desc("doc_id"))
     return hits.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k).drop("n")
 
